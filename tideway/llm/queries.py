@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tideway.llm import bagminhash, byte_bpe, pii, toxicity
+from tideway.llm import bagminhash, byte_bpe, edit_embedding, pii, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,5 +30,9 @@ def op9_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op3_pii, op5_toxicity, op9_bagminhash)}
+def op10_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_embedding.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op3_pii, op5_toxicity, op9_bagminhash, op10_edit_embedding)}
 ORACLE_SQL: dict[str, str] = {}
