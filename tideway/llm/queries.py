@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tideway.llm import bagminhash, byte_bpe, edit_embedding, pii, toxicity
+from tideway.llm import bagminhash, byte_bpe, edit_embedding, ngram_lm, pii, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.held_out_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -34,5 +38,5 @@ def op10_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_embedding.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op3_pii, op5_toxicity, op9_bagminhash, op10_edit_embedding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op3_pii, op5_toxicity, op8_ngram_lm, op9_bagminhash, op10_edit_embedding)}
 ORACLE_SQL: dict[str, str] = {}
