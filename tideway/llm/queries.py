@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideway.llm import bagminhash, byte_bpe, edit_embedding, learned_partitions, ngram_lm, pii, toxicity
+from tideway.llm import bagminhash, best_fit_packing, byte_bpe, edit_embedding, learned_partitions, ngram_lm, pii, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def op7_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learned_partitions.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -43,5 +47,5 @@ def op10_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_embedding.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op3_pii, op5_toxicity, op7_learned_partitions, op8_ngram_lm, op9_bagminhash, op10_edit_embedding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op3_pii, op5_toxicity, op6_best_fit_packing, op7_learned_partitions, op8_ngram_lm, op9_bagminhash, op10_edit_embedding)}
 ORACLE_SQL: dict[str, str] = {}
