@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideway.llm import bagminhash, best_fit_packing, byte_bpe, edit_embedding, learned_partitions, ngram_lm, pii, toxicity
+from tideway.llm import bagminhash, best_fit_packing, byte_bpe, edit_embedding, html_wrappers, learned_partitions, ngram_lm, pii, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
 
+def op4_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,5 +51,5 @@ def op10_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_embedding.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op3_pii, op5_toxicity, op6_best_fit_packing, op7_learned_partitions, op8_ngram_lm, op9_bagminhash, op10_edit_embedding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op3_pii, op4_html_wrappers, op5_toxicity, op6_best_fit_packing, op7_learned_partitions, op8_ngram_lm, op9_bagminhash, op10_edit_embedding)}
 ORACLE_SQL: dict[str, str] = {}
