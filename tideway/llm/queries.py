@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideway.llm import bagminhash, best_fit_packing, byte_bpe, edit_embedding, html_wrappers, learned_partitions, ngram_lm, pii, toxicity
+from tideway.llm import bagminhash, best_fit_packing, byte_bpe, edit_embedding, html_wrappers, learned_partitions, ngram_lm, pii, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses_of(table(spark, sf_dir, "pages")), keep=("page_id",)).drop("response_id")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -51,5 +55,5 @@ def op10_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_embedding.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op3_pii, op4_html_wrappers, op5_toxicity, op6_best_fit_packing, op7_learned_partitions, op8_ngram_lm, op9_bagminhash, op10_edit_embedding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_derivatives, op2_byte_bpe, op3_pii, op4_html_wrappers, op5_toxicity, op6_best_fit_packing, op7_learned_partitions, op8_ngram_lm, op9_bagminhash, op10_edit_embedding)}
 ORACLE_SQL: dict[str, str] = {}
