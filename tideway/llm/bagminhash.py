@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideway.llm.common import WordHashes, kept, mix, ragged, slices, texts_of
-from tideway.llm.linking import components, links, with_both
+from tideway.llm.linking import classes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -117,13 +117,18 @@ def occurrences(texts: list[str], width: int = SHINGLE) -> list[np.ndarray]:
     return [np.sort(ids[a:b]) for a, b in zip(edge, edge[1:], strict=False)]
 
 
-def jaccard(x: np.ndarray, y: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two multisets given as occurrences."""
-    if not len(x) or not len(y) or min(len(x), len(y)) == 0:
-        return 0.0
-    both = np.sort(np.concatenate([x, y]))
-    common = int((both[1:] == both[:-1]).sum())
-    return common / (len(x) + len(y) - common)
+def jaccard(x: bytes, others: list[bytes]) -> np.ndarray:
+    """Weighted Jaccard similarities of a multiset with others, each given as the bytes of its occurrences."""
+    a = np.frombuffer(x, np.uint64)
+    sizes = np.array([len(y) // 8 for y in others], np.int64)
+    b = np.frombuffer(b"".join(others), np.uint64)
+    if not len(a):
+        return np.zeros(len(others))
+    hit = a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b
+    before = np.concatenate([[0], np.cumsum(hit)])
+    end = np.cumsum(sizes)
+    common = before[end] - before[end - sizes]
+    return common / (len(a) + sizes - common)
 
 
 def with_digest(docs: DataFrame) -> DataFrame:
@@ -146,8 +151,8 @@ def sign(docs: DataFrame, width: int = SHINGLE, m: int = M) -> DataFrame:
     return with_digest(docs).mapInArrow(run, "doc_id long, digest binary, sig binary")
 
 
-def verifier(docs: DataFrame, rows: DataFrame, least: float, width: int):
-    """A function that keeps the pairs of text ids whose multisets are at least that similar."""
+def bags_of(docs: DataFrame, rows: DataFrame, width: int):
+    """For ``linking.classes``: the multisets of the texts with given ids, of ``rows`` (id, doc_id, digest)."""
 
     def bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -155,20 +160,13 @@ def verifier(docs: DataFrame, rows: DataFrame, least: float, width: int):
             for x, y in slices(texts):
                 yield pa.RecordBatch.from_arrays([b.column(0)[x:y], pa.array([o.tobytes() for o in occurrences(texts[x:y], width)], pa.binary())], names=["id", "bag"])
 
-    def hold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = pa.array([jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = kept(pairs, "plausible")
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        wanted = rows.join(ids, "id").where("is_text").select("id", "doc_id", "digest")
-        found = with_digest(docs).join(wanted, ["doc_id", "digest"]).select("id", "text").dropDuplicates(["id"])
-        table = kept(found.mapInArrow(bags, "id long, bag binary"), "bags")
-        return with_both(pairs, table, "bag").select("a", "b", "a_bag", "b_bag").mapInArrow(hold, "a long, b long")
+    def table(ids: DataFrame) -> DataFrame:
+        wanted = rows.join(ids, "id").select("id", F.col("doc_id").alias("of"), F.col("digest").alias("with"))
+        # By a merge at any size: the ids grow with the corpus, and so their texts are moved once.
+        found = with_digest(docs).join(wanted.hint("merge"), (F.col("digest") == F.col("with")) & F.col("doc_id").eqNullSafe(F.col("of"))).select("id", "text").dropDuplicates(["id"])
+        return kept(found.mapInArrow(bags, "id long, bag binary"), "bags")
 
-    return verify
+    return table
 
 
 def groups(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY, m: int = M, bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
@@ -181,10 +179,9 @@ def groups(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY
     other = F.lit(-(2**62)) + F.shiftrightunsigned(F.xxhash64("digest"), 2)
     texts = texts.join(twice, F.col("doc_id").eqNullSafe(F.col("twice_id")), "left").select("doc_id", "digest", "sig", F.coalesce(own, other).alias("id"))
     texts = kept(texts, "text-ids")
-    rows = texts.select("id", "doc_id", "digest", F.lit(True).alias("is_text"))
+    rows = texts.select("id", "doc_id", "digest")
     plausible = similarity - SLACK * (similarity * (1 - similarity) / m) ** 0.5
-    found = links(texts.select("id", "sig"), "<u4", bands, band_rows, agreement, plausible, verifier(docs, rows, similarity, width))
-    roots = components(found)
+    roots = classes(texts.select("id", "sig"), "<u4", bands, band_rows, agreement, plausible, bags_of(docs, rows, width), jaccard, similarity)
     named = texts.join(roots, "id", "left").select("digest", F.col("id").alias("text_id"), F.coalesce("root", "id").alias("class_id"))
     return signed.select("doc_id", "digest").join(named, "digest").select("doc_id", "digest", "text_id", "class_id")
 

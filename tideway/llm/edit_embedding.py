@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideway.llm.common import kept, mix, slices, texts_of
-from tideway.llm.linking import components, links, with_both
+from tideway.llm.linking import classes
 
 SLOTS = 256
 #: Steps per character: with even bits the walk stays two steps on a character, so that 2n steps reach about its end.
@@ -235,19 +235,14 @@ def near_links(docs: DataFrame, least: float = LIKENESS, slots: int = SLOTS, ban
     texts = kept(signed.where("sig is not null and id is not null").groupBy("sig").agg(F.min("id").alias("id")), "distinct-fingerprints")
     order = np.argsort(mix(np.arange(slots, dtype=np.uint64) + _WALK))
 
-    def hold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, slots) for c in (b.column(2), b.column(3)))
-            ok = pa.array(likeness(x, y) >= least)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
-
     def sampled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             m = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, slots)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in m[:, order]], pa.binary())], names=["id", "sig"])
 
     shuffled = kept(texts.select("id", "sig").mapInArrow(sampled, "id long, sig binary"), "sampled-fingerprints")
-    verify = lambda pairs: with_both(pairs, shuffled, "sig").select("a", "b", "a_sig", "b_sig").mapInArrow(hold, "a long, b long")
-    roots = components(links(shuffled, "u1", bands, rows, likeness, least - 0.15, verify))
+    bags = lambda ids: kept(shuffled.join(ids, "id").select("id", F.col("sig").alias("bag")), "bags")
+    alike = lambda x, others: likeness(np.frombuffer(x, np.uint8)[None, :], np.frombuffer(b"".join(others), np.uint8).reshape(-1, slots))
+    roots = classes(shuffled, "u1", bands, rows, likeness, least, bags, alike, least)
     named = texts.join(roots, "id", "left").select("sig", F.coalesce("root", "id").alias("class_id"))
     return signed.join(named, "sig", "left").select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"))

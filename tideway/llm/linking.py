@@ -1,14 +1,16 @@
 """Near-duplicate linking that signatures of any kind share: bands, candidate pairs, verification, components.
 
-Candidates come in two rounds, so that a group of many like texts costs one pair per text and not all pairs:
+Pairs are compared in two steps, so that a group of many like texts costs about one pair per text and not all pairs:
 
 1. In each bucket (texts that agree in a band) every text is paired with the bucket's smallest id, its leader.
-2. A text whose pair with the leader does not hold is paired with every other member of that bucket whose signature
-   makes the required similarity plausible. Large buckets are compared block against block, never in one task.
-
-Any pair of one bucket is thus verified, or both its texts are linked to the leader, so the components are those of all
-pairs of all buckets. Every pair is verified by the caller's exact measure. Components come from alternating star
-contractions over tables in the shared folder.
+2. A text that is not connected with the leader of a bucket is compared with all members of that bucket that it is not
+   connected with either. Buckets are compared block against block, never in one task; a pair is compared in the first
+   band that it shares only, signatures leave out pairs that they make implausible, and the likeliest come first, so that
+   what a link has connected need not be compared any more.
+
+What a pair is held to is the caller's exact measure. At the end any two texts of one bucket are connected, or do not hold, or
+their signatures make it implausible that they do: the components are those of all pairs of all buckets. They come from
+alternating star contractions over tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 
 from tideway.llm.common import kept, mix
 
-#: Rows of a bucket that one task compares with as many others.
-BLOCK = 1_000
+#: Texts of a bucket, and bytes of their bags, that one task compares with as many others.
+BLOCK, BLOCK_BYTES = 1_000, 16_000_000
 
 
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -71,54 +73,92 @@ def plausible_pairs(pairs: DataFrame, sigs: DataFrame, dtype: str, likeness: Cal
     return with_both(pairs, sigs, "sig").select("a", "b", "a_sig", "b_sig").mapInArrow(run, "a long, b long")
 
 
-def links(
+def classes(
     sigs: DataFrame,
     dtype: str,
     bands: int,
     rows: int,
     likeness: Callable[[np.ndarray, np.ndarray], np.ndarray],
+    plausible: float,
+    bags: Callable[[DataFrame], DataFrame],
+    similarity: Callable[[bytes, list[bytes]], np.ndarray],
     least: float,
-    verify: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
-    """Verified pairs (a, b), a > b, that connect what all verified pairs of all buckets connect.
+    """(id, root): for every id that a link connects, the smallest id that it is connected to.
 
-    ``sigs`` is a written table (id, sig); ``verify`` keeps those pairs (a, b) of a table that hold.
+    ``sigs`` is a written table (id, sig). ``bags`` makes a written table (id, bag binary) for those of the ids (id) that
+    are in a bucket with others, and ``similarity`` compares one bag with others; a link has at least ``least``.
     """
     all_keys = buckets(sigs, dtype, bands, rows)
     led = all_keys.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("members")).where("members > 1")
     keys = kept(all_keys.join(led, "key"), "buckets")
+    table = bags(keys.select("id").distinct())
+
+    def hold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = pa.array([similarity(x, [y])[0] >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
+
     stars = keys.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-    first = kept(verify(plausible_pairs(stars, sigs, dtype, likeness, least)), "star-links")
-
-    # Round two: members of buckets of three or more that do not hold with their leader.
-    loose = kept(
-        keys.where("id <> leader and members > 2").join(first.select(F.col("a").alias("id"), F.col("b").alias("leader")), ["id", "leader"], "left_anti").select("key", "id"),
-        "loose-members",
-    )
-    counts = loose.groupBy("key").agg(F.count("*").alias("n_loose"))
-    blocks = lambda n: F.ceil(F.col(n) / F.lit(BLOCK)).cast("int")
-    place = lambda n: F.pmod(F.xxhash64("id", F.lit(7)), blocks(n)).cast("int")
-    others = keys.where("id <> leader and members > 2").join(counts, "key")
-    left = (
-        loose.join(counts, "key").join(keys.select("key", "members").distinct(), "key")
-        .select("key", "id", place("n_loose").alias("i"), F.explode(F.sequence(F.lit(0), blocks("members") - 1)).alias("j"), F.lit(True).alias("is_loose"))
-    )
-    right = others.select("key", "id", F.explode(F.sequence(F.lit(0), blocks("n_loose") - 1)).alias("i"), place("members").alias("j"), F.lit(False).alias("is_loose"))
-    cells = left.unionByName(right).join(sigs, "id").select("key", "i", "j", "id", "is_loose", "sig")
-
-    def compare(t: pa.Table) -> pa.Table:
-        ids, loose_row = t.column("id").to_numpy(), t.column("is_loose").to_numpy(zero_copy_only=False).astype(bool)
-        sig = matrix(t.column("sig").combine_chunks(), dtype)
-        out_a, out_b = [], []
-        members, member_ids = sig[~loose_row], ids[~loose_row]
-        for x, v in zip(sig[loose_row], ids[loose_row], strict=True):
-            near = member_ids[(likeness(members, x[None, :]) >= least) & (member_ids != v)] if len(members) else member_ids
-            out_a.append(np.maximum(near, v))
-            out_b.append(np.minimum(near, v))
-        return pa.table({"a": np.concatenate([*out_a, np.empty(0, np.int64)]), "b": np.concatenate([*out_b, np.empty(0, np.int64)])})
-
-    more = cells.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-    return first.unionByName(kept(verify(more), "more-links"))
+    likely = kept(plausible_pairs(stars, sigs, dtype, likeness, plausible), "pairs")
+    first = kept(with_both(likely, table, "bag").select("a", "b", "a_bag", "b_bag").mapInArrow(hold, "a long, b long"), "links")
+    cells = blocks(keys.where("members > 2"), components(first), table).join(sigs, "id").join(table, "id")
+
+    def compare(key: tuple, t: pa.Table) -> pa.Table:
+        bucket, ids, root, asks, loose = key[0].as_py(), *(t.column(c).to_numpy() for c in ("id", "root", "asks", "loose"))
+        asks, loose = asks.astype(bool), loose.astype(bool)
+        sig, bag = matrix(t.column("sig").combine_chunks(), dtype), t.column("bag").to_pylist()
+        k = band_keys(sig, bands, rows)
+        band = int((k == bucket).sum(0).argmax())
+        group = {r: r for r in root.tolist()}  # roots that links of this block connect
+
+        def top(r: int) -> int:
+            while group[r] != r:
+                group[r] = r = group[group[r]]
+            return r
+
+        found: list[tuple[int, int]] = []
+        others = np.flatnonzero(~asks)
+        for i in np.flatnonzero(asks):
+            # Of two loose texts the one of smaller id asks; a pair belongs to the first band that it shares.
+            y = others[(root[others] != root[i]) & (~loose[others] | (ids[others] > ids[i]))]
+            y = y[(k[y, :band] != k[i, :band]).all(1)] if band else y
+            alike = likeness(sig[y], sig[i][None, :]) if len(y) else np.empty(0)
+            y = y[np.lexsort((ids[y], -alike))][: int((alike >= plausible).sum())]
+            at, size = 0, 1
+            while at < len(y):
+                some = [j for j in y[at : at + size] if top(int(root[j])) != top(int(root[i]))]
+                for j in np.array(some, np.int64)[similarity(bag[i], [bag[j] for j in some]) >= least] if some else ():
+                    p, q = top(int(root[i])), top(int(root[j]))
+                    if p != q:
+                        group[max(p, q)] = min(p, q)
+                        found.append((max(int(ids[i]), int(ids[j])), min(int(ids[i]), int(ids[j]))))
+                at, size = at + size, min(64, 2 * size)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    more = kept(cells.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"), "links")
+    return components(first.unionByName(more))
+
+
+def blocks(keys: DataFrame, roots: DataFrame, table: DataFrame) -> DataFrame:
+    """(key, i, j, id, root, asks, loose): the texts that are not connected with their leader (loose) ask all members of the bucket.
+
+    Loose texts are dealt into rows i of blocks and members into columns j, so that a block has about BLOCK texts or
+    BLOCK_BYTES of bags of either.
+    """
+    root = lambda t, c: t.join(roots.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
+    rows = root(root(keys, "id"), "leader").select("key", "id", F.col("id_root").alias("root"), (F.col("id_root") != F.col("leader_root")).alias("loose"))
+    sizes = table.select("id", F.octet_length("bag").alias("size"))
+    rows = kept(rows.join(sizes, "id"), "members")
+    number = lambda n, size: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(size) / BLOCK_BYTES), F.lit(1)).cast("int")
+    counts = rows.groupBy("key").agg(F.count_if("loose").alias("n"), F.sum(F.when(F.col("loose"), F.col("size")).otherwise(0)).alias("b"), F.count("*").alias("m"), F.sum("size").alias("c"))
+    counts = counts.where("n > 0").select("key", number("n", "b").alias("is"), number("m", "c").alias("js"))
+    mine = lambda n: F.pmod(F.xxhash64("id", F.lit(7)), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = rows.join(counts, "key")
+    asking = own.where("loose").select("key", "id", "root", "loose", F.lit(True).alias("asks"), mine("is").alias("i"), all_of("js").alias("j"))
+    asked = own.select("key", "id", "root", "loose", F.lit(False).alias("asks"), all_of("is").alias("i"), mine("js").alias("j"))
+    return asking.unionByName(asked)
 
 
 def components(pairs: DataFrame) -> DataFrame:
