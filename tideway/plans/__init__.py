@@ -1 +1 @@
-
+"""Queries over the driver's tables: one for each operator, with the SQL that it is held against."""

@@ -1 +1 @@
-
+"""Where entries come from and go to."""
