@@ -201,8 +201,8 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     drop = drop.unionByName(found.join(equal.withColumnRenamed("doc_id", "keep"), "digest").where(~F.col("doc_id").eqNullSafe(F.col("keep"))).select("doc_id", "digest")).distinct()
     again = found.groupBy("doc_id", "digest").count().where("count > 1")
     marked = docs.withColumn("__digest", keys())
-    drop = drop.select(F.col("doc_id").alias("__drop"), "digest")
-    same = F.col("doc_id").eqNullSafe(F.col("__drop")) & (F.col("__digest") == F.col("digest"))
+    drop = drop.select(F.col("doc_id").alias("__drop"), F.col("digest").alias("__drop_digest"))
+    same = F.col("doc_id").eqNullSafe(F.col("__drop")) & (F.col("__digest") == F.col("__drop_digest"))
     left = marked.join(drop, same, "left_anti")
     if not again.isEmpty():
         left = left.dropDuplicates(["doc_id", "__digest"])
