@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideway.llm.common import WordHashes, kept, mix, ragged, slices, texts_of
+from tideway.llm.common import WordHashes, kept, mix, ragged, text_slices
 from tideway.llm.linking import classes
 
 SHINGLE = 5
@@ -142,9 +142,8 @@ def sign(docs: DataFrame, width: int = SHINGLE, m: int = M) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = texts_of(b.column(1))
-            for x, y in slices(texts):
-                doc, h, w = multisets(texts[x:y], width)
+            for x, y, texts in text_slices(b.column(1)):
+                doc, h, w = multisets(texts, width)
                 sig, there = signatures(doc, h, w, y - x, m), np.bincount(doc, minlength=y - x) > 0
                 yield pa.RecordBatch.from_arrays([b.column(0)[x:y], b.column(2)[x:y], pa.array([s.tobytes() if ok else None for s, ok in zip(sig, there, strict=True)], pa.binary())], names=["doc_id", "digest", "sig"])
 
@@ -156,9 +155,8 @@ def bags_of(docs: DataFrame, rows: DataFrame, width: int):
 
     def bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = texts_of(b.column(1))
-            for x, y in slices(texts):
-                yield pa.RecordBatch.from_arrays([b.column(0)[x:y], pa.array([o.tobytes() for o in occurrences(texts[x:y], width)], pa.binary())], names=["id", "bag"])
+            for x, y, texts in text_slices(b.column(1)):
+                yield pa.RecordBatch.from_arrays([b.column(0)[x:y], pa.array([o.tobytes() for o in occurrences(texts, width)], pa.binary())], names=["id", "bag"])
 
     def table(ids: DataFrame) -> DataFrame:
         wanted = rows.join(ids, "id").select("id", F.col("doc_id").alias("of"), F.col("digest").alias("with"))

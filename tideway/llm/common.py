@@ -6,6 +6,8 @@ import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,7 +49,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of byte words, remembered up to a bound and then from the start again."""
 
-    def __init__(self, bound: int = 500_000):
+    def __init__(self, bound: int = 250_000):
         self.known: dict[bytes, int] = {}
         self.bound = bound
 
@@ -65,6 +67,16 @@ def texts_of(column) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
 
+def text_slices(column: pa.Array, chars: int = SLICE_CHARS) -> Iterator[tuple[int, int, list[str]]]:
+    """Runs [a, b) of an Arrow column of texts with their Python strings, made for one run at a time."""
+    ends = np.cumsum(np.nan_to_num(pc.binary_length(column).to_numpy(zero_copy_only=False)))
+    a = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + chars, side="right")))
+        yield a, b, texts_of(column[a:b])
+        a = b
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share; a local one only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
