@@ -176,7 +176,7 @@ def groups(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY
     own = F.when(F.col("first").isNull() & F.col("doc_id").isNotNull(), F.col("doc_id")).when(F.col("digest") == F.col("first"), F.col("doc_id"))
     other = F.lit(-(2**62)) + F.shiftrightunsigned(F.xxhash64("digest"), 2)
     texts = texts.join(twice, F.col("doc_id").eqNullSafe(F.col("twice_id")), "left").select("doc_id", "digest", "sig", F.coalesce(own, other).alias("id"))
-    texts = kept(texts, "text-ids")
+    texts = kept(texts, "text-ids", light=True)
     rows = texts.select("id", "doc_id", "digest")
     plausible = similarity - SLACK * (similarity * (1 - similarity) / m) ** 0.5
     roots = classes(texts.select("id", "sig"), "<u4", bands, band_rows, agreement, plausible, bags_of(docs, rows, width), jaccard, similarity)
@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each group of near-duplicates, that of the smallest id; all columns stay as they are."""
-    found = kept(groups(docs, **options), "groups")
+    found = kept(groups(docs, **options), "groups", light=True)
     keys = lambda: F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     drop = found.where("text_id <> class_id").select("doc_id", "digest").distinct()
     # Of equal texts the smallest id stays; rows that repeat id and text are reduced to one.

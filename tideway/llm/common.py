@@ -89,10 +89,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: no lineage, survives lost executors, known size."""
+def kept(df: DataFrame, name: str, light: bool = False) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again: no lineage, survives lost executors, known size.
+
+    A light table, of a few numbers for each row and little work, goes to an eighth as many files as there are partitions.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, name)
+    if light:
+        df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -100,8 +100,8 @@ def classes(
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
 
     stars = keys.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-    likely = kept(plausible_pairs(stars, sigs, dtype, likeness, plausible), "pairs")
-    first = kept(with_both(likely, table, "bag").select("a", "b", "a_bag", "b_bag").mapInArrow(hold, "a long, b long"), "links")
+    likely = kept(plausible_pairs(stars, sigs, dtype, likeness, plausible), "pairs", light=True)
+    first = kept(with_both(likely, table, "bag").select("a", "b", "a_bag", "b_bag").mapInArrow(hold, "a long, b long"), "links", light=True)
     cells = blocks(keys.where("members > 2"), components(first), table).join(sigs, "id").join(table, "id")
 
     def compare(key: tuple, t: pa.Table) -> pa.Table:
@@ -149,7 +149,7 @@ def blocks(keys: DataFrame, roots: DataFrame, table: DataFrame) -> DataFrame:
     root = lambda t, c: t.join(roots.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
     rows = root(root(keys, "id"), "leader").select("key", "id", F.col("id_root").alias("root"), (F.col("id_root") != F.col("leader_root")).alias("loose"))
     sizes = table.select("id", F.octet_length("bag").alias("size"))
-    rows = kept(rows.join(sizes, "id"), "members")
+    rows = kept(rows.join(sizes, "id"), "members", light=True)
     number = lambda n, size: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(size) / BLOCK_BYTES), F.lit(1)).cast("int")
     counts = rows.groupBy("key").agg(F.count_if("loose").alias("n"), F.sum(F.when(F.col("loose"), F.col("size")).otherwise(0)).alias("b"), F.count("*").alias("m"), F.sum("size").alias("c"))
     counts = counts.where("n > 0").select("key", number("n", "b").alias("is"), number("m", "c").alias("js"))
@@ -163,7 +163,7 @@ def blocks(keys: DataFrame, roots: DataFrame, table: DataFrame) -> DataFrame:
 
 def components(pairs: DataFrame) -> DataFrame:
     """(id, root): for every id in ``pairs`` (a, b) the smallest id that it is connected to."""
-    edges = kept(pairs.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v <> u").distinct(), "edges")
+    edges = kept(pairs.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v <> u").distinct(), "edges", light=True)
     state = None
     while True:
         # Large star: every larger neighbour of a vertex moves to the smallest neighbour.
@@ -174,7 +174,7 @@ def components(pairs: DataFrame) -> DataFrame:
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         joined = large.join(low, "v")
         small = joined.select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(low.select("v", F.col("m").alias("u"))).where("v <> u").distinct()
-        edges = kept(small, "edges")
+        edges = kept(small, "edges", light=True)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if now == state:
             break
