@@ -204,8 +204,8 @@ class Matcher:
 
 
 def fold(id_column: str = "doc_id", folds: int = FOLDS):
-    """crc32 of the id as text, modulo ``folds``; fold 0 is held out."""
-    return F.crc32(F.col(id_column).cast("string").cast("binary")) % F.lit(folds)
+    """crc32 of the id as text (null: the empty text), modulo ``folds``; fold 0 is held out."""
+    return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % F.lit(folds)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
