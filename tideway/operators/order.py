@@ -20,7 +20,7 @@ def numbered(rows: DataFrame, by: list[str], ms: str = "ms", seq: str = "seq", s
     Spans of time are counted first; their running sums, a small table, give each span its first number, and only the rows of
     a span are sorted together. A plain row_number() over the partition would sort all of it in one task.
     """
-    spanned = rows.withColumn("__span", F.floor(F.col(ms) / F.lit(span_ms)))
+    spanned = rows.withColumn("__span", F.expr(f"`{ms}` div {span_ms}"))
     counts = spanned.groupBy(*by, "__span").agg(F.count("*").alias("__n"))
     all_of = Window.partitionBy(*by)
     sums = counts.select(*by, "__span", F.coalesce(F.sum("__n").over(all_of.orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__n").over(all_of).alias("total"))
