@@ -11,6 +11,11 @@ from pyspark.sql import types as T
 VERSION, MOST_HEADERS, MOST_HEADER_BYTES = 1, 64, 8192
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def field(name: str, value: Column) -> Column:
     return F.struct(F.lit(name).alias("name"), value.cast("binary").alias("value"))
 
@@ -19,17 +24,17 @@ def encode(body: Column, type: Column, key: Column | None, correlation_id: Colum
     """array<struct<name, value binary>>: b, t, k (never left out on topics; None for state entries), then c, p, h if not empty."""
     type = F.coalesce(type, F.raise_error(F.lit("an entry needs a type")).cast("string"))
     packed = pack_headers(headers)
-    optional = lambda name, v: F.when(F.octet_length(v) > 0, field(name, v))
+    none = F.expr("cast(array() as array<struct<name:string,value:binary>>)")
+    optional = lambda name, v: F.when(F.octet_length(v) > 0, F.array(field(name, v))).otherwise(none)
     fields = [field("b", F.coalesce(body, F.lit("").cast("binary"))), field("t", type)]
     fields += [field("k", F.coalesce(key, F.lit("")))] if key is not None else []
-    fields += [optional("c", correlation_id), optional("p", trace_parent), optional("h", packed)]
-    return F.filter(F.array(*fields), lambda f: f.isNotNull())
+    # Arrays put together are compiled code, a filter with a lambda is not.
+    return F.concat(F.array(*fields), optional("c", correlation_id), optional("p", trace_parent), bound(packed, lambda h: optional("h", h)))
 
 
 def last_field(fields: Column, name: str) -> Column:
     """The value of the last field of that name."""
-    own = F.filter(fields, lambda f: f["name"] == F.lit(name))
-    return F.get(own, F.size(own) - 1)["value"]
+    return F.try_element_at(F.filter(fields, lambda f: f["name"] == F.lit(name)), F.lit(-1))["value"]
 
 
 def decode(fields: Column) -> Column:
@@ -54,16 +59,19 @@ def supported(version: Column) -> Column:
 def pack_headers(headers: Column) -> Column:
     """binary ``len:key len:value ...`` (no blanks) of array<struct<key, value>>; refuses nulls and what is over a limit."""
     piece = lambda v: F.concat(F.octet_length(v).cast("string"), F.lit(":"), v)
-    whole = F.array_join(F.transform(headers, lambda h: F.concat(piece(h["key"]), piece(h["value"]))), "")
-    bad = F.exists(headers, lambda h: h["key"].isNull() | h["value"].isNull())
-    refuse = lambda why: F.raise_error(F.lit(why)).cast("binary")
-    return (
-        F.when(headers.isNull() | (F.size(headers) == 0), F.lit("").cast("binary"))
-        .when(bad, refuse("a header needs a key and a value"))
-        .when(F.size(headers) > MOST_HEADERS, refuse("too many headers"))
-        .when(F.octet_length(whole) > MOST_HEADER_BYTES, refuse("headers are too long"))
-        .otherwise(whole.cast("binary"))
-    )
+    refuse = lambda why: F.raise_error(F.lit(why)).cast("string")
+
+    def whole(text: Column) -> Column:
+        # A null among keys and values makes the whole null.
+        return (
+            F.when(text.isNull(), refuse("a header needs a key and a value"))
+            .when(F.size(headers) > MOST_HEADERS, refuse("too many headers"))
+            .when(F.octet_length(text) > MOST_HEADER_BYTES, refuse("headers are too long"))
+            .otherwise(text)
+        )
+
+    joined = F.aggregate(headers, F.lit(""), lambda s, h: F.concat(s, piece(h["key"]), piece(h["value"])))
+    return F.when(headers.isNull() | (F.size(headers) == 0), F.lit("")).otherwise(bound(joined, whole)).cast("binary")
 
 
 def unpack_block(block: bytes | None) -> list[dict[str, str]]:
