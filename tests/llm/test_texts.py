@@ -160,6 +160,19 @@ def test_html_alignment():
     assert html_wrappers.as_stream(json.loads(json.dumps(html_wrappers.as_lists(w)))) == w
 
 
+def test_html_wrapper_keeps_every_place():
+    a, b = "<article><h1>A</h1><p>one</p><p>two</p></article>", "<article><h1>B</h1><section><h2>h</h2><p>three</p><p>four</p></section></article>"
+    pages = (a, b, "<article><section><p>x</p></section><div><h1>C</h1></div></article><footer><p>f</p></footer>")
+    parsed = [html_wrappers.parse(p) for p in pages]
+    w = html_wrappers.infer(html_wrappers.folded(tokens) for tokens, _ in parsed)
+    kinds = html_wrappers.slots(w, set())
+    assert {block[0] for _, blocks in parsed for block in blocks} == set(kinds) and html_wrappers.balanced(html_wrappers.as_stream(w))
+    assert [html_wrappers.main_text(p, {str(k): v for k, v in kinds.items()}) for p in pages] == ["A one two", "B h three four", "x C"]
+    assert html_wrappers.main_text("<article><h1>A</h1></article><nav>n</nav>", {}) == "A"
+    deep = [html_wrappers.folded(html_wrappers.parse("<div>" * n + "x")[0]) for n in (300, 700, 3000)]
+    assert len(html_wrappers.slots(html_wrappers.infer(deep), set())) == 3
+
+
 def test_html_is_linear():
     for p in ("<a href='" * 20_000, "<!--" * 50_000, "<script>" * 20_000, "<p>" * 50_000, "<" * 100_000, "<div" * 50_000, '<a b="' * 20_000):
         html_wrappers.parse(p)

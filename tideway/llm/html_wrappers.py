@@ -50,8 +50,9 @@ ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^'
 QUOTE_OR_END = re.compile(r"[>\"']")
 WORDS = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-#: Streams of a host that one task aligns; longest repeated unit; products of lengths above which only ends are aligned.
-SHARE, UNIT, PRODUCT = 200, 24, 4_000_000
+#: Streams of a host that one task aligns; longest repeated unit; products of lengths above which only ends are aligned;
+#: nested elements below which unlike parts are kept side by side.
+SHARE, UNIT, PRODUCT, DEPTH = 200, 24, 4_000_000, 100
 ROOT = 0
 
 
@@ -166,13 +167,19 @@ def _find_end(page: str, tag: str, at: int) -> int:
     return m.start() if m else -1
 
 
-def parse(page: str) -> tuple[list[str], list[tuple[int, str]]]:
-    """The token stream of a page, and its blocks of text (place, text) in order."""
+def within(kind: str, name: str) -> str:
+    """Kind of what stands in an element ``name`` that stands in ``kind``."""
+    own = _kind(name)
+    return "b" if kind == "b" or own == "b" else "a" if kind == "a" or own == "a" else "o"
+
+
+def parse(page: str) -> tuple[list[str], list[tuple[int, str, str]]]:
+    """The token stream of a page, and its blocks of text (place, text, kind by the elements around it) in order."""
     tokens: list[str] = []
-    blocks: list[tuple[int, str]] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, place, whether it is a block
+    blocks: list[tuple[int, str, str]] = []
+    stack: list[tuple[str, int, str]] = []  # tag, place, kind
     held: list[str] = []
-    path = ROOT
+    path, kind = ROOT, "o"
 
     def flush() -> None:
         nonlocal held
@@ -180,21 +187,16 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, str]]]:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
                 tokens.append("#")
-                blocks.append((path, text))
+                blocks.append((path, text, kind))
             held = []
 
     def close(to: int) -> None:
-        nonlocal path
+        nonlocal path, kind
         while len(stack) > to:
-            if stack[-1][2]:
-                flush()
-                tokens.append("/")
-                stack.pop()
-                path = stack[-1][1] if stack else ROOT
-            else:
-                flush()
-                stack.pop()
-                path = stack[-1][1] if stack else ROOT
+            flush()
+            tokens.append("/")
+            stack.pop()
+            path, kind = stack[-1][1:] if stack else (ROOT, "o")
 
     for what, value in events(page):
         if what == "#":
@@ -220,8 +222,8 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, str]]]:
                         break
                     if stack[i][0] in LISTS or stack[i][0] in BOILERPLATE or stack[i][0] in ARTICLES:
                         break
-            path = child(path, value)
-            stack.append((tag, path, True))
+            path, kind = child(path, value), within(kind, value)
+            stack.append((tag, path, kind))
             tokens.append(value)
         elif what == "/":
             if value in VOID:
@@ -298,33 +300,56 @@ def units_of(*streams: list) -> dict[int, set[tuple]]:
     return units
 
 
-def bare(x):
-    """An element without the mark that it is optional."""
-    return x[1][0] if isinstance(x, tuple) and x[0] == "?" and len(x[1]) == 1 else x
+def pieces(stream: list) -> list[list]:
+    """The stream cut into its outermost balanced parts: texts, groups, and elements with all up to their ends."""
+    out: list[list] = []
+    depth = start = 0
+    for i, x in enumerate(stream):
+        depth += 0 if x == "#" or isinstance(x, tuple) else -1 if x == "/" else 1
+        if depth <= 0:
+            out.append(stream[start : i + 1])
+            depth, start = 0, i + 1
+    return out + ([stream[start:]] if start < len(stream) else [])
+
+
+def opened(piece: list, units: dict[int, set[tuple]]) -> tuple[list, bool]:
+    """A piece without the mark that it is optional, and whether it had one."""
+    if isinstance(piece[0], tuple) and piece[0][0] == "?":
+        return repeats(list(piece[0][1]), units), True
+    return piece, False
 
 
 def aligned(wrapper: list, stream: list) -> list:
-    """The wrapper generalised so that it accepts the stream too."""
+    """The wrapper generalised so that it accepts the stream too; only whole elements, texts and groups become optional."""
     units = units_of(wrapper, stream)
-    a, b = repeats(wrapper, units), repeats(stream, units)
-    keys, other = [bare(x) for x in a], [bare(x) for x in b]
+    return together(repeats(wrapper, units), repeats(stream, units), units, 0)
+
+
+def together(a: list, b: list, units: dict[int, set[tuple]], depth: int) -> list:
+    if a == b:
+        return a
+    left, right = [opened(p, units) for p in pieces(a)], [opened(p, units) for p in pieces(b)]
     out: list = []
 
-    def optional(xs: list) -> None:
-        out.extend(x if isinstance(x, tuple) and x[0] == "?" else ("?", (x,)) for x in xs)
+    def put(piece: list, may_lack: bool) -> None:
+        out.extend([("?", tuple(piece))] if may_lack else piece)
 
-    if len(a) * len(b) <= PRODUCT:
+    keys, other = [p[0] for p, _ in left], [p[0] for p, _ in right]
+    if depth >= DEPTH:
+        steps = [("replace", 0, len(keys), 0, len(other))]
+    elif len(keys) * len(other) <= PRODUCT:
         steps = SequenceMatcher(None, keys, other, autojunk=False).get_opcodes()
     else:
-        n = next((i for i, (x, y) in enumerate(zip(keys, other, strict=False)) if x != y), min(len(a), len(b)))
-        k = next((i for i, (x, y) in enumerate(zip(keys[n:][::-1], other[n:][::-1], strict=False)) if x != y), min(len(a), len(b)) - n)
-        steps = [("equal", 0, n, 0, n), ("replace", n, len(a) - k, n, len(b) - k), ("equal", len(a) - k, len(a), len(b) - k, len(b))]
+        n = next((i for i, (x, y) in enumerate(zip(keys, other, strict=False)) if x != y), min(len(keys), len(other)))
+        k = next((i for i, (x, y) in enumerate(zip(keys[n:][::-1], other[n:][::-1], strict=False)) if x != y), min(len(keys), len(other)) - n)
+        steps = [("equal", 0, n, 0, n), ("replace", n, len(keys) - k, n, len(other) - k), ("equal", len(keys) - k, len(keys), len(other) - k, len(other))]
     for what, i, j, k, m in steps:
         if what == "equal":
-            out.extend(x if isinstance(x, tuple) and x[0] == "?" else y if isinstance(y, tuple) and y[0] == "?" else x for x, y in zip(a[i:j], b[k:m], strict=True))
+            for (x, p), (y, q) in zip(left[i:j], right[k:m], strict=True):
+                put(x if x == y else [x[0], *together(x[1:-1], y[1:-1], units, depth + 1), "/"], p or q)
         else:
-            optional(a[i:j])
-            optional(b[k:m])
+            for x, _ in left[i:j] + right[k:m]:
+                put(x, True)
     return out
 
 
@@ -372,8 +397,7 @@ def slots(wrapper: list, fixed: set[int]) -> dict[int, str]:
                     stack.pop()
             else:
                 place, kind = stack[-1]
-                own = _kind(x)
-                stack.append((child(place, x), "b" if kind == "b" or own == "b" else "a" if kind == "a" or own == "a" else "o"))
+                stack.append((child(place, x), within(kind, x)))
 
     walk(wrapper)
     return out
@@ -395,7 +419,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
                 key = (host, json.dumps(as_lists(folded(tokens)), separators=(",", ":"), ensure_ascii=False))
                 seen[key] = seen.get(key, 0) + 1
                 whole: dict[int, str] = {}
-                for place, t in blocks:
+                for place, t, _ in blocks:
                     whole[place] = whole.get(place, "") + "\n" + t
                 for place, t in whole.items():
                     h = xxhash.xxh3_64_intdigest(t) >> 1
@@ -431,8 +455,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
 
 def main_text(page: str, kinds: dict[str, str]) -> str:
-    """The article text of a page by the slots of its host's wrapper."""
-    blocks = [(kinds.get(str(place), "o"), t) for place, t in parse(page)[1]]
+    """The article text of a page by the slots of its host's wrapper; a place that has none is judged by its own elements."""
+    blocks = [(kinds.get(str(place), own), t) for place, t, own in parse(page)[1]]
     wanted = "a" if any(k == "a" for k, _ in blocks) else "o"
     return " ".join(t for k, t in blocks if k == wanted)
 
