@@ -191,6 +191,16 @@ def test_html_query(spark, data):
     assert html_wrappers.extract(odd.where("false")).count() == 0
 
 
+def test_html_template_needs_distinct_pages(spark):
+    frame = lambda main: f"<html><body><div class=top>Our site</div><div class=text><p>{main}</p></div></body></html>"
+    rows = [(i, "http://copies/x", frame("same")) for i in range(5)]
+    rows += [(10 + i, "http://mixed/x", frame(f"own {i}")) for i in range(4)] + [(20 + i, "http://mixed/x", "<html><body><div class=top>Our site</div><section>only copies</section></body></html>") for i in range(4)]
+    rows += [(30 + i, "http://bare/x", "<html><body><div>Our site</div>" + f"<nav>{i}</nav></body></html>") for i in range(4)]
+    got = {r.page_id: r.text for r in html_wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    want = {i: "Our site same" for i in range(5)} | {10 + i: f"own {i}" for i in range(4)} | {20 + i: "only copies" for i in range(4)} | {30 + i: "Our site" for i in range(4)}
+    assert got == want
+
+
 # --- WARC -------------------------------------------------------------------------------------------------------------
 
 

@@ -8,8 +8,9 @@ on all pages is part of the template. Streams are few per host however many page
 are moved, and a host with very many is aligned in shares whose wrappers are aligned with each other.
 
 Every slot is then judged once per host by the elements around it: boilerplate (menus, adverts, forms, comments ...),
-part of an article, or other text. A page's text is that of its article slots, or of its other slots if it has none;
-template text outside of articles is left out.
+part of an article, template, or other text. A page's text is that of its article slots, or of its other slots if it has
+none; template text outside of articles is left out unless nothing else is left. Text is template if several distinct
+pages of the host have it and no page has another one at its place; copies of a page count once.
 
 Null html or url is the empty one; an empty page, or one without text of its own, has the empty text. Repeated rows are
 extracted each; extra columns are left out.
@@ -54,6 +55,8 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: nested elements below which unlike parts are kept side by side.
 SHARE, UNIT, PRODUCT, DEPTH = 200, 24, 4_000_000, 100
 ROOT = 0
+#: Kinds of text that a page's text is made of; the first that it has. A place is template from so many distinct pages on.
+PREFERRED, SEVERAL = "aof", 3
 
 
 def child(path: int, name: str) -> int:
@@ -381,7 +384,7 @@ def pattern(wrapper: list) -> str:
 
 
 def slots(wrapper: list, fixed: set[int]) -> dict[int, str]:
-    """For the place of every text slot: ``b`` boilerplate or template, ``a`` article, ``o`` other text."""
+    """For the place of every text slot: ``b`` boilerplate, ``f`` template, ``a`` article, ``o`` other text."""
     out: dict[int, str] = {}
     stack: list[tuple[int, str]] = [(ROOT, "o")]
 
@@ -391,7 +394,7 @@ def slots(wrapper: list, fixed: set[int]) -> dict[int, str]:
                 walk(x[1])
             elif x == "#":
                 place, kind = stack[-1]
-                out[place] = "b" if kind == "o" and place in fixed else kind
+                out[place] = "f" if kind == "o" and place in fixed else kind
             elif x == "/":
                 if len(stack) > 1:
                     stack.pop()
@@ -412,29 +415,33 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     def streams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: dict[tuple[str, str], int] = {}
-            text: dict[tuple[str, int], list[int]] = {}
+            seen: set[tuple[str, str]] = set()
+            text: dict[tuple[str, int], tuple[set[int], set[int]]] = {}
             for host, page in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
                 tokens, blocks = parse(page)
-                key = (host, json.dumps(as_lists(folded(tokens)), separators=(",", ":"), ensure_ascii=False))
-                seen[key] = seen.get(key, 0) + 1
+                seen.add((host, json.dumps(as_lists(folded(tokens)), separators=(",", ":"), ensure_ascii=False)))
                 whole: dict[int, str] = {}
                 for place, t, _ in blocks:
                     whole[place] = whole.get(place, "") + "\n" + t
+                # Of a place's texts two, and of its pages SEVERAL, are enough to tell one from more.
+                own = xxhash.xxh3_64_intdigest("\n".join(t for _, t, _ in blocks)) >> 1
                 for place, t in whole.items():
-                    h = xxhash.xxh3_64_intdigest(t) >> 1
-                    x = text.setdefault((host, place), [0, h, h])
-                    x[0], x[1], x[2] = x[0] + 1, min(x[1], h), max(x[2], h)
-            rows = [(h, s, 0, n, 0, 0) for (h, s), n in seen.items()] + [(h, "", p, n, lo, hi) for (h, p), (n, lo, hi) in text.items()]
+                    texts, of = text.setdefault((host, place), (set(), set()))
+                    if len(texts) < 2:
+                        texts.add(xxhash.xxh3_64_intdigest(t) >> 1)
+                    if len(of) < SEVERAL:
+                        of.add(own)
+            rows = [(h, s, 0, 0, 0, []) for h, s in seen] + [(h, "", p, min(texts), max(texts), sorted(of)) for (h, p), (texts, of) in text.items()]
             cols = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = (pa.string(), pa.string(), *[pa.int64()] * 4)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "stream", "place", "n", "low", "high"])
+            kinds = (pa.string(), pa.string(), *[pa.int64()] * 3, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "stream", "place", "low", "high", "pages"])
 
-    found = pages.select(host_column().alias("host"), "html").mapInArrow(streams, "host string, stream string, place long, n long, low long, high long")
-    found = kept(found.groupBy("host", "stream", "place").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")), "streams")
+    found = pages.select(host_column().alias("host"), "html").mapInArrow(streams, "host string, stream string, place long, low long, high long, pages array<long>")
+    several = F.size(F.array_distinct(F.flatten(F.collect_list("pages")))) >= SEVERAL
+    found = kept(found.groupBy("host", "stream", "place").agg(several.alias("several"), F.min("low").alias("low"), F.max("high").alias("high")), "streams")
     distinct = found.where("stream <> ''").select("host", "stream")
-    # Text at a place that is one on three pages or more is template.
-    fixed = found.where("stream = '' and n >= 3 and low = high").select("host", "place")
+    # Text at a place that is one on several distinct pages is template.
+    fixed = found.where("stream = '' and several and low = high").select("host", "place")
     shares = distinct.groupBy("host").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
     dealt = distinct.join(shares, "host").withColumn("share", F.pmod(F.xxhash64("stream"), F.col("shares")).cast("int"))
 
@@ -457,7 +464,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
 def main_text(page: str, kinds: dict[str, str]) -> str:
     """The article text of a page by the slots of its host's wrapper; a place that has none is judged by its own elements."""
     blocks = [(kinds.get(str(place), own), t) for place, t, own in parse(page)[1]]
-    wanted = "a" if any(k == "a" for k, _ in blocks) else "o"
+    has = {k for k, _ in blocks}
+    wanted = next((k for k in PREFERRED if k in has), None)
     return " ".join(t for k, t in blocks if k == wanted)
 
 
