@@ -191,6 +191,13 @@ def test_html_query(spark, data):
     assert html_wrappers.extract(odd.where("false")).count() == 0
 
 
+def test_html_words_do_not_lose_articles():
+    text = lambda p: html_wrappers.main_text(p, {})
+    assert text("<div>x</div><div class='content has-sidebar'><p>main</p><div class='post-comments'>c</div></div>") == "main"
+    assert text("<div>x</div><article class='post no-comments'><p>main</p></article>") == "main"
+    assert text("<nav>n</nav><div class='has-sidebar'><p>main</p></div>") == "main" and text("<div class='sidebar'>s</div><p>main</p>") == "main"
+
+
 def test_html_template_needs_distinct_pages(spark):
     frame = lambda main: f"<html><body><div class=top>Our site</div><div class=text><p>{main}</p></div></body></html>"
     rows = [(i, "http://copies/x", frame("same")) for i in range(5)]

@@ -9,10 +9,10 @@ are moved, and a host with very many is aligned in shares whose wrappers are ali
 
 Every slot is then judged once per host by the elements around it: boilerplate (menus, adverts, forms, comments ...),
 part of an article, template, or other text. A page's text is that of its article slots, or of its other slots if it has
-none; template text outside of articles is left out unless nothing else is left. Text is template if several distinct
+none; template text outside of articles, and what is boilerplate by a word alone, is left out unless nothing else is left. Text is template if several distinct
 pages of the host have it and no page has another one at its place; copies of a page count once.
 
-Null html or url is the empty one; an empty page, or one without text of its own, has the empty text. Repeated rows are
+Null html or url is the empty one; an empty page, or one of boilerplate elements only, has the empty text. Repeated rows are
 extracted each; extra columns are left out.
 """
 
@@ -56,7 +56,7 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 SHARE, UNIT, PRODUCT, DEPTH = 200, 24, 4_000_000, 100
 ROOT = 0
 #: Kinds of text that a page's text is made of; the first that it has. A place is template from so many distinct pages on.
-PREFERRED, SEVERAL = "aof", 3
+PREFERRED, SEVERAL = "aofw", 3
 
 
 def child(path: int, name: str) -> int:
@@ -73,14 +73,22 @@ def name_of(tag: str, attributes: str) -> str:
 
 
 def kind_of(name: str) -> str:
-    """``b`` for boilerplate, ``a`` for an article, ``o`` for other elements."""
+    """``b`` for boilerplate by element, ``w`` by a word alone, ``a`` for an article, ``o`` for other elements.
+
+    An article element, or a class, id or role of article words only (``content``, not ``post-comments``), outweighs
+    boilerplate words on the same element (``has-sidebar``).
+    """
     tag, _, rest = name.partition(".")
     if tag in BOILERPLATE:
         return "b"
-    words = set(WORDS.findall(CAMEL.sub(" ", rest.replace("c=", " ").replace("i=", " ").replace("r=", " ")).lower())) if rest else set()
-    if words & BOILERPLATE_WORDS and tag not in ("html", "body"):
-        return "b"
-    return "a" if tag in ARTICLES or words & ARTICLE_WORDS and tag not in ("html", "body") else "o"
+    if tag in ARTICLES:
+        return "a"
+    if not rest or tag in ("html", "body"):
+        return "o"
+    found = [set(WORDS.findall(CAMEL.sub(" ", x).lower())) for part in re.split(r"(?:^|\.)[cir]=", rest) for x in part.split()]
+    if any(w & ARTICLE_WORDS and not w & BOILERPLATE_WORDS for w in found):
+        return "a"
+    return "w" if any(w & BOILERPLATE_WORDS for w in found) else "o"
 
 
 _names: dict[tuple[str, str], str] = {}
@@ -173,7 +181,7 @@ def _find_end(page: str, tag: str, at: int) -> int:
 def within(kind: str, name: str) -> str:
     """Kind of what stands in an element ``name`` that stands in ``kind``."""
     own = _kind(name)
-    return "b" if kind == "b" or own == "b" else "a" if kind == "a" or own == "a" else "o"
+    return next(k for k in "bwao" if k in (kind, own))
 
 
 def parse(page: str) -> tuple[list[str], list[tuple[int, str, str]]]:
@@ -209,7 +217,7 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, str, str]]]:
             if tag == "br":
                 held.append(" ")
                 continue
-            if tag in INLINE and (tag == value or _kind(value) != "b"):
+            if tag in INLINE and (tag == value or _kind(value) not in "bw"):
                 continue
             flush()
             if tag in VOID:
@@ -384,7 +392,7 @@ def pattern(wrapper: list) -> str:
 
 
 def slots(wrapper: list, fixed: set[int]) -> dict[int, str]:
-    """For the place of every text slot: ``b`` boilerplate, ``f`` template, ``a`` article, ``o`` other text."""
+    """For the place of every text slot: ``b`` boilerplate by element, ``w`` by word, ``f`` template, ``a`` article, ``o`` other text."""
     out: dict[int, str] = {}
     stack: list[tuple[int, str]] = [(ROOT, "o")]
 
