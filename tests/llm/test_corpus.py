@@ -157,6 +157,44 @@ def test_model_against_brute_force(spark):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], rel=1e-9) and a[6] == pytest.approx(b[6], rel=1e-9)
 
 
+def brute_scores_of_order(docs, order, held=2, folds=7):
+    tokens = lambda t: [*(t or "").encode().lower().split(), None]
+    train = [["start", *tokens(t)] for i, t in docs if zlib.crc32(("" if i is None else str(i)).encode()) % folds != held]
+    raw = {k: Counter(tuple(x[i : i + k]) for x in train for i in range(len(x) - k + 1)) for k in range(1, order + 1)}
+    counts = {order: raw[order]}
+    for k in range(order - 1, 0, -1):  # the distinct words before, or how often a text starts so
+        counts[k] = Counter(g[1:] for g in raw[k + 1]) + Counter({g: n for g, n in raw[k].items() if g[0] == "start" and k > 1})
+    d = {k: ngram_lm._discounts([sum(v == i for v in c.values()) for i in (1, 2, 3, 4)]) for k, c in counts.items()}
+    after = defaultdict(list)
+    for c in counts.values():
+        for g, n in c.items():
+            after[g[:-1]].append(n)
+    v = len(counts[1])
+
+    def p(context, w):
+        k, of = len(context) + 1, after[context]
+        lower = p(context[1:], w) if context else 1 / (v + 1)
+        if not of:
+            return lower
+        n = counts[k][(*context, w)]
+        return (max(n - d[k][min(n, 3) - 1], 0) if n else 0) / sum(of) + sum(d[k][min(x, 3) - 1] for x in of) / sum(of) * lower
+
+    for i, t in docs:
+        x = ["start", *tokens(t)]
+        yield i, len(x) - 1, sum(math.log10(p(tuple(x[max(0, j - order + 1) : j]), x[j])) for j in range(1, len(x)))
+    assert abs(sum(p(("w3", "w4")[: order - 1], w) for (w,) in [*counts[1], ("new",)]) - 1) < 1e-9
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_longer_models_against_brute_force(spark, order):
+    rng = random.Random(9)
+    docs = [(i, " ".join(words(rng, rng.randrange(0, 60), 12))) for i in range(150)] + [(i, "w1 w2 w3") for i in range(400, 900)] + [(1000, None), (1001, "w1"), (1002, "neu w1 w2 neu"), (None, "w1 w2")]
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_tokens, r.score) for r in ngram_lm.held_out_scores(table, order=order).collect()), key=str)
+    for a, b in zip(got, sorted(brute_scores_of_order(docs, order), key=str), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-9)
+
+
 def test_model_edges(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_lm.held_out_scores(none).count() == 0

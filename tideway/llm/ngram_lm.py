@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark, stored as sorted arrays that workers memory-map.
+"""Interpolated modified Kneser-Ney model of any order from two on, counted in Spark, stored as sorted arrays that workers memory-map.
 
 Words are known by a 64-bit hash. Three passes of tasks write one shard per bucket into the shared folder:
 
@@ -6,6 +6,9 @@ Words are known by a 64-bit hash. Three passes of tasks write one shard per buck
    blocks into a sorted array of hashes with counts. A word's id is its rank in hash order.
 2. Pairs: tasks count (previous id, id), packed in 64 bits, and send packed blocks by a hash of the pair, so that a
    frequent word spreads over all buckets; a bucket's task merges them into a sorted array with counts.
+   From order three on, tasks count whole n-grams instead, and a bucket holds all followers of a context: it writes them
+   and sends the n-grams' endings, one word shorter, to the next lower order; the last ones are the pairs. N-grams below
+   the highest order count behind how many words they stand, at the start of a text how often they occur there.
 3. Words again: each pair shard sends, by ranges of ids, what it knows of a word as context (how often, and followed by
    how many words once, twice, more often) and as continuation (behind how many words).
 
@@ -109,7 +112,7 @@ class Model:
     bits: int  # 2 ** bits shards
     offsets: tuple[int, ...]  # id of the first word of each shard, and the vocabulary's size
     tokens: int
-    discounts: tuple[tuple[float, float, float], tuple[float, float, float]]  # of words, of pairs
+    discounts: tuple[tuple[float, float, float], ...]  # of words, of pairs, of longer n-grams
     continuations: int
     word_mass: float  # discount that all words leave, as a share
 
@@ -178,6 +181,44 @@ class Shards:
                 out[order[a:b]] = np.where(keys[at] == p[a:b], self.shard("pair.count", k, "<u4")[at], 0)
         return out
 
+    def followers(self, k: int, keys: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """[words, 5] of n-grams of order k, by keys of their contexts: count, times a context, followers seen once, twice, more often."""
+        out, order = np.zeros((len(keys), 5), np.int64), np.argsort(keys)
+        for s, a, b in runs((keys[order] >> np.uint64(64 - self.model.bits)).astype(np.int64)):
+            there = self.shard(f"gram{k}.context", s, "<u8")
+            if not len(there):
+                continue
+            rows, own = order[a:b], keys[order[a:b]]
+            at = np.minimum(np.searchsorted(there, own), len(there) - 1)
+            hit = there[at] == own
+            rows, at = rows[hit], at[hit]
+            start, word, count = self.shard(f"gram{k}.start", s, "<u4"), self.shard(f"gram{k}.word", s, "<u4"), self.shard(f"gram{k}.count", s, "u1")
+            big, many = self.shard(f"gram{k}.big", s, "<u8", 2), self.shard(f"gram{k}.many", s, "<u4", 4)
+
+            def counts(i, count=count, big=big):
+                n = count[i].astype(np.int64)
+                over = n == 255
+                if over.any():
+                    n[over] = big[np.searchsorted(big[:, 0], i[over].astype(np.uint64)), 1]
+                return n
+
+            first = start[at].astype(np.int64)
+            low, high = first.copy(), start[at + 1].astype(np.int64)
+            end, w = high.copy(), words[rows]
+            while (low < high).any():
+                mid = (low + high) // 2
+                less_ = (word[np.minimum(mid, len(word) - 1)] < w) & (low < high)
+                low, high = np.where(less_, mid + 1, low), np.where(less_, high, np.minimum(high, mid))
+            found = (low < end) & (word[np.minimum(low, len(word) - 1)] == w)
+            out[rows[found], 0] = counts(low[found])
+            one = end - first == 1
+            n = counts(first[one])
+            out[rows[one], 1:] = np.column_stack([n, n == 1, n == 2, n >= 3])
+            several = many[np.searchsorted(many[:, 0], at[~one].astype(np.uint32))].astype(np.int64)
+            out[rows[~one], 1:4] = several[:, 1:]
+            out[rows[~one], 4] = (end - first)[~one] - several[:, 2] - several[:, 3]
+        return out
+
     def about(self, ids: np.ndarray) -> np.ndarray:
         """[ids, 6] of sorted ids: raw count, times a context, continuations, followers seen once, twice, more often."""
         m, out = self.model, np.zeros((len(ids), 6), np.int64)
@@ -202,6 +243,43 @@ def pair_shard(pairs: np.ndarray, bits: int) -> np.ndarray:
     return (mix(pairs) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def context_keys(ids: list[np.ndarray]) -> np.ndarray:
+    """64-bit keys of contexts of two ids (one to one) or more (hashed); their high bits are the shard."""
+    key = (ids[0].astype(np.uint64) << np.uint64(32)) | ids[1].astype(np.uint64)
+    for x in ids[2:]:
+        key = mix(key) + x.astype(np.uint64)
+    return mix(key)
+
+
+def grams(ids: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Distinct n-grams in order of context key and last word: keys, ids, and the sums of n."""
+    key = context_keys(ids[:-1])
+    order = np.lexsort((ids[-1], key))
+    key, w = key[order], ids[-1][order]
+    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (w[1:] != w[:-1])])) if len(key) else np.empty(0, np.int64)
+    return key[first], [x[order[first]] for x in ids], np.add.reduceat(n[order], first) if len(first) else n
+
+
+def sent_grams(ids: list[np.ndarray], n: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Blocks of n-grams for the shards of their order."""
+    if len(ids) == 2:
+        k, v = summed((ids[0].astype(np.uint64) << np.uint64(32)) | ids[1].astype(np.uint64), n)
+        s = pair_shard(k, bits)
+        order = np.lexsort((k, s))
+        return sent(s[order], k[order], v[order].astype("<u4"))
+    key, ids, n = grams(ids, n)
+    return sent((key >> np.uint64(64 - bits)).astype(np.int64), *(x.astype("<u4") for x in ids), n.astype("<u4"))
+
+
+def numbered(out: pa.RecordBatch, numbers: np.ndarray) -> pa.Table:
+    """Blocks with counts of counts, which travel with the first."""
+    return pa.Table.from_batches([out]).append_column("numbers", pa.array([numbers.tolist() if i == 0 else [0] * len(numbers) for i in range(len(out))], pa.list_(pa.int64())))
+
+
+def counts_of_counts(n: np.ndarray) -> list[int]:
+    return [int((n == i).sum()) for i in (1, 2, 3, 4)]
+
+
 def tokenised(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
     """All words of all texts, and how many each has."""
     words = [t.encode().lower().split() for t in texts]
@@ -279,36 +357,67 @@ def count_words(texts: DataFrame, folder: str, bits: int) -> tuple[tuple[int, ..
     return (0, *np.cumsum([r["words"] for r in got]).tolist()), sum(r["tokens"] for r in got)
 
 
-def count_pairs(texts: DataFrame, words: Model) -> Model:
-    """Passes 2 and 3: writes the pair shards and what is known about each id; the finished model."""
+def layout(keys: np.ndarray, words: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+    """Arrays of a shard: contexts, where their followers start, followers, counts (255: in ``big``), sums for several followers."""
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    start = np.append(first, len(keys))
+    over, many = np.flatnonzero(n >= 255), np.flatnonzero(np.diff(start) > 1)
+    sums = [np.add.reduceat(x.astype(np.int64), first)[many] if len(first) else many for x in (n, n == 1, n == 2)]
+    return {
+        "context": keys[first].astype("<u8"), "start": start.astype("<u4"), "word": words.astype("<u4"), "count": np.minimum(n, 255).astype("u1"),
+        "big": np.column_stack([over, n[over]]).astype("<u8"), "many": np.column_stack([many, *(np.minimum(x, 2**32 - 1) for x in sums)]).astype("<u4"),
+    }
+
+
+def count_grams(texts: DataFrame, words: Model, order: int = 2) -> Model:
+    """Passes 2 and 3: writes the shards of n-grams and what is known about each id; the finished model."""
     folder, bits, start, shift = words.folder, words.bits, words.vocabulary, words.id_shift
+    fill = start + 1  # stands before the start where a text's n-gram is shorter than the order
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards, keys, values, size = Shards(words), [], [], 0
+        shards, held, size = Shards(words), [], 0
         end = shards.end_id()
 
         def out() -> pa.RecordBatch:
-            k, v = summed(np.concatenate(keys), np.concatenate(values))
-            s = pair_shard(k, bits)
-            order = np.lexsort((k, s))
-            return sent(s[order], k[order], v[order].astype("<u4"))
+            *ids, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            got = sent_grams(ids, n, bits)
+            return numbered(got, np.zeros(4 * order + 4, np.int64)).to_batches()[0]
 
         for batch in batches:
             for a, b in slices(texts_of(batch.column(0))):
                 flat, n = tokenised(texts_of(batch.column(0)[a:b]))
                 ids, first = with_ends(shards.ids(flat), n, end)
-                before = np.concatenate([[start], ids[:-1]]) if len(ids) else ids
-                before[first] = start
-                k, v = counted((before.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64))
-                keys.append(k)
-                values.append(v)
-                size += len(k)
+                columns = [ids]
+                for back in range(1, order):
+                    before = np.concatenate([[start], columns[0][:-1]]) if len(ids) else ids
+                    before[first] = start if back == 1 else fill
+                    columns.insert(0, before)
+                if order == 2:
+                    k, v = counted((columns[0].astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64))
+                    held.append(((k >> np.uint64(32)).astype("<u4"), k.astype("<u4"), v))
+                else:
+                    held.append((*(c.astype("<u4") for c in columns), np.ones(len(ids), np.int64)))
+                size += len(held[-1][0])
                 if size > GATHERED:
                     yield out()
-                    keys, values, size = [], [], 0
-        if keys:
+                    held, size = [], 0
+        if size:
             yield out()
 
+    def longer(k: int):
+        def merge(key: tuple, t: pa.Table) -> pa.Table:
+            s = key[0].as_py()
+            blocks = [unpack(x, *["<u4"] * (k + 1)) for x in t.column("block").to_pylist()]
+            *ids, n = (np.concatenate(x) for x in zip(*blocks, strict=True))
+            own, ids, n = grams(ids, n.astype(np.int64))
+            real = ids[0] != fill
+            put(f"{folder}/gram{k}-{s:05d}", layout(own[real], ids[-1][real], n[real]))
+            numbers = np.array(t.column("numbers").to_pylist(), np.int64).sum(0)
+            numbers[4 * k : 4 * k + 4] += counts_of_counts(n[real])
+            return numbered(sent_grams(ids[1:], np.where(real, 1, n), bits), numbers)
+
+        return merge
+
     def merge(key: tuple, t: pa.Table) -> pa.Table:
         s = key[0].as_py()
         blocks = [unpack(x, "<u8", "<u4") for x in t.column("block").to_pylist()]
@@ -321,8 +430,9 @@ def count_pairs(texts: DataFrame, words: Model) -> Model:
         zero = np.zeros(len(ids), np.int64)
         both = summed(np.concatenate([context[0], ids]), *(np.concatenate(x) for x in ((context[1], zero), (np.zeros(len(context[0]), np.int64), n), *((c, zero) for c in context[2:]))))
         out = sent((both[0] >> np.uint64(shift)).astype(np.int64), both[0].astype("<u4"), both[1], *(x.astype("<u4") for x in both[2:]))
-        numbers = [int((v == i).sum()) for i in (1, 2, 3, 4)]
-        return pa.Table.from_batches([out]).append_column("numbers", pa.array([numbers if i == 0 else [0] * 4 for i in range(len(out))], pa.list_(pa.int64())))
+        numbers = np.array(t.column("numbers").to_pylist(), np.int64).sum(0)
+        numbers[8:12] += counts_of_counts(v)
+        return numbered(out, numbers)
 
     def finish(key: tuple, t: pa.Table) -> pa.Table:
         s = key[0].as_py()
@@ -334,27 +444,40 @@ def count_pairs(texts: DataFrame, words: Model) -> Model:
             total[at] += tot
             kinds[at] += np.column_stack(rest).astype(np.int64)
         put(f"{folder}/about-{s:05d}", {"total": total, "kinds": kinds.astype("<u4")})
-        pair_numbers = np.array(t.column("numbers").to_pylist(), np.int64).reshape(-1, 4).sum(0)
+        of_grams = np.array(t.column("numbers").to_pylist(), np.int64).sum(0)
         c = kinds[:, 0]
-        return pa.table({"continuations": [int(c.sum())], "more": [int((c >= 3).sum())], **{f"n{i}": [int((c == i).sum())] for i in (1, 2, 3, 4)}, **{f"p{i + 1}": [int(pair_numbers[i])] for i in range(4)}})
+        return pa.table({"continuations": [int(c.sum())], "more": [int((c >= 3).sum())], **{f"n{i}": [int((c == i).sum())] for i in (1, 2, 3, 4)}, **{f"p{i}": [int(of_grams[i])] for i in range(8, 4 * order + 4)}})
+
+    names = ["continuations", "more", *(f"n{i}" for i in range(1, 5)), *(f"p{i}" for i in range(8, 4 * order + 4))]
+    schema = "shard long, block binary, numbers array<long>"
+
+    def every(k: int) -> DataFrame:
+        """An empty block for every shard, so that each is written."""
+        empty = pack(np.empty(0, "<u8"), np.empty(0, "<u4")) if k == 2 else pack(*[np.empty(0, "<u4")] * (k + 1))
+        return texts.sparkSession.range(1 << bits).select(F.col("id").alias("shard"), F.lit(empty).alias("block"), F.array_repeat(F.lit(0).cast("long"), 4 * order + 4).alias("numbers"))
 
-    names = ["continuations", "more", *(f"n{i}" for i in range(1, 5)), *(f"p{i}" for i in range(1, 5))]
-    pairs = texts.mapInArrow(gather, "shard long, block binary").groupBy("shard").applyInArrow(merge, "shard long, block binary, numbers array<long>")
+    found = texts.mapInArrow(gather, schema)
+    for k in range(order, 2, -1):
+        found = found.unionByName(every(k)).groupBy("shard").applyInArrow(longer(k), schema)
+    pairs = found.unionByName(every(2)).groupBy("shard").applyInArrow(merge, schema)
     got = pairs.groupBy("shard").applyInArrow(finish, ", ".join(f"{n} long" for n in names)).agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names)).first()
-    of_words, of_pairs = _discounts([got[f"n{i}"] for i in range(1, 5)]), _discounts([got[f"p{i}"] for i in range(1, 5)])
+    of_words = _discounts([got[f"n{i}"] for i in range(1, 5)])
+    of_grams = [_discounts([got[f"p{i}"] for i in range(4 * k, 4 * k + 4)]) for k in range(2, order + 1)]
     left = (of_words[0] * got["n1"] + of_words[1] * got["n2"] + of_words[2] * got["more"]) / max(1, got["continuations"])
-    return Model(folder, bits, words.offsets, words.tokens, (of_words, of_pairs), got["continuations"], left)
+    return Model(folder, bits, words.offsets, words.tokens, (of_words, *of_grams), got["continuations"], left)
 
 
-def train(texts: DataFrame, bits: int | None = None) -> Model:
-    """A model of the texts in the one column of ``texts``, in 2 ** bits shards (from the number of shuffle partitions)."""
+def train(texts: DataFrame, bits: int | None = None, order: int = 2) -> Model:
+    """A model of n-grams of up to ``order`` words of the texts in the one column of ``texts``, in 2 ** bits shards (from the number of shuffle partitions)."""
+    if order < 2:
+        raise ValueError("the order is two at least")
     spark: SparkSession = texts.sparkSession
     if bits is None:
         bits = max(6, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     folder = shared_dir(spark, "ngram-model")
     offsets, tokens = count_words(texts, folder, bits)
-    words = Model(folder, bits, offsets, tokens, ((0.5, 1.0, 1.5),) * 2, 0, 1.0)
-    return count_pairs(texts, words) if tokens else words
+    words = Model(folder, bits, offsets, tokens, ((0.5, 1.0, 1.5),) * order, 0, 1.0)
+    return count_grams(texts, words, order) if tokens else words
 
 
 def less(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
@@ -382,7 +505,7 @@ def score_texts(texts: list[str], model: Model) -> dict[str, np.ndarray]:
     facts[there >= 0] = shards.about(there[there >= 0])
     w, u = facts[inverse[: len(ids)]], facts[inverse[len(ids) :]]
     base = np.log10((w[:, 0] + 1) / (model.tokens + v + 1))
-    of_words, of_pairs = model.discounts
+    of_words, of_pairs, *of_longer = model.discounts
     p = np.maximum(less(w[:, 2], of_words), 0) / max(1, model.continuations) + model.word_mass / (v + 1)
     c, known = np.zeros(len(ids), np.int64), (ids >= 0) & (before >= 0)
     if known.any():
@@ -390,6 +513,14 @@ def score_texts(texts: list[str], model: Model) -> dict[str, np.ndarray]:
         c[known] = shards.pair_counts(pairs)[back]
     total = np.maximum(1, u[:, 1])
     p = np.where(u[:, 1] > 0, np.maximum(less(c, of_pairs), 0) / total + (u[:, 3:] @ np.array(of_pairs)) / total * p, p)
+    place = np.arange(len(ids)) - np.repeat(first, n + 1)
+    context = [before]
+    for k, d in enumerate(of_longer, 3):
+        context.insert(0, np.concatenate([[-1], context[0][:-1]]))
+        whole = np.flatnonzero((place >= k - 2) & np.all([x >= 0 for x in context], axis=0))
+        g = shards.followers(k, context_keys([x[whole] for x in context]), ids[whole])
+        total = np.maximum(1, g[:, 1])
+        p[whole] = np.where(g[:, 1] > 0, np.maximum(less(g[:, 0], d), 0) / total + (g[:, 2:] @ np.array(d)) / total * p[whole], p[whole])
     return {"n_tokens": n + 1, "n_known": np.add.reduceat(w[:, 0] > 0, first, dtype=np.int64), "base_score": np.add.reduceat(base, first), "score": np.add.reduceat(np.log10(p), first)}
 
 
@@ -408,8 +539,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
-def held_out_scores(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
+def held_out_scores(docs: DataFrame, folds: int = 7, held: int = 2, order: int = 2) -> DataFrame:
     """Scores of all rows by a model of the rows outside fold ``held``, with held_out."""
-    model = train(docs.where(fold(folds=folds) != held).select("text"))
+    model = train(docs.where(fold(folds=folds) != held).select("text"), order=order)
     s = score(docs, model)
     return s.select("doc_id", (fold(folds=folds) == held).alias("held_out"), *s.columns[1:])

@@ -44,7 +44,7 @@ def op7_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_lm.held_out_scores(table(spark, sf_dir, "documents"))
+    return ngram_lm.held_out_scores(table(spark, sf_dir, "documents"), order=3)
 
 
 def op9_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
