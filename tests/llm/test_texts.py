@@ -351,6 +351,15 @@ HF = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
 HF.encode_special_tokens = True
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.just("<|endoftext|>"), st.text(max_size=12), st.sampled_from([" ", "  ", "\n", "<|", "a", "endoftext|>"])), max_size=8))
+def test_packing_added_tokens(parts):
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    encode = packing.cached(P.path("byte_bpe_50k.json"), P.PATTERN)
+    assert encode("a<|endoftext|>b").tolist() == [64, 50256, 65]
+    assert encode("".join(parts)).tolist() == library.encode("".join(parts), add_special_tokens=False).ids
+
+
 def test_packing_query(spark, odd):
     rows = packing.pack(odd, P.path("byte_bpe_50k.json"), P.PATTERN, 64).collect()
     ids = sorted(([*HF.encode(t or "", add_special_tokens=False).ids, 0] for _, t, *_ in ODD), key=len)

@@ -24,6 +24,7 @@ import zlib
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -53,12 +54,12 @@ def byte_characters() -> dict[str, int]:
 
 
 def tokenizer(path: str, pattern: str) -> tiktoken.Encoding:
-    """The byte-level BPE of a tokenizers file, whose ids are the ranks of its merges; special tokens are ordinary text."""
+    """The byte-level BPE of a tokenizers file, whose ids are the ranks of its merges, with its added tokens."""
     with open(path, encoding="utf-8") as f:
         whole = json.load(f)
-    of, special = byte_characters(), {t["content"] for t in whole["added_tokens"]}
+    of, special = byte_characters(), {t["content"]: t["id"] for t in whole["added_tokens"]}
     ranks = {bytes(of[c] for c in t): i for t, i in whole["model"]["vocab"].items() if t not in special}
-    return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
 _made: dict[str, tiktoken.Encoding] = {}
@@ -67,7 +68,7 @@ _made: dict[str, tiktoken.Encoding] = {}
 def cached(path: str, pattern: str) -> Callable[[str], np.ndarray]:
     if path not in _made:
         _made[path] = tokenizer(path, pattern)
-    return _made[path].encode_to_numpy
+    return partial(_made[path].encode_to_numpy, allowed_special="all")
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
