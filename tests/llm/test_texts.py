@@ -113,6 +113,12 @@ def test_pii_added_spans_need_their_check_and_context():
     assert pii.masked("x a@b.co y +49 30 1234567 z", pii.find("x a@b.co y +49 30 1234567 z")) == "x <EMAIL> y <PHONE> z"
 
 
+def test_pii_ipv6_ends_a_sentence():
+    found = lambda t: [t[a:b] for k, a, b, *_ in pii.find(t) if k == "ipv6"]
+    assert found("host is 2001:db8::7.") == found("host 2001:db8::7: up") == found("host 2001:db8::7. Next") == ["2001:db8::7"]
+    assert found("host 2001:db8::.") == ["2001:db8::"] and found("host 2001:db8::1.2") == found("host 1:2:3:4:5:6:7:8:9") == []
+
+
 def test_pii_is_linear():
     for t in ("a" * 200_000, "1" * 200_000, "1." * 80_000, "@" * 100_000, "+1" * 80_000, "a@" * 80_000, "1 " * 80_000, "1:" * 80_000):
         pii.find(t)

@@ -37,7 +37,7 @@ IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
-IPV6 = re.compile(r"(?<![0-9A-Za-z:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![0-9A-Za-z:.])")
+IPV6 = re.compile(r"(?<![0-9A-Za-z:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?:(?<=::)|(?<!:))(?![0-9A-Za-z]|:[0-9A-Za-z:]|\.[0-9])")
 CARD_OTHER = re.compile(r"(?<![0-9A-Za-z./])[0-9]{4}([./_]|--| - )[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9A-Za-z])")
 PHONE_OTHER = re.compile(r"(?<![0-9A-Za-z+.,/-])(?:00[1-9]|\(?0?[1-9])[0-9]{1,5}\)?(?:[ ./-]?[0-9]{2,5}){2,4}(?![0-9A-Za-z]|[.,][0-9])")
 NATIONAL_ID = re.compile(r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])")
