@@ -242,6 +242,16 @@ def test_warc_encodings():
     assert len(warc.derivatives(response(b"\x00\x01", b"Content-Type: image/png\r\n"))[1]) == 1
 
 
+def test_warc_members_and_unsupported_encodings(spark):
+    import gzip
+
+    two = gzip.compress(b"<p>one</p>") + gzip.compress(b"<p>two</p>")
+    assert warc.derivatives(response(two, b"Content-Type: text/html\r\nContent-Encoding: gzip\r\n"))[1][1][4] == b"one\ntwo"
+    coded = response(b"\x8b\x02\x80<p>", b"Content-Type: text/html\r\nContent-Encoding: br\r\n")
+    rows = warc.derive(spark.createDataFrame([(coded,), (response(b"<p>x", b"Content-Type: text/html\r\n"),)], "record binary")).collect()
+    assert sorted((r.kind, r.problem or "") for r in rows) == [("conversion", ""), ("metadata", ""), ("metadata", "content encoding br is not supported")]
+
+
 def test_warc_query(spark, data, tmp_path):
     got = Q.op1_warc_derivatives(spark, data)
     pages = spark.read.parquet(f"{data}/pages.parquet")

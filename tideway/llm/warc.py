@@ -42,6 +42,9 @@ SOURCE_HEADERS = ("WARC-Target-URI", "WARC-Date", "WARC-IP-Address", "WARC-Paylo
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL namespace of RFC 4122
 SCHEMA = "response_id string, target_uri string, kind string, record_id string, refers_to string, content_type string, block_digest string, payload_digest string, length long, record binary, problem string"
 
+#: Field of a metadata record that says why there is no conversion.
+PROBLEM = "problem"
+
 RAW_TEXT = re.compile(r"<!--|<(script|style|noscript|template|svg|iframe|title|textarea)\b[^>]*+>", re.I)
 BREAKS = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^<>]*+>", re.I)
 TAGS = re.compile(r"<[/!?a-zA-Z][^<>]*+>")
@@ -142,12 +145,37 @@ def dechunked(body: bytes) -> bytes:
         at += 2 if body[at : at + 2] == CRLF else body[at : at + 1] == b"\n"
 
 
+def encodings(encoding: str) -> list[str]:
+    return [x.strip().lower() for x in encoding.split(",") if x.strip()]
+
+
+def unsupported(encoding: str) -> str | None:
+    """What is wrong with content encodings that cannot be undone here."""
+    odd = [e for e in encodings(encoding) if e not in ("gzip", "x-gzip", "deflate", "identity", "none", "utf-8")]
+    return f"content encoding {', '.join(odd)} is not supported" if odd else None
+
+
+def unzipped(body: bytes) -> bytes:
+    """All members of a gzip body; what follows the last one is left out."""
+    out, rest = [], body
+    while rest:
+        one = zlib.decompressobj(47)
+        try:
+            out.append(one.decompress(rest))
+        except zlib.error:
+            if not out:
+                raise
+            break
+        rest = one.unused_data
+    return b"".join(out)
+
+
 def decoded(body: bytes, encoding: str) -> bytes:
     """The body without its content encodings; what cannot be undone stays."""
-    for e in reversed([x.strip().lower() for x in encoding.split(",") if x.strip()]):
+    for e in reversed(encodings(encoding)):
         try:
             if e in ("gzip", "x-gzip"):
-                body = zlib.decompressobj(47).decompress(body)
+                body = unzipped(body)
             elif e == "deflate":
                 try:
                     body = zlib.decompress(body)
@@ -204,10 +232,11 @@ def derivatives(data: bytes) -> tuple[Record, list[tuple[str, str, str, str, byt
     http = Record(header_lines(lines), body)
     if "chunked" in (http.get("Transfer-Encoding") or "").lower():
         body = dechunked(body)
-    payload = decoded(body, http.get("Content-Encoding") or "")
+    coded = unsupported(http.get("Content-Encoding") or "")
+    payload = body if coded else decoded(body, http.get("Content-Encoding") or "")
     media, name = (http.get("Content-Type") or "").partition(";")[0].strip().lower(), charset(http.get("Content-Type") or "", payload)
-    is_html = media in ("text/html", "application/xhtml+xml") or not media and payload.lstrip()[:1] == b"<"
-    page = payload.decode(name, "replace") if is_html or media.startswith("text/") else ""
+    is_html = not coded and (media in ("text/html", "application/xhtml+xml") or not media and payload.lstrip()[:1] == b"<")
+    page = payload.decode(name, "replace") if is_html or not coded and media.startswith("text/") else ""
     digest = r.get("WARC-Payload-Digest") or sha1(body)
     kept = [(h, v) for h in SOURCE_HEADERS if (v := r.get(h) or (digest if h == "WARC-Payload-Digest" else None))]
 
@@ -216,6 +245,8 @@ def derivatives(data: bytes) -> tuple[Record, list[tuple[str, str, str, str, byt
         return kind, own, content_type, digest, block, build(kind, [("WARC-Record-ID", own), *kept, ("WARC-Refers-To", source), *more, ("Content-Type", content_type)], block)
 
     fields = [("http-status", status.decode("latin-1").strip().split(" ")[1] if b" " in status else ""), ("media-type", media), ("charset", name if page else ""), ("payload-length", str(len(payload))), ("payload-digest", sha1(payload))]
+    if coded:
+        fields.append((PROBLEM, coded))
     fields += [("source-block-digest", r.get("WARC-Block-Digest") or sha1(r.block))]
     if is_html:
         if m := TITLE.search(page):
@@ -237,9 +268,14 @@ def derivatives(data: bytes) -> tuple[Record, list[tuple[str, str, str, str, byt
     return r, out
 
 
+def problem_of(block: bytes) -> str | None:
+    """The problem that a metadata block names."""
+    return next((v for k, v in header_lines(block) if k == PROBLEM), None)
+
+
 def derive(responses: DataFrame, column: str = "record", keep: tuple[str, ...] = ()) -> DataFrame:
     """The derivatives of every response record in a binary column, by SCHEMA, behind the columns to keep; what is no
-    response has one row with a problem."""
+    response has one row with a problem, and what has an unsupported content encoding has it with its metadata."""
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     kinds = [pa.int64() if x.endswith("long") else pa.binary() if x.endswith("binary") else pa.string() for x in SCHEMA.split(", ")]
 
@@ -250,7 +286,7 @@ def derive(responses: DataFrame, column: str = "record", keep: tuple[str, ...] =
             for i, data in enumerate(b.column(len(keep)).to_pylist()):
                 try:
                     r, made = derivatives(data or b"")
-                    new = [(r.get("WARC-Record-ID"), r.get("WARC-Target-URI"), kind, own, r.get("WARC-Record-ID"), content_type, sha1(block), digest, len(block), record, None) for kind, own, content_type, digest, block, record in made]
+                    new = [(r.get("WARC-Record-ID"), r.get("WARC-Target-URI"), kind, own, r.get("WARC-Record-ID"), content_type, sha1(block), digest, len(block), record, problem_of(block) if kind == "metadata" else None) for kind, own, content_type, digest, block, record in made]
                 except (ValueError, OSError, EOFError, zlib.error) as e:
                     new = [(None,) * 10 + (str(e) or type(e).__name__,)]
                 rows += new
