@@ -302,6 +302,19 @@ def test_toxicity_learns_and_holds_out(spark):
     assert sorted((r.doc_id, r.score) for r in toxicity.classify(d, flipped).collect()) == sorted((r.doc_id, r.score) for r in got)
 
 
+def test_toxicity_sample_keeps_what_shares_a_passage(spark):
+    rng = random.Random(7)
+    own = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(30))
+    passage = "this is a passage that all of them share"
+    copied = own()
+    texts = [f"{passage}. {own()}. {passage} again" for _ in range(60)] + [f"{copied} {i}" for i in range(20)]
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5][: len(texts)]
+    d = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    l = spark.createDataFrame([(i, n % 2) for n, i in enumerate(ids)], "doc_id long, toxic int")  # noqa: E741
+    got = [(r.text, r.toxic) for r in toxicity.training_rows(d, l).collect()]
+    assert {x for x in got if passage in x[0]} == {(t, n % 2) for n, t in enumerate(texts[:60])} and sorted(n for t, n in got if passage not in t) == [0, 1]
+
+
 def test_toxicity_edges(spark, odd):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.classify(odd, none).collect()

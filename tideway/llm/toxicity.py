@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideway.llm.bagminhash import deduplicate
 from tideway.llm.common import kept, texts_of
 
 #: Labelled rows that fitting reads at most, learned entries kept at most, and the share of folds kept out.
@@ -211,9 +212,8 @@ def fold(id_column: str = "doc_id", folds: int = FOLDS):
 def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(text, toxic) of the sampled rows of the training folds, written once; the ids are at most ``sample_rows`` and so may be broadcast.
 
-    Of documents whose sentence of smallest hash is the same, and of those whose sentence of largest hash is, mostly
-    copies, one row stays: copies are not evidence of their own, and would make any word of a much-copied toxic document
-    look significant.
+    Of near copies with the same label one row stays: copies are not evidence of their own, and would make any word of a
+    much-copied toxic document look significant. A passage that distinct documents share costs none of them.
     """
     some = (
         labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold() != 0))
@@ -222,11 +222,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
         .limit(sample_rows)
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
-    hashes = F.transform(F.filter(F.split("text", SENTENCE_ENDS), lambda s: F.length(s) >= 20), lambda s: F.xxhash64(s))
-    for pick in (F.array_min, F.array_max):
-        key = F.coalesce(pick(hashes), F.xxhash64("text"))
-        rows = rows.groupBy(key.alias("key")).agg(F.min(F.struct("doc_id", "toxic", "text")).alias("r")).select("r.*")
-    return kept(rows.select("text", "toxic"), "toxicity-sample")
+    rows = kept(rows, "toxicity-labelled", light=True)
+    left = [deduplicate(rows.where(F.col("toxic") == t)) for t in (0, 1)]
+    return kept(left[0].unionByName(left[1]).select("text", "toxic"), "toxicity-sample")
 
 
 def surprise(pos, neg, rate: float):
