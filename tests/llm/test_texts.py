@@ -146,10 +146,15 @@ def page(body, side=""):
     return f"<!DOCTYPE html><html><head><title>T &amp; U</title><script>var a='</p><article>';</script></head><body><header>Site</header><nav><ul><li>Home<li>News</ul></nav>{side}<article>{body}</article><footer>&copy; me</footer></body></html>"
 
 
+def by_host(pages):
+    """Texts of the pages of one host, by a wrapper of the pages alone."""
+    w = html_wrappers.read_back(html_wrappers.written(html_wrappers.infer(html_wrappers.parse(p)[0] for p in pages)))
+    return [html_wrappers.main_text(*html_wrappers.parse(p), w, html_wrappers.decide(w, {})) for p in pages]
+
+
 def test_html_rules():
-    def text(p, others=()):
-        wrapper = html_wrappers.infer(html_wrappers.folded(html_wrappers.parse(x)[0]) for x in (p, *others))
-        return html_wrappers.main_text(p, {str(k): v for k, v in html_wrappers.slots(wrapper, set()).items()})
+    def text(p):
+        return by_host([p])[0]
 
     assert text(page("<h1>A &lt;b&gt;</h1><p>one\n two<b>three</b><p>four<br>five")) == "A <b> one twothree four five"
     assert text(page("<p>x</p><div class='comments'><p>mine</p></div><div class=share-bar>s</div><form><p>f</form><aside>a</aside><p>y")) == "x y"
@@ -157,30 +162,70 @@ def test_html_rules():
     assert text("<html><body><div>plain</div><nav>n</nav><p>two</body>") == "plain two"
     assert text("just text &amp; more") == "just text & more" and text("") == "" and text("<article></article>") == ""
     assert text("<article><p title='a > b'>x</p><p data-q=\"unclosed>y</p></article>") in ("x y", "x")
+    assert text("<p>x</p><!-- never <p>ended</p>") == "x" and text("a < b, c <d") == "a < b, c <d"
 
 
 def test_html_alignment():
-    parse = lambda p: html_wrappers.folded(html_wrappers.parse(p)[0])
-    w = html_wrappers.infer([parse("<div><p>a</p><p>b</p><p>c</p></div>"), parse("<div><h2>t</h2><p>a</p></div>"), parse("<div></div>")])
-    assert html_wrappers.pattern(w).count(")+") == 1 and ")?" in html_wrappers.pattern(w)
-    assert html_wrappers.as_stream(json.loads(json.dumps(html_wrappers.as_lists(w)))) == w
+    parse = lambda p: html_wrappers.parse(p)[0]
+    w = html_wrappers.infer([parse("<main><p>a</p><p>b</p><p>c</p></main>"), parse("<main><h2>t</h2><p>a</p></main>"), parse("<ul><li>x</ul>")])
+    assert html_wrappers.pattern(w) == "<main>? <h2>? #PCDATA </> <p>+ #PCDATA </> </> <ul>? <li> #PCDATA </> </>"
+    assert html_wrappers.written(html_wrappers.read_back(html_wrappers.written(w))) == html_wrappers.written(w)
+    several = parse("<dl>" + "<dt>t<dd>d" * 3 + "</dl>")
+    assert html_wrappers.pattern(several) == "<dl> <(dt dd)>+ <dt> #PCDATA </> <dd> #PCDATA </> </> </>"
+    one = html_wrappers.infer([several, parse("<dl><dt>t<dd>d</dl>")])
+    assert html_wrappers.pattern(one) == html_wrappers.pattern(parse("<dl>" + "<dt>t<dd>d" * 3 + "</dl>"))
+    long = "".join(f"<h{1 + i % 6} class=k{chr(97 + i)}>x</h{1 + i % 6}>" for i in range(26))
+    assert len(html_wrappers.texts_in(parse(long * 3))) == 26  # a unit of 26 elements
 
 
 def test_html_wrapper_keeps_every_place():
     a, b = "<article><h1>A</h1><p>one</p><p>two</p></article>", "<article><h1>B</h1><section><h2>h</h2><p>three</p><p>four</p></section></article>"
     pages = (a, b, "<article><section><p>x</p></section><div><h1>C</h1></div></article><footer><p>f</p></footer>")
+    assert by_host(pages) == ["A one two", "B h three four", "x C"]
+    assert html_wrappers.main_text(*html_wrappers.parse("<article><h1>A</h1></article><nav>n</nav>")) == "A"
+    deep = [html_wrappers.parse("<div>" * n + "x" + "</div>" * n)[0] for n in (300, 700, 3000)]
+    assert len(html_wrappers.texts_in(html_wrappers.infer(deep))) == 3
+
+
+trees = st.recursive(st.sampled_from(["x", "y "]), lambda kids: st.tuples(st.sampled_from(["div", "p", "ul", "h2", "section", "div class=a", "div class=b"]), st.lists(kids, max_size=5)).map(lambda t: f"<{t[0]}>{''.join(t[1])}</{t[0].split()[0]}>"), max_leaves=25)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(trees, min_size=1, max_size=6))
+def test_html_every_text_has_a_slot(pages):
     parsed = [html_wrappers.parse(p) for p in pages]
-    w = html_wrappers.infer(html_wrappers.folded(tokens) for tokens, _ in parsed)
-    kinds = html_wrappers.slots(w, set())
-    assert {block[0] for _, blocks in parsed for block in blocks} == set(kinds) and html_wrappers.balanced(html_wrappers.as_stream(w))
-    assert [html_wrappers.main_text(p, {str(k): v for k, v in kinds.items()}) for p in pages] == ["A one two", "B h three four", "x C"]
-    assert html_wrappers.main_text("<article><h1>A</h1></article><nav>n</nav>", {}) == "A"
-    deep = [html_wrappers.folded(html_wrappers.parse("<div>" * n + "x")[0]) for n in (300, 700, 3000)]
-    assert len(html_wrappers.slots(html_wrappers.infer(deep), set())) == 3
+    w = html_wrappers.read_back(html_wrappers.written(html_wrappers.infer(html_wrappers.parse(p)[0] for p in pages)))
+    slots = html_wrappers.semantic(w)
+    for root, blocks in parsed:
+        found = html_wrappers.placed(w, root)
+        # Where a group of one page is cut differently on another, its texts may lack a slot; nearly never.
+        assert len(found) >= 0.5 * len(blocks) and all(slots[s] == blocks[i][2] for i, s in found.items())
+
+
+def strange(i, main, ad="", head=""):
+    """A page without any telling element or class; ``i`` makes menu and footer the same on all pages."""
+    return f"""<html><body><div class=qa><ul><li><a href=/a>Start</a><li><a href=/b>Neues</a><li><a href=/c{i}>Seite {i}</a></ul></div><div class=qb>{head}<h1>Kopf {i}</h1>{main}</div>
+    <div class=qc>{ad}</div><div class=qd><div class=qe>Alle Rechte bei uns</div></div></body></html>"""
+
+
+def test_html_wrapper_decides(spark):
+    body = lambda i: "".join(f"<p>Satz {j} der Seite {i}, und {'noch ' * (i % 4)}mehr.</p>" for j in range(2 + i % 3))
+    ads = ["Kaufen Sie dies", "Kaufen Sie das"]
+    pages = [strange(i, body(i) + "<ul><li>Punkt</ul>" * (i % 2), ads[i % 2], "<h2>Gleiche Rubrik</h2>") for i in range(12)]
+    rows = [(i, "http://odd.example/x", p) for i, p in enumerate(pages)] + [(100 + i, "http://two.example/x", strange(0, "<p>Copies of it</p>")) for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html_wrappers.extract(df).collect()}
+    want = {i: " ".join(re.sub("<[^>]+>", " ", re.search("<div class=qb>(.*?)</div>", p, re.S)[1]).split()) for i, p in enumerate(pages)}
+    assert {i: got[i] for i in want} == want
+    assert "Gleiche Rubrik" in got[3] and all("Copies of it" in got[100 + i] for i in range(5))  # one page shows nothing about its host
+    alone = [html_wrappers.main_text(*html_wrappers.parse(p)) for p in pages]  # each page by its own elements
+    assert all("Alle Rechte" in t and t != want[i] for i, t in enumerate(alone))
+    r = html_wrappers.wrappers(df).where("host = 'odd.example'").first()
+    assert "0div.c=qb" in r.wrapper and set("mlf") <= set(r.kinds)
 
 
 def test_html_is_linear():
-    for p in ("<a href='" * 20_000, "<!--" * 50_000, "<script>" * 20_000, "<p>" * 50_000, "<" * 100_000, "<div" * 50_000, '<a b="' * 20_000):
+    for p in ("<a href='" * 20_000, "<!--" * 50_000, "<script>" * 20_000, "<p>" * 50_000, "<" * 100_000, "<div" * 50_000, '<a b="' * 20_000, "<p>x" * 50_000, "<h2>a</h2><p>x</p>" * 20_000, "<a href='" * 20_000 + "<!--", "<a href='" * 20_000 + ">"):
         html_wrappers.parse(p)
 
 
@@ -198,7 +243,7 @@ def test_html_query(spark, data):
 
 
 def test_html_words_do_not_lose_articles():
-    text = lambda p: html_wrappers.main_text(p, {})
+    text = lambda p: html_wrappers.main_text(*html_wrappers.parse(p))
     assert text("<div>x</div><div class='content has-sidebar'><p>main</p><div class='post-comments'>c</div></div>") == "main"
     assert text("<div>x</div><article class='post no-comments'><p>main</p></article>") == "main"
     assert text("<nav>n</nav><div class='has-sidebar'><p>main</p></div>") == "main" and text("<div class='sidebar'>s</div><p>main</p>") == "main"
@@ -208,9 +253,11 @@ def test_html_template_needs_distinct_pages(spark):
     frame = lambda main: f"<html><body><div class=top>Our site</div><div class=text><p>{main}</p></div></body></html>"
     rows = [(i, "http://copies/x", frame("same")) for i in range(5)]
     rows += [(10 + i, "http://mixed/x", frame(f"own {i}")) for i in range(4)] + [(20 + i, "http://mixed/x", "<html><body><div class=top>Our site</div><section>only copies</section></body></html>") for i in range(4)]
+    rows += [(40 + i, "http://repeated/x", "<div class='x'><p>The whole main text of this page.</p></div>") for i in range(3)]
     rows += [(30 + i, "http://bare/x", "<html><body><div>Our site</div>" + f"<nav>{i}</nav></body></html>") for i in range(4)]
     got = {r.page_id: r.text for r in html_wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
     want = {i: "Our site same" for i in range(5)} | {10 + i: f"own {i}" for i in range(4)} | {20 + i: "only copies" for i in range(4)} | {30 + i: "Our site" for i in range(4)}
+    want |= {40 + i: "The whole main text of this page." for i in range(3)}
     assert got == want
 
 
