@@ -119,6 +119,36 @@ def test_pii_ipv6_ends_a_sentence():
     assert found("host 2001:db8::.") == ["2001:db8::"] and found("host 2001:db8::1.2") == found("host 1:2:3:4:5:6:7:8:9") == []
 
 
+def test_pii_national_numbers():
+    kinds = lambda t: [s[0] for s in pii.find(t)]
+    assert kinds("SSN 123-45-6789") == ["national_id"] and not kinds("123-45-6789")
+    assert not any(kinds(f"SSN {n}") for n in ("000-45-6789", "666-45-6789", "900-45-6789", "123-00-6789", "123-45-0000", "078-05-1120"))
+    assert kinds("identity 12345678Z") == kinds("identity X1234567-L") == ["national_id"] and not kinds("identity 12345678A")
+    key = f"{97 - 1850578006084 % 97:02d}"
+    assert kinds(f"security 1850578006084{key}") == ["national_id"] and not kinds(f"security 1850578006084{int(key) % 97 + 1:02d}")
+    assert not kinds("token 11111111222222223333333344444444")  # not random
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a@b.co", "10.0.0.1", "call 030 1234 5678", "+49 30 1234567", "4111 1111 1111 1111", "card 4111.1111.1111.1111", "host 2001:db8::1", "SSN 123-45-6789", " ", "IBAN DE89 3704 0044 0532 0130 00"]), max_size=12))
+def test_pii_added_spans_against_all_pairs(parts):
+    text = " ".join(parts)
+    base, taken, want = pii.base_spans(text), [], []
+    taken = [(s, e) for _, s, e in base]
+    for kind, pattern in pii.PROPOSE.items():
+        for m in pattern.finditer(text):
+            s, e = m.span()
+            if pii.CONFIRM[kind](m[0]) and pii.score(kind, text, s, e) >= pii.THRESHOLD and all(e <= x or y <= s for x, y in taken):
+                want.append((kind, s, e))
+                taken.append((s, e))
+    assert sorted(want) == sorted(x[:3] for x in pii.added_spans(text, base))
+
+
+def test_pii_many_spans():
+    text = "call 030 1234 5678, mail a@b.co; " * 100_000
+    assert len(pii.find(text)) == 200_000
+
+
 def test_pii_is_linear():
     for t in ("a" * 200_000, "1" * 200_000, "1." * 80_000, "@" * 100_000, "+1" * 80_000, "a@" * 80_000, "1 " * 80_000, "1:" * 80_000):
         pii.find(t)

@@ -1,9 +1,9 @@
 """Personal data in text: regular expressions propose spans, checks confirm them, context words adjust their score.
 
 Base kinds (email, ip, card, phone) are the leftmost non-overlapping matches of fixed patterns, kept or dropped by
-their check alone. Added kinds need more: an IBAN its mod-97, an IPv6 address its parse, a card or phone number in
-another notation, or an access token in hexadecimal, its check *and* a score of at least THRESHOLD, which words close to
-the span raise or lower.
+their check alone. Added kinds need more: an IBAN its mod-97, an IPv6 address its parse, a card number in another
+notation Luhn, a phone number its digits, a national number its check letter, key or rules, an access token in
+hexadecimal the entropy of a random one, *and* a score of at least THRESHOLD, which words close to the span raise or lower.
 
 Every scan is linear: a match of the e-mail pattern is found from its @, and runs of digits are entered at their start
 only, which gives the same matches as the plain patterns without their quadratic retries on long runs.
@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import hashlib
 import ipaddress
+import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -40,7 +42,7 @@ IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Z
 IPV6 = re.compile(r"(?<![0-9A-Za-z:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?:(?<=::)|(?<!:))(?![0-9A-Za-z]|:[0-9A-Za-z:]|\.[0-9])")
 CARD_OTHER = re.compile(r"(?<![0-9A-Za-z./])[0-9]{4}([./_]|--| - )[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9A-Za-z])")
 PHONE_OTHER = re.compile(r"(?<![0-9A-Za-z+.,/-])(?:00[1-9]|\(?0?[1-9])[0-9]{1,5}\)?(?:[ ./-]?[0-9]{2,5}){2,4}(?![0-9A-Za-z]|[.,][0-9])")
-NATIONAL_ID = re.compile(r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])")
+NATIONAL_ID = re.compile(r"(?<![0-9A-Za-z-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9XYZ][0-9]{7}-?[A-Z]|[12](?: ?[0-9]){14})(?![0-9A-Za-z-])")
 
 # Words that speak for a kind and words that speak for some other number.
 CONTEXT = {
@@ -133,31 +135,69 @@ def _ipv6(s: str) -> bool:
         return False
 
 
+def national_id(s: str) -> bool:
+    """Rules of the three notations: numbers never given out (US), check letter modulo 23 (ES), key modulo 97 (FR)."""
+    if s[3:4] == "-":
+        return s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[7:] != "0000" and s not in NEVER_GIVEN
+    if s[-1].isalpha():
+        return LETTERS[int(s[:8].translate(FOREIGN)) % 23] == s[-1]
+    d = digits(s)
+    return 97 - int(d[:13]) % 97 == int(d[13:])
+
+
+# Numbers printed in advertisements; the check letters by remainder; what X, Y and Z stand for.
+NEVER_GIVEN = ("078-05-1120", "219-09-9999")
+LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+FOREIGN = str.maketrans("XYZ", "012")
+
+
+def entropy(s: str) -> float:
+    """Bits a character."""
+    n = len(s)
+    return -sum(k / n * math.log2(k / n) for k in Counter(s).values())
+
+
 CONFIRM = {
     "iban": lambda s: 15 <= len(t := s.replace(" ", "")) <= 34 and mod97(t),
     "ipv6": _ipv6,
     "card_other": lambda s: 13 <= len(d := digits(s)) <= 19 and luhn(d),
     "phone_other": lambda s: 7 <= len(digits(s)) <= 15,
-    "national_id": lambda s: True,
-    "secret": lambda s: len(set(s)) >= 8,
+    "national_id": national_id,
+    "secret": lambda s: entropy(s) >= 3,
 }
 PROPOSE = {"iban": IBAN, "ipv6": IPV6, "card_other": CARD_OTHER, "phone_other": PHONE_OTHER, "national_id": NATIONAL_ID, "secret": SECRET}
 
 
 def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, float]]:
     """Spans of the added kinds with their score; none overlaps a base span or an earlier kind's span."""
-    taken = [(s, e) for _, s, e in base]
-    out = []
+    out: list[tuple[str, int, int, float]] = []
     if not HAS_DIGIT(text):
         return out
+    taken = united([(s, e) for _, s, e in base])
     for kind, pattern in PROPOSE.items():
-        if kind == "ipv6" and text.count(":") < 2 or kind == "national_id" and "-" not in text:
+        if kind == "ipv6" and text.count(":") < 2:
             continue
+        new, i = [], 0
         for m in pattern.finditer(text):
             s, e = m.span()
-            if CONFIRM[kind](m[0]) and (p := score(kind, text, s, e)) >= THRESHOLD and not any(s < y and x < e for x, y in taken):
-                out.append((kind, s, e, p))
-                taken.append((s, e))
+            while i < len(taken) and taken[i][1] <= s:  # matches and what is taken are both in order
+                i += 1
+            if (i == len(taken) or taken[i][0] >= e) and CONFIRM[kind](m[0]) and (p := score(kind, text, s, e)) >= THRESHOLD:
+                new.append((kind, s, e, p))
+        if new:
+            out += new
+            taken = united(taken + [(s, e) for _, s, e, _ in new])
+    return out
+
+
+def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Disjoint spans that cover the same characters, in order."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
     return out
 
 
