@@ -1,6 +1,7 @@
 """Operators on whole corpora against brute force."""
 
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tideway.llm import bagminhash, learned_partitions, linking, ngram_lm, toxicity
+from tideway.llm import bagminhash, common, learned_partitions, linking, ngram_lm, toxicity
 from tideway.llm import queries as Q
 
 
@@ -87,9 +88,16 @@ def corpus(rng):
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize("block", [1000, 7])
-def test_near_duplicates_against_all_pairs(spark, block, monkeypatch):
-    monkeypatch.setattr(linking, "BLOCK", block)
+def small_bounds(monkeypatch):
+    """Bounds at which a small table has hot keys, several blocks and too many edges for one task."""
+    for module, name, value in ((linking, "BLOCK", 7), (linking, "FEW", 10), (linking, "COMMON", 5), (common, "COMMON", 5)):
+        monkeypatch.setattr(module, name, value)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_near_duplicates_against_all_pairs(spark, small, monkeypatch):
+    if small:
+        small_bounds(monkeypatch)
     docs = corpus(random.Random(6))
     table = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, class_id string").repartition(5)
     got = bagminhash.near_duplicates(table).collect()
@@ -113,7 +121,37 @@ def test_near_duplicate_edges(spark):
     assert bagminhash.near_duplicates(table.where("false")).count() == 0 and bagminhash.deduplicate(table.where("false")).count() == 0
 
 
-def test_components(spark):
+def test_registers_are_guarded():
+    one = np.zeros(1, np.int64), np.ones(1, np.uint64), np.ones(1)
+    for m in (0, 3, 100, 512):
+        with pytest.raises(ValueError):
+            bagminhash.signatures(*one, 1, m)
+    assert bagminhash.signatures(*one, 1, 256).shape == (1, 256)
+
+
+def test_spread_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "COMMON", 10)
+    left = spark.createDataFrame([(i % 7 if i % 3 else 1, i) for i in range(300)] + [(99, 1000)], "k long, v long")
+    right = left.groupBy("k").agg(F.count("*").alias("n")).where("k <> 99").withColumn("w", F.col("k") * 10)
+    got = common.spread_join(left, right, "k", "n")
+    assert got.columns == ["k", "v", "n", "w"] and sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(right, "k").collect()))
+
+
+def test_tables_are_deleted(spark, data, tmp_path):
+    def there():
+        root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+        return {x for x in os.listdir(root)}
+
+    before = there()
+    got = bagminhash.deduplicate(spark.read.parquet(f"{data}/documents.parquet"))
+    assert got.count() > 0
+    assert {x.rsplit("-", 1)[0] for x in there() - before} == {"dropped"}  # what the result reads
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_components(spark, small, monkeypatch):
+    if small:
+        small_bounds(monkeypatch)
     rng = random.Random(1)
     pairs = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 80)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(70)]
     ids = {x for p in pairs for x in p}

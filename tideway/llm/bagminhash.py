@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideway.llm.common import WordHashes, kept, mix, ragged, text_slices
+from tideway.llm.common import WordHashes, freed, kept, mix, ragged, spread_join, text_slices
 from tideway.llm.linking import classes
 
 SHINGLE = 5
@@ -67,6 +67,8 @@ def multisets(texts: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np.nd
 
 def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, texts: int, m: int = M) -> np.ndarray:
     """uint32 signatures [texts, m] of weighted sets; the rows of texts without elements are zero."""
+    if m & (m - 1) or not 0 < m <= 256:
+        raise ValueError("registers must be a power of two up to 256, as eight bits of a hash choose one")
     best = np.full((texts, m), np.inf)
     total = np.bincount(doc, weight, texts)
     blocks = np.where(weight > 1, np.ceil(np.log2(np.maximum(weight, 2))).astype(np.int64), 0) + 1
@@ -167,21 +169,28 @@ def bags_of(docs: DataFrame, rows: DataFrame, width: int):
     return table
 
 
-def groups(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY, m: int = M, bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
-    """(doc_id, digest, text_id, class_id) of every row: text_id is the smallest id with an equal text, class_id the smallest of the near-duplicates."""
+def texts_and_classes(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY, m: int = M, bands: int = BANDS, band_rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest) of every row; (doc_id, digest, copies, text_id, class_id) of every distinct text, doc_id the smallest of its rows."""
     signed = kept(sign(docs, width, m), "signatures")
     texts = kept(signed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "texts")
+    ids = kept(signed.select("doc_id", "digest"), "ids", light=True, frees=[signed])
     # Ids are unique but for rows of one id with different texts; such texts get ids of their own, below all others.
     twice = texts.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("digest").alias("first")).where("n > 1 or doc_id is null").withColumnRenamed("doc_id", "twice_id")
     own = F.when(F.col("first").isNull() & F.col("doc_id").isNotNull(), F.col("doc_id")).when(F.col("digest") == F.col("first"), F.col("doc_id"))
     other = F.lit(-(2**62)) + F.shiftrightunsigned(F.xxhash64("digest"), 2)
-    texts = texts.join(twice, F.col("doc_id").eqNullSafe(F.col("twice_id")), "left").select("doc_id", "digest", "sig", F.coalesce(own, other).alias("id"))
-    texts = kept(texts, "text-ids", light=True)
+    named = texts.join(twice, F.col("doc_id").eqNullSafe(F.col("twice_id")), "left").select("doc_id", "digest", "copies", "sig", F.coalesce(own, other).alias("id"))
+    texts = kept(named, "text-ids", light=True, frees=[texts])
     rows = texts.select("id", "doc_id", "digest")
     plausible = similarity - SLACK * (similarity * (1 - similarity) / m) ** 0.5
     roots = classes(texts.select("id", "sig"), "<u4", bands, band_rows, agreement, plausible, bags_of(docs, rows, width), jaccard, similarity)
-    named = texts.join(roots, "id", "left").select("digest", F.col("id").alias("text_id"), F.coalesce("root", "id").alias("class_id"))
-    return signed.select("doc_id", "digest").join(named, "digest").select("doc_id", "digest", "text_id", "class_id")
+    found = texts.join(roots, "id", "left").select("doc_id", "digest", "copies", F.col("id").alias("text_id"), F.coalesce("root", "id").alias("class_id"))
+    return ids, kept(found, "classes", light=True, frees=[texts, roots])
+
+
+def groups(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, digest, text_id, class_id) of every row: text_id is the smallest id with an equal text, class_id the smallest of the near-duplicates."""
+    ids, texts = texts_and_classes(docs, **options)
+    return spread_join(ids, texts.drop("doc_id"), "digest", "copies").select("doc_id", "digest", "text_id", "class_id")
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -191,17 +200,16 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each group of near-duplicates, that of the smallest id; all columns stay as they are."""
-    found = kept(groups(docs, **options), "groups", light=True)
-    keys = lambda: F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    drop = found.where("text_id <> class_id").select("doc_id", "digest").distinct()
-    # Of equal texts the smallest id stays; rows that repeat id and text are reduced to one.
-    equal = found.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    drop = drop.unionByName(found.join(equal.withColumnRenamed("doc_id", "keep"), "digest").where(~F.col("doc_id").eqNullSafe(F.col("keep"))).select("doc_id", "digest")).distinct()
-    again = found.groupBy("doc_id", "digest").count().where("count > 1")
-    marked = docs.withColumn("__digest", keys())
-    drop = drop.select(F.col("doc_id").alias("__drop"), F.col("digest").alias("__drop_digest"))
-    same = F.col("doc_id").eqNullSafe(F.col("__drop")) & (F.col("__digest") == F.col("__drop_digest"))
-    left = marked.join(drop, same, "left_anti")
-    if not again.isEmpty():
+    ids, texts = texts_and_classes(docs, **options)
+    # Of a class the text of its own id stays, with the smallest id that has it; rows that repeat id and text are one.
+    stays = texts.where("text_id = class_id").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__of"))
+    same = lambda a, b: F.col(a).eqNullSafe(F.col("__id")) & (F.col(b) == F.col("__of"))
+    counted = kept(ids.groupBy("doc_id", "digest").count(), "rows", light=True, frees=[ids])
+    drop = kept(counted.join(stays, same("doc_id", "digest"), "left_anti").select("doc_id", "digest"), "dropped", light=True)
+    again = not counted.where("count > 1").isEmpty()
+    freed(counted, texts)
+    marked = docs.withColumn("__digest", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    left = marked.join(drop.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__of")), same("doc_id", "__digest"), "left_anti")
+    if again:
         left = left.dropDuplicates(["doc_id", "__digest"])
     return left.drop("__digest")

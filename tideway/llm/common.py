@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
+import weakref
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -10,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Characters of text that a worker turns into Python objects at a time.
@@ -89,17 +93,34 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame, name: str, light: bool = False) -> DataFrame:
+def kept(df: DataFrame, name: str, light: bool = False, frees: Iterable[DataFrame] = ()) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: no lineage, survives lost executors, known size.
 
     A light table, of a few numbers for each row and little work, goes to an eighth as many files as there are partitions.
+    Tables in ``frees``, which nothing but this one reads, are deleted once it is written; what a result still reads is
+    deleted when the driver ends.
     """
     spark = df.sparkSession
     path = shared_dir(spark, name)
     if light:
         df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+    _left.setdefault(spark, set()).add(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _at[out] = path
+    freed(*frees)
+    return out
+
+
+_at: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_left: dict[SparkSession, set[str]] = {}
+
+
+def freed(*tables: DataFrame) -> None:
+    """Deletes tables that kept wrote and nothing reads any more."""
+    for t in tables:
+        if path := _at.pop(t, None):
+            dropped(t.sparkSession, [path])
 
 
 def dropped(spark: SparkSession, paths: Iterable[str]) -> None:
@@ -108,3 +129,33 @@ def dropped(spark: SparkSession, paths: Iterable[str]) -> None:
     for p in paths:
         at = jvm.org.apache.hadoop.fs.Path(p)
         at.getFileSystem(conf).delete(at, True)
+        _left.get(spark, set()).discard(p)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, paths in _left.items():
+        with contextlib.suppress(Exception):  # the session may be gone
+            dropped(spark, list(paths))
+
+
+#: Rows of one key that a task takes as a matter of course, and most keys that are told to have more.
+COMMON, HOT_KEYS = 1_000, 50_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, n: str, left_rows: int | None = None) -> DataFrame:
+    """left joined with right (one row a key, with column ``n``, the rows of left that have it) such that no key is one task.
+
+    A key with more than COMMON rows, or a HOT_KEYS-th of all, is dealt into as many shares as it holds that many rows.
+    There are at most HOT_KEYS such keys, whatever the input, so that they may be broadcast.
+    """
+    total = left.count() if left_rows is None else left_rows
+    least = max(COMMON, total // HOT_KEYS)
+    hot = right.where(F.col(n) > least).select(F.col(key).alias("__hot"), F.ceil(F.col(n) / least).cast("int").alias("__shares"))
+    if hot.isEmpty():
+        return left.join(right, key)
+    hot = F.broadcast(hot)
+    share = F.pmod(F.xxhash64(*left.columns), F.coalesce("__shares", F.lit(1))).cast("int")
+    dealt = left.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__share", share).select(*left.columns, "__share")
+    every = right.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__share", F.explode(F.sequence(F.lit(0), F.coalesce("__shares", F.lit(1)) - 1))).select(*right.columns, "__share")
+    return dealt.join(every, [key, "__share"]).drop("__share")

@@ -2,7 +2,8 @@
 
 Pairs are compared in two steps, so that a group of many like texts costs about one pair per text and not all pairs:
 
-1. In each bucket (texts that agree in a band) every text is paired with the bucket's smallest id, its leader.
+1. In each bucket (texts that agree in a band) every text is paired with the bucket's smallest id, its leader. Buckets and
+   leaders with many texts are dealt into shares; a leader's multiset goes once to each share.
 2. A text that is not connected with the leader of a bucket is compared with all members of that bucket that it is not
    connected with either. Buckets are compared block against block, never in one task; a pair is compared in the first
    band that it shares only, signatures leave out pairs that they make implausible, and the likeliest come first, so that
@@ -10,7 +11,7 @@ Pairs are compared in two steps, so that a group of many like texts costs about
 
 What a pair is held to is the caller's exact measure. At the end any two texts of one bucket are connected, or do not hold, or
 their signatures make it implausible that they do: the components are those of all pairs of all buckets. They come from
-alternating star contractions over tables in the shared folder.
+alternating star contractions over tables in the shared folder, or from one task where the links are few.
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideway.llm.common import kept, mix
+from tideway.llm.common import COMMON, HOT_KEYS, freed, kept, mix, spread_join
 
 #: Texts of a bucket, and bytes of their bags, that one task compares with as many others.
 BLOCK, BLOCK_BYTES = 1_000, 16_000_000
+#: Edges that one task contracts (two numbers each).
+FEW = 2_000_000
 
 
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -54,23 +57,32 @@ def matrix(column: pa.Array, dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(rows), dtype).reshape(len(rows), -1) if rows else np.empty((0, 1), dtype)
 
 
-def with_both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
-    """pairs (a, b) with a_value and b_value of ``table`` (id, value)."""
-    for side in "ab":
-        pairs = pairs.join(table.select(F.col("id").alias(side), F.col(value).alias(f"{side}_{value}")), side)
-    return pairs
+def held(pairs: DataFrame, table: DataFrame, value: str, holds: Callable[[bytes, list[bytes]], np.ndarray]) -> DataFrame:
+    """The pairs (a, b) of a written table for which holds(value of b, values of a), by ``table`` (id, value).
 
-
-def plausible_pairs(pairs: DataFrame, sigs: DataFrame, dtype: str, likeness: Callable[[np.ndarray, np.ndarray], np.ndarray], least: float) -> DataFrame:
-    """The pairs (a, b) whose signatures are at least that alike."""
+    Rows are streamed by b: its value goes once to each share of its partners, not to each partner.
+    """
+    n, degree = pairs.count(), pairs.groupBy("b").agg(F.count("*").alias("n"))
+    least = max(COMMON, n // HOT_KEYS)  # so many b at most have more
+    hot = F.broadcast(degree.where(F.col("n") > least).select(F.col("b").alias("hot"), F.ceil(F.col("n") / least).cast("int").alias("shares")))
+    dealt = pairs.join(hot, F.col("b") == F.col("hot"), "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("shares", F.lit(1))).cast("int").alias("share"))
+    asks = dealt.join(table.select(F.col("id").alias("a"), value), "a").select("b", "share", "a", value)
+    centres = dealt.select("b", "share").distinct().join(table.select(F.col("id").alias("b"), value), "b").select("b", "share", F.lit(None).cast("long").alias("a"), value)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = matrix(b.column(2), dtype), matrix(b.column(3), dtype)
-            ok = likeness(x, y) >= least if len(x) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], names=["a", "b"])
+        centre = None
+        for batch in batches:
+            b, share = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (share[1:] != share[:-1])])) if len(b) else ()
+            for x, y in zip(first, [*first[1:], len(b)], strict=True):
+                if not batch.column(2)[x].is_valid:  # a share starts with its centre
+                    centre, x = batch.column(3)[x].as_py(), x + 1
+                a, values = batch.column(2)[x:y], batch.column(3)[x:y].to_pylist()
+                if values:
+                    ok = pa.array(holds(centre, values), pa.bool_())
+                    yield pa.RecordBatch.from_arrays([a.filter(ok), batch.column(0)[x:y].filter(ok)], names=["a", "b"])
 
-    return with_both(pairs, sigs, "sig").select("a", "b", "a_sig", "b_sig").mapInArrow(run, "a long, b long")
+    return asks.unionByName(centres).repartition("b", "share").sortWithinPartitions("b", "share", "a").mapInArrow(run, "a long, b long")
 
 
 def classes(
@@ -90,19 +102,16 @@ def classes(
     are in a bucket with others, and ``similarity`` compares one bag with others; a link has at least ``least``.
     """
     all_keys = buckets(sigs, dtype, bands, rows)
-    led = all_keys.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("members")).where("members > 1")
-    keys = kept(all_keys.join(led, "key"), "buckets")
+    led = kept(all_keys.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("members")).where("members > 1"), "leaders", light=True)
+    keys = kept(spread_join(all_keys, led, "key", "members", sigs.count() * bands), "buckets", frees=[led])
     table = bags(keys.select("id").distinct())
-
-    def hold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = pa.array([similarity(x, [y])[0] >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
-
-    stars = keys.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-    likely = kept(plausible_pairs(stars, sigs, dtype, likeness, plausible), "pairs", light=True)
-    first = kept(with_both(likely, table, "bag").select("a", "b", "a_bag", "b_bag").mapInArrow(hold, "a long, b long"), "links", light=True)
-    cells = blocks(keys.where("members > 2"), components(first), table).join(sigs, "id").join(table, "id")
+    stars = kept(keys.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), "stars", light=True)
+    alike = lambda x, others: likeness(np.frombuffer(b"".join(others), dtype).reshape(len(others), -1), np.frombuffer(x, dtype)[None, :]) >= plausible
+    likely = kept(held(stars, sigs, "sig", alike), "pairs", light=True, frees=[stars])
+    first = kept(held(likely, table, "bag", lambda x, others: similarity(x, others) >= least), "links", light=True, frees=[likely])
+    roots = components(first)
+    dealt, members = blocks(keys.where("members > 2"), roots, table)
+    cells = dealt.join(sigs, "id").join(table, "id")
 
     def compare(key: tuple, t: pa.Table) -> pa.Table:
         bucket, ids, root, asks, loose = key[0].as_py(), *(t.column(c).to_numpy() for c in ("id", "root", "asks", "loose"))
@@ -136,47 +145,78 @@ def classes(
                 at, size = at + size, min(64, 2 * size)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    more = kept(cells.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"), "links")
-    return components(first.unionByName(more))
+    more = kept(cells.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"), "links", light=True, frees=[keys, table, members])
+    if more.isEmpty():
+        freed(first, more)
+        return roots
+    out = components(first.unionByName(more))
+    freed(first, more, roots)
+    return out
 
 
-def blocks(keys: DataFrame, roots: DataFrame, table: DataFrame) -> DataFrame:
-    """(key, i, j, id, root, asks, loose): the texts that are not connected with their leader (loose) ask all members of the bucket.
+def blocks(keys: DataFrame, roots: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, i, j, id, root, asks, loose), and the written table that it reads: the texts that are not connected with their leader (loose) ask all members of the bucket.
 
     Loose texts are dealt into rows i of blocks and members into columns j, so that a block has about BLOCK texts or
     BLOCK_BYTES of bags of either.
     """
-    root = lambda t, c: t.join(roots.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
-    rows = root(root(keys, "id"), "leader").select("key", "id", F.col("id_root").alias("root"), (F.col("id_root") != F.col("leader_root")).alias("loose"))
+    led = keys.where("id = leader").select("key", "leader", "members").join(roots.select(F.col("id").alias("leader"), F.col("root").alias("leader_root")), "leader", "left").select("key", F.coalesce("leader_root", "leader").alias("leader_root"), "members")
+    own = keys.select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    n = keys.count()
+    rows = spread_join(own, led, "key", "members", n).select("key", "id", "root", (F.col("root") != F.col("leader_root")).alias("loose"))
     sizes = table.select("id", F.octet_length("bag").alias("size"))
     rows = kept(rows.join(sizes, "id"), "members", light=True)
     number = lambda n, size: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(size) / BLOCK_BYTES), F.lit(1)).cast("int")
     counts = rows.groupBy("key").agg(F.count_if("loose").alias("n"), F.sum(F.when(F.col("loose"), F.col("size")).otherwise(0)).alias("b"), F.count("*").alias("m"), F.sum("size").alias("c"))
-    counts = counts.where("n > 0").select("key", number("n", "b").alias("is"), number("m", "c").alias("js"))
+    counts = counts.where("n > 0").select("key", "m", number("n", "b").alias("is"), number("m", "c").alias("js"))
     mine = lambda n: F.pmod(F.xxhash64("id", F.lit(7)), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = rows.join(counts, "key")
+    own = spread_join(rows, counts, "key", "m", n)
     asking = own.where("loose").select("key", "id", "root", "loose", F.lit(True).alias("asks"), mine("is").alias("i"), all_of("js").alias("j"))
     asked = own.select("key", "id", "root", "loose", F.lit(False).alias("asks"), all_of("is").alias("i"), mine("js").alias("j"))
-    return asking.unionByName(asked)
+    return asking.unionByName(asked), rows
+
+
+def contracted(edges: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, root) of edges (v, u) that one task may hold: labels sink along edges, and then along labels."""
+    batches = list(edges)
+    v, u = (np.concatenate([b.column(i).to_numpy() for b in batches] or [np.empty(0, np.int64)]) for i in range(2))
+    ids, at = np.unique(np.concatenate([v, u]), return_inverse=True)
+    v, u, label = at[: len(v)], at[len(v) :], np.arange(len(ids))
+    while True:
+        low, before = np.minimum(label[v], label[u]), label.copy()
+        for x in (label[v], label[u], v, u):
+            np.minimum.at(label, x, low)
+        while (label[label] != label).any():
+            label = label[label]
+        if (label == before).all():
+            break
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[label])], names=["id", "root"])
 
 
 def components(pairs: DataFrame) -> DataFrame:
-    """(id, root): for every id in ``pairs`` (a, b) the smallest id that it is connected to."""
+    """(id, root): for every id in ``pairs`` (a, b) the smallest id that it is connected to; a written table.
+
+    Up to FEW edges are contracted by one task, more by alternating star contractions.
+    """
     edges = kept(pairs.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v <> u").distinct(), "edges", light=True)
+    n = edges.count()
+    if n <= FEW:
+        return kept(edges.coalesce(1).mapInArrow(contracted, "id long, root long"), "roots", light=True, frees=[edges])
     state = None
     while True:
         # Large star: every larger neighbour of a vertex moves to the smallest neighbour.
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        low = both.groupBy("v").agg(F.min(F.least("u", "v")).alias("m"))
-        large = both.where("u > v").join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
+        low = both.groupBy("v").agg(F.min(F.least("u", "v")).alias("m"), F.count("*").alias("n"))
+        large = spread_join(both.where("u > v"), low, "v", "n", n).select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
+        large = kept(large, "edges", light=True, frees=[edges])
         # Small star: every smaller neighbour, and the vertex itself, moves to the smallest neighbour.
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
-        joined = large.join(low, "v")
-        small = joined.select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(low.select("v", F.col("m").alias("u"))).where("v <> u").distinct()
-        edges = kept(small, "edges", light=True)
+        low = large.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, low, "v", "n").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(low.select("v", F.col("m").alias("u"))).where("v <> u").distinct()
+        edges = kept(small, "edges", light=True, frees=[large])
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if now == state:
             break
-        state = now
-    return edges.select(F.col("v").alias("id"), F.col("u").alias("root")).unionByName(edges.select(F.col("u").alias("id"), F.col("u").alias("root")).distinct())
+        state, n = now, now[0]
+    roots = edges.select(F.col("v").alias("id"), F.col("u").alias("root")).unionByName(edges.select(F.col("u").alias("id"), F.col("u").alias("root")).distinct())
+    return kept(roots, "roots", light=True, frees=[edges])
