@@ -4,11 +4,13 @@ Words are known by a 64-bit hash. Three passes of tasks write one shard per buck
 
 1. Words: tasks count their own words and send each bucket of hashes one packed block; a bucket's task merges the
    blocks into a sorted array of hashes with counts. A word's id is its rank in hash order.
-2. Pairs: tasks count (previous id, id), packed in 64 bits, and send packed blocks by a hash of the pair, so that a
-   frequent word spreads over all buckets; a bucket's task merges them into a sorted array with counts.
+2. Pairs: tasks count (previous id, id), scrambled one to one into a key, and send packed blocks by its first bits, so that
+   a frequent word spreads over all buckets; a bucket's task merges them into a sorted array with counts.
    From order three on, tasks count whole n-grams instead, and a bucket holds all followers of a context: it writes them
    and sends the n-grams' endings, one word shorter, to the next lower order; the last ones are the pairs. N-grams below
    the highest order count behind how many words they stand, at the start of a text how often they occur there.
+   A key's first bits are its shard, the next ones its place in a table of offsets, and only the rest is stored: 32 bits
+   for vocabularies of millions of words.
 3. Words again: each pair shard sends, by ranges of ids, what it knows of a word as context (how often, and followed by
    how many words once, twice, more often) and as continuation (behind how many words).
 
@@ -35,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideway.llm.common import mix, shared_dir, slices, texts_of
+from tideway.llm.common import mix, shared_dir, text_slices
 
 END = xxhash.xxh3_64_intdigest(b"\n")  # no word holds white space
 #: Entries that a task gathers before it sends them.
@@ -63,7 +65,7 @@ def summed(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
     """Distinct keys in order, and the sums of their values."""
     if not len(keys):
         return [keys, *values]
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return [keys[first], *(np.add.reduceat(v[order], first) for v in values)]
@@ -124,13 +126,23 @@ class Model:
     def id_shift(self) -> int:
         return max(0, (self.vocabulary + 1).bit_length() - self.bits)
 
+    @property
+    def id_bits(self) -> int:
+        """Bits of an id, those that stand for a start and before it included."""
+        return (self.vocabulary + 2).bit_length()
+
 
 class Shards:
     """The mapped shards of a model, opened as they are needed; one instance in each worker."""
 
-    def __init__(self, model: Model, words_only: bool = False):
+    def __init__(self, model: Model):
         self.model, self.open = model, {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Remembered words: their slots, and by slot their ids and, where asked for, what is known about them."""
         self.known: dict[bytes, int] = {}
+        self.ids_of, self.facts_of = np.empty(0, np.int64), np.empty((0, 6), np.int64)
 
     def shard(self, name: str, s: int, kind: str, columns: int = 1) -> np.ndarray:
         key = (name, s)
@@ -138,81 +150,90 @@ class Shards:
             self.open[key] = mapped(f"{self.model.folder}/{name.split('.')[0]}-{s:05d}.{name.split('.')[1]}", kind, columns)
         return self.open[key]
 
-    def find_words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (-1: unknown) of sorted hashes, and their counts."""
-        m, ids, c = self.model, np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
+    def find_words(self, hashes: np.ndarray) -> np.ndarray:
+        """Ids (-1: unknown) of sorted hashes."""
+        m, ids = self.model, np.full(len(hashes), -1, np.int64)
         shard = (hashes >> np.uint64(64 - m.bits)).astype(np.int64)
         for s, a, b in runs(shard):
             keys = self.shard("word.hash", s, "<u8")
             if len(keys):
                 at = np.minimum(np.searchsorted(keys, hashes[a:b]), len(keys) - 1)
-                hit = keys[at] == hashes[a:b]
-                ids[a:b] = np.where(hit, m.offsets[s] + at, -1)
-                c[a:b] = np.where(hit, self.shard("word.count", s, "<i8")[at], 0)
-        return ids, c
+                ids[a:b] = np.where(keys[at] == hashes[a:b], m.offsets[s] + at, -1)
+        return ids
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        """Ids of words, -1 where unknown; remembered up to a bound."""
+    def slots(self, words: list[bytes], facts: bool = False) -> np.ndarray:
+        """Slots of words; remembered up to a bound, and then from the start again."""
         new = set(words).difference(self.known)
         if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known.clear()
+            self.forget()
             new = set(words)
         if new:
             some = list(new)
             h = np.fromiter(map(xxhash.xxh3_64_intdigest, some), np.uint64, len(some))
             order = np.argsort(h)
             found = np.empty(len(some), np.int64)
-            found[order] = self.find_words(h[order])[0]
-            self.known.update(zip(some, found.tolist(), strict=True))
+            found[order] = self.find_words(h[order])
+            self.known.update(zip(some, range(len(self.known), len(self.known) + len(some)), strict=True))
+            self.ids_of = np.concatenate([self.ids_of, found])
+            if facts:
+                self.facts_of = np.concatenate([self.facts_of, self.about(found)])
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        """Ids of words, -1 where unknown."""
+        at = self.slots(words)
+        return self.ids_of[at]
+
     def end_id(self) -> int:
-        return int(self.find_words(np.array([END], np.uint64))[0][0])
-
-    def pair_counts(self, pairs: np.ndarray) -> np.ndarray:
-        """Counts of distinct packed pairs."""
-        s = pair_shard(pairs, self.model.bits)
-        order = np.lexsort((pairs, s))
-        out, p = np.zeros(len(pairs), np.int64), pairs[order]
-        for k, a, b in runs(s[order]):
-            keys = self.shard("pair.key", k, "<u8")
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, p[a:b]), len(keys) - 1)
-                out[order[a:b]] = np.where(keys[at] == p[a:b], self.shard("pair.count", k, "<u4")[at], 0)
+        return int(self.find_words(np.array([END], np.uint64))[0])
+
+    def find(self, table: str, keys: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(shard, rows, places) for the keys that a table of keys has."""
+        bits = self.model.bits
+        wide, small = split_of(width, bits)
+        shard = (keys >> np.uint64(64 - bits)).astype(np.uint32)
+        order = np.argsort(shard.astype(np.uint16) if bits <= 16 else shard, kind="stable")
+        for s, a, b in runs(shard[order]):
+            stored = self.shard(f"{table}.low", s, "<u4" if small else "<u8")
+            if not len(stored):
+                continue
+            rows = order[a:b]
+            place = (keys[rows] << np.uint64(bits)) >> np.uint64(64 - wide)
+            offsets = self.shard(f"{table}.offset", s, "<u4")
+            low, high = offsets[place].astype(np.int64), offsets[place + np.uint64(1)].astype(np.int64)
+            at = lower_bound(stored, rest_of(keys[rows], wide, bits, small), low, high)
+            hit = at < high
+            hit[hit] = stored[at[hit]] == rest_of(keys[rows[hit]], wide, bits, small)
+            yield s, rows[hit], at[hit]
+
+    def counts(self, table: str, s: int, at: np.ndarray) -> np.ndarray:
+        n = self.shard(f"{table}.count", s, "u1")[at].astype(np.int64)
+        over = n == 255
+        if over.any():
+            big = self.shard(f"{table}.big", s, "<u8", 2)
+            n[over] = big[np.searchsorted(big[:, 0], at[over].astype(np.uint64)), 1]
+        return n
+
+    def pair_counts(self, keys: np.ndarray) -> np.ndarray:
+        """Counts of pairs by their keys."""
+        out = np.zeros(len(keys), np.int64)
+        for s, rows, at in self.find("pair", keys, 2 * self.model.id_bits):
+            out[rows] = self.counts("pair", s, at)
         return out
 
     def followers(self, k: int, keys: np.ndarray, words: np.ndarray) -> np.ndarray:
         """[words, 5] of n-grams of order k, by keys of their contexts: count, times a context, followers seen once, twice, more often."""
-        out, order = np.zeros((len(keys), 5), np.int64), np.argsort(keys)
-        for s, a, b in runs((keys[order] >> np.uint64(64 - self.model.bits)).astype(np.int64)):
-            there = self.shard(f"gram{k}.context", s, "<u8")
-            if not len(there):
-                continue
-            rows, own = order[a:b], keys[order[a:b]]
-            at = np.minimum(np.searchsorted(there, own), len(there) - 1)
-            hit = there[at] == own
-            rows, at = rows[hit], at[hit]
-            start, word, count = self.shard(f"gram{k}.start", s, "<u4"), self.shard(f"gram{k}.word", s, "<u4"), self.shard(f"gram{k}.count", s, "u1")
-            big, many = self.shard(f"gram{k}.big", s, "<u8", 2), self.shard(f"gram{k}.many", s, "<u4", 4)
-
-            def counts(i, count=count, big=big):
-                n = count[i].astype(np.int64)
-                over = n == 255
-                if over.any():
-                    n[over] = big[np.searchsorted(big[:, 0], i[over].astype(np.uint64)), 1]
-                return n
-
-            first = start[at].astype(np.int64)
-            low, high = first.copy(), start[at + 1].astype(np.int64)
-            end, w = high.copy(), words[rows]
-            while (low < high).any():
-                mid = (low + high) // 2
-                less_ = (word[np.minimum(mid, len(word) - 1)] < w) & (low < high)
-                low, high = np.where(less_, mid + 1, low), np.where(less_, high, np.minimum(high, mid))
-            found = (low < end) & (word[np.minimum(low, len(word) - 1)] == w)
-            out[rows[found], 0] = counts(low[found])
+        out, table = np.zeros((len(keys), 5), np.int64), f"gram{k}"
+        for s, rows, at in self.find(table, keys, 2 * self.model.id_bits if k == 3 else 64):
+            start, word, many = self.shard(f"{table}.start", s, "<u4"), self.shard(f"{table}.word", s, "<u4"), self.shard(f"{table}.many", s, "<u4", 4)
+            first, end = start[at].astype(np.int64), start[at + 1].astype(np.int64)
+            w = words[rows].astype(np.uint32)
+            there = lower_bound(word, w, first, end)
+            found = there < end
+            found[found] = word[there[found]] == w[found]
+            out[rows[found], 0] = self.counts(table, s, there[found])
             one = end - first == 1
-            n = counts(first[one])
+            n = self.counts(table, s, first[one])
             out[rows[one], 1:] = np.column_stack([n, n == 1, n == 2, n >= 3])
             several = many[np.searchsorted(many[:, 0], at[~one].astype(np.uint32))].astype(np.int64)
             out[rows[~one], 1:4] = several[:, 1:]
@@ -220,18 +241,51 @@ class Shards:
         return out
 
     def about(self, ids: np.ndarray) -> np.ndarray:
-        """[ids, 6] of sorted ids: raw count, times a context, continuations, followers seen once, twice, more often."""
-        m, out = self.model, np.zeros((len(ids), 6), np.int64)
-        for s, a, b in runs(ids >> m.id_shift):
-            at = ids[a:b] - (s << m.id_shift)
-            out[a:b, 1] = self.shard("about.total", s, "<i8")[at]
-            out[a:b, 2:] = self.shard("about.kinds", s, "<u4", 4)[at]
-        for s, a, b in runs(np.searchsorted(m.offsets, ids, side="right") - 1):
+        """[ids, 6]: raw count, times a context, continuations, followers seen once, twice, more often; zeros for -1."""
+        m, out, order = self.model, np.zeros((len(ids), 6), np.int64), np.argsort(ids)
+        order = order[ids[order] >= 0]
+        own = ids[order]
+        for s, a, b in runs(own >> m.id_shift):
+            at = own[a:b] - (s << m.id_shift)
+            out[order[a:b], 1] = self.shard("about.total", s, "<i8")[at]
+            out[order[a:b], 2:] = self.shard("about.kinds", s, "<u4", 4)[at]
+        for s, a, b in runs(np.searchsorted(m.offsets, own, side="right") - 1):
             if s < len(m.offsets) - 1:
-                out[a:b, 0] = self.shard("word.count", s, "<i8")[ids[a:b] - m.offsets[s]]
+                out[order[a:b], 0] = self.shard("word.count", s, "<i8")[own[a:b] - m.offsets[s]]
         return out
 
 
+def split_of(width: int, bits: int) -> tuple[int, bool]:
+    """Bits of a key of ``width`` bits that place it in its shard's table of offsets, and whether 32 bits hold the rest."""
+    wide = min(16, max(8, width - bits - 32))
+    return wide, width - bits - wide <= 32
+
+
+def rest_of(keys: np.ndarray, wide: int, bits: int, small: bool) -> np.ndarray:
+    rest = keys << np.uint64(bits + wide)
+    return (rest >> np.uint64(32)).astype("<u4") if small else rest
+
+
+def key_table(keys: np.ndarray, width: int, bits: int) -> dict[str, np.ndarray]:
+    """Arrays of a shard's sorted keys: what is left of each behind its shard and place, and where each place starts."""
+    wide, small = split_of(width, bits)
+    place = (keys << np.uint64(bits)) >> np.uint64(64 - wide)
+    return {"low": rest_of(keys, wide, bits, small), "offset": np.searchsorted(place, np.arange((1 << wide) + 1, dtype=np.uint64)).astype("<u4")}
+
+
+def lower_bound(stored: np.ndarray, wanted: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """For each wanted value the first place in stored[low:high], sorted, that is not below it."""
+    low, high = low.copy(), high.copy()
+    open_ = np.flatnonzero(low < high)
+    while len(open_):
+        mid = (low[open_] + high[open_]) >> 1
+        below = stored[mid] < wanted[open_]
+        low[open_[below]] = mid[below] + 1
+        high[open_[~below]] = mid[~below]
+        open_ = open_[low[open_] < high[open_]]
+    return low
+
+
 def runs(sorted_values: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(value, from, to) of each run of equal values."""
     if len(sorted_values):
@@ -239,36 +293,90 @@ def runs(sorted_values: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield from zip(sorted_values[first].tolist(), first.tolist(), [*first[1:].tolist(), len(sorted_values)], strict=True)
 
 
-def pair_shard(pairs: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(pairs) >> np.uint64(64 - bits)).astype(np.int64)
+_ODD = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+
+
+def pair_keys(u: np.ndarray, w: np.ndarray, id_bits: int) -> np.ndarray:
+    """One-to-one keys of pairs of ids: scrambled within their bits, which stand first in the 64."""
+    width = 2 * id_bits
+    mask, half = np.uint64((1 << width) - 1), np.uint64(id_bits)
+    x = (u.astype(np.uint64) << half) | w.astype(np.uint64)
+    for odd in _ODD:
+        x ^= x >> half
+        x = (x * np.uint64(odd & int(mask))) & mask
+    return (x ^ (x >> half)) << np.uint64(64 - width)
+
 
+def pairs_of(keys: np.ndarray, id_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of ids that keys stand for."""
+    width = 2 * id_bits
+    mask, half = (1 << width) - 1, np.uint64(id_bits)
+    x = keys >> np.uint64(64 - width)
+    for odd in reversed(_ODD):
+        x ^= x >> half
+        x = (x * np.uint64(pow(odd & mask, -1, 1 << width))) & np.uint64(mask)
+    x ^= x >> half
+    return x >> half, x & np.uint64((1 << id_bits) - 1)
 
-def context_keys(ids: list[np.ndarray]) -> np.ndarray:
-    """64-bit keys of contexts of two ids (one to one) or more (hashed); their high bits are the shard."""
-    key = (ids[0].astype(np.uint64) << np.uint64(32)) | ids[1].astype(np.uint64)
+
+def context_keys(ids: list[np.ndarray], id_bits: int) -> np.ndarray:
+    """64-bit keys of contexts of two ids (one to one) or more (hashed); their first bits are the shard."""
+    key = pair_keys(ids[0], ids[1], id_bits)
     for x in ids[2:]:
-        key = mix(key) + x.astype(np.uint64)
-    return mix(key)
+        key = mix(mix(key) + x.astype(np.uint64))
+    return key
+
+
+def in_order(key: np.ndarray, w: np.ndarray, width: int, id_bits: int) -> np.ndarray:
+    """Order of n-grams by key and last word; in one number where 64 bits hold both."""
+    if width + id_bits <= 64:
+        return np.argsort(key | (w.astype(np.uint64) << np.uint64(64 - width - id_bits)))
+    return np.lexsort((w, key))
+
 
+def first_of(key: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (w[1:] != w[:-1])])) if len(key) else np.empty(0, np.int64)
 
-def grams(ids: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Distinct n-grams in order of context key and last word: keys, ids, and the sums of n."""
-    key = context_keys(ids[:-1])
-    order = np.lexsort((ids[-1], key))
-    key, w = key[order], ids[-1][order]
-    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (w[1:] != w[:-1])])) if len(key) else np.empty(0, np.int64)
-    return key[first], [x[order[first]] for x in ids], np.add.reduceat(n[order], first) if len(first) else n
 
+def gaps(key: np.ndarray, width: int) -> np.ndarray:
+    """Sorted keys as differences, which compress well."""
+    return np.diff(key >> np.uint64(64 - width), prepend=np.uint64(0))
 
-def sent_grams(ids: list[np.ndarray], n: np.ndarray, bits: int) -> pa.RecordBatch:
-    """Blocks of n-grams for the shards of their order."""
+
+def ungapped(gap: np.ndarray, width: int) -> np.ndarray:
+    return np.cumsum(gap, dtype=np.uint64) << np.uint64(64 - width)
+
+
+def sent_grams(ids: list[np.ndarray], n: np.ndarray, model: Model) -> pa.RecordBatch:
+    """Blocks of n-grams for the shards of their order: pairs and triples by key, longer ones with their ids."""
+    bits, b = model.bits, model.id_bits
     if len(ids) == 2:
-        k, v = summed((ids[0].astype(np.uint64) << np.uint64(32)) | ids[1].astype(np.uint64), n)
-        s = pair_shard(k, bits)
-        order = np.lexsort((k, s))
-        return sent(s[order], k[order], v[order].astype("<u4"))
-    key, ids, n = grams(ids, n)
-    return sent((key >> np.uint64(64 - bits)).astype(np.int64), *(x.astype("<u4") for x in ids), n.astype("<u4"))
+        key, n = summed(pair_keys(*ids, b), n)
+        return sent(key, bits, 2 * b, n.astype("<u4"))
+    width = 2 * b if len(ids) == 3 else 64
+    key = context_keys(ids[:-1], b)
+    if len(ids) == 3 and width + b <= 64 and n.max(initial=1) == 1:  # no more than sorting numbers
+        whole, n = counted(key | (ids[2].astype(np.uint64) << np.uint64(64 - width - b)))
+        key, w = (whole >> np.uint64(64 - width)) << np.uint64(64 - width), (whole >> np.uint64(64 - width - b)) & np.uint64((1 << b) - 1)
+        return sent(key, bits, width, w.astype("<u4"), n.astype("<u4"))
+    order = in_order(key, ids[-1], width, b)
+    key, ids = key[order], [x[order] for x in ids]
+    first = first_of(key, ids[-1])
+    n = np.add.reduceat(n[order], first) if len(first) else n
+    columns = ids[2:] if len(ids) == 3 else ids
+    return sent(key[first], bits, width, *(x[first].astype("<u4") for x in columns), n.astype("<u4"))
+
+
+def sent(key: np.ndarray, bits: int, width: int, *arrays: np.ndarray) -> pa.RecordBatch:
+    """A packed block for each shard, of sorted keys and what goes with them."""
+    parts = list(runs((key >> np.uint64(64 - bits)).astype(np.int64)))
+    return pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in parts], pa.int64()), pa.array([pack(gaps(key[a:b], width), *(x[a:b] for x in arrays)) for _, a, b in parts], pa.binary())], names=["shard", "block"])
+
+
+def joined(blocks: list[bytes], width: int, *kinds: str) -> list[np.ndarray]:
+    """Keys and what goes with them, of all blocks."""
+    parts = [unpack(x, "<u8", *kinds) for x in blocks]
+    return [np.concatenate([ungapped(p[0], width) for p in parts]), *(np.concatenate([p[i] for p in parts]) for i in range(1, len(kinds) + 1))]
 
 
 def numbered(out: pa.RecordBatch, numbers: np.ndarray) -> pa.Table:
@@ -296,12 +404,6 @@ def with_ends(ids: np.ndarray, n: np.ndarray, end: int) -> tuple[np.ndarray, np.
     return out, last - n
 
 
-def sent(shard: np.ndarray, *arrays: np.ndarray) -> pa.RecordBatch:
-    """A packed block for each shard; rows are in order of shard."""
-    parts = list(runs(shard))
-    return pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in parts], pa.int64()), pa.array([pack(*(x[a:b] for x in arrays)) for _, a, b in parts], pa.binary())], names=["shard", "block"])
-
-
 def fold(id_column: str = "doc_id", folds: int = 7):
     """crc32 of the id as text, modulo ``folds``."""
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % F.lit(folds)
@@ -324,11 +426,11 @@ def count_words(texts: DataFrame, folder: str, bits: int) -> tuple[tuple[int, ..
 
         def out() -> pa.RecordBatch:
             k, v = summed(np.concatenate(keys), np.concatenate(values))
-            return sent((k >> np.uint64(64 - bits)).astype(np.int64), k, v)
+            return sent(k, bits, 64, v)
 
         for batch in batches:
-            for a, b in slices(texts_of(batch.column(0))):
-                words, n = tokenised(texts_of(batch.column(0)[a:b]))
+            for _, _, texts_ in text_slices(batch.column(0)):
+                words, n = tokenised(texts_)
                 new = set(words).difference(hashes)
                 if len(hashes) + len(new) > KNOWN_WORDS:
                     hashes.clear()
@@ -346,8 +448,7 @@ def count_words(texts: DataFrame, folder: str, bits: int) -> tuple[tuple[int, ..
 
     def merge(key: tuple, t: pa.Table) -> pa.Table:
         s = key[0].as_py()
-        blocks = [unpack(x, "<u8", "<i8") for x in t.column("block").to_pylist()]
-        k, v = summed(*(np.concatenate([b[i] for b in blocks]) for i in range(2)))
+        k, v = summed(*joined(t.column("block").to_pylist(), 64, "<i8"))
         put(f"{folder}/word-{s:05d}", {"hash": k, "count": v})
         return pa.table({"shard": [s], "words": [len(k)], "tokens": [int(v.sum())]})
 
@@ -357,22 +458,29 @@ def count_words(texts: DataFrame, folder: str, bits: int) -> tuple[tuple[int, ..
     return (0, *np.cumsum([r["words"] for r in got]).tolist()), sum(r["tokens"] for r in got)
 
 
-def layout(keys: np.ndarray, words: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
-    """Arrays of a shard: contexts, where their followers start, followers, counts (255: in ``big``), sums for several followers."""
+def small_counts(n: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts in a byte each; 255 stands for what is in ``big``."""
+    over = np.flatnonzero(n >= 255)
+    return {"count": np.minimum(n, 255).astype("u1"), "big": np.column_stack([over, n[over]]).astype("<u8")}
+
+
+def layout(keys: np.ndarray, words: np.ndarray, n: np.ndarray, width: int, bits: int) -> dict[str, np.ndarray]:
+    """Arrays of a shard: contexts, where their followers start, followers with counts, sums for several followers."""
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
     start = np.append(first, len(keys))
-    over, many = np.flatnonzero(n >= 255), np.flatnonzero(np.diff(start) > 1)
+    many = np.flatnonzero(np.diff(start) > 1)
     sums = [np.add.reduceat(x.astype(np.int64), first)[many] if len(first) else many for x in (n, n == 1, n == 2)]
-    return {
-        "context": keys[first].astype("<u8"), "start": start.astype("<u4"), "word": words.astype("<u4"), "count": np.minimum(n, 255).astype("u1"),
-        "big": np.column_stack([over, n[over]]).astype("<u8"), "many": np.column_stack([many, *(np.minimum(x, 2**32 - 1) for x in sums)]).astype("<u4"),
-    }
+    if len(keys) >= 1 << 32 or max((int(x.max(initial=0)) for x in sums)) >= 1 << 32:
+        raise ValueError("a shard holds more than 2 ** 32 n-grams: raise the number of shards")
+    return {**key_table(keys[first], width, bits), **small_counts(n), "start": start.astype("<u4"), "word": words.astype("<u4"), "many": np.column_stack([many, *sums]).astype("<u4")}
 
 
 def count_grams(texts: DataFrame, words: Model, order: int = 2) -> Model:
     """Passes 2 and 3: writes the shards of n-grams and what is known about each id; the finished model."""
-    folder, bits, start, shift = words.folder, words.bits, words.vocabulary, words.id_shift
+    folder, bits, start, shift, id_bits = words.folder, words.bits, words.vocabulary, words.id_shift, words.id_bits
     fill = start + 1  # stands before the start where a text's n-gram is shorter than the order
+    if id_bits > 32:
+        raise ValueError("a vocabulary of 2 ** 32 words or more does not fit the keys of pairs")
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards, held, size = Shards(words), [], 0
@@ -380,23 +488,19 @@ def count_grams(texts: DataFrame, words: Model, order: int = 2) -> Model:
 
         def out() -> pa.RecordBatch:
             *ids, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            got = sent_grams(ids, n, bits)
+            got = sent_grams(ids, n, words)
             return numbered(got, np.zeros(4 * order + 4, np.int64)).to_batches()[0]
 
         for batch in batches:
-            for a, b in slices(texts_of(batch.column(0))):
-                flat, n = tokenised(texts_of(batch.column(0)[a:b]))
+            for _, _, some in text_slices(batch.column(0)):
+                flat, n = tokenised(some)
                 ids, first = with_ends(shards.ids(flat), n, end)
                 columns = [ids]
                 for back in range(1, order):
                     before = np.concatenate([[start], columns[0][:-1]]) if len(ids) else ids
                     before[first] = start if back == 1 else fill
                     columns.insert(0, before)
-                if order == 2:
-                    k, v = counted((columns[0].astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64))
-                    held.append(((k >> np.uint64(32)).astype("<u4"), k.astype("<u4"), v))
-                else:
-                    held.append((*(c.astype("<u4") for c in columns), np.ones(len(ids), np.int64)))
+                held.append((*(c.astype("<u4") for c in columns), np.ones(len(ids), np.int64)))
                 size += len(held[-1][0])
                 if size > GATHERED:
                     yield out()
@@ -407,29 +511,36 @@ def count_grams(texts: DataFrame, words: Model, order: int = 2) -> Model:
     def longer(k: int):
         def merge(key: tuple, t: pa.Table) -> pa.Table:
             s = key[0].as_py()
-            blocks = [unpack(x, *["<u4"] * (k + 1)) for x in t.column("block").to_pylist()]
-            *ids, n = (np.concatenate(x) for x in zip(*blocks, strict=True))
-            own, ids, n = grams(ids, n.astype(np.int64))
+            width = 2 * id_bits if k == 3 else 64
+            key, *columns, n = joined(t.column("block").to_pylist(), width, *["<u4"] * (2 if k == 3 else k + 1))
+            order_ = in_order(key, columns[-1], width, id_bits)
+            first = first_of(key[order_], columns[-1][order_])
+            n = np.add.reduceat(n[order_].astype(np.int64), first) if len(first) else n.astype(np.int64)
+            order_ = order_[first]
+            key, columns = key[order_], [c[order_] for c in columns]
+            ids = [*pairs_of(key, id_bits), *columns] if k == 3 else columns
             real = ids[0] != fill
-            put(f"{folder}/gram{k}-{s:05d}", layout(own[real], ids[-1][real], n[real]))
+            put(f"{folder}/gram{k}-{s:05d}", layout(key[real], ids[-1][real], n[real], width, bits))
             numbers = np.array(t.column("numbers").to_pylist(), np.int64).sum(0)
             numbers[4 * k : 4 * k + 4] += counts_of_counts(n[real])
-            return numbered(sent_grams(ids[1:], np.where(real, 1, n), bits), numbers)
+            return numbered(sent_grams(ids[1:], np.where(real, 1, n), words), numbers)
 
         return merge
 
     def merge(key: tuple, t: pa.Table) -> pa.Table:
         s = key[0].as_py()
-        blocks = [unpack(x, "<u8", "<u4") for x in t.column("block").to_pylist()]
-        k, v = summed(np.concatenate([b[0] for b in blocks]), np.concatenate([b[1] for b in blocks]).astype(np.int64))
-        put(f"{folder}/pair-{s:05d}", {"key": k, "count": np.minimum(v, 2**32 - 1).astype("<u4")})
-        u, w = k >> np.uint64(32), k & np.uint64(0xFFFFFFFF)
+        k, v = joined(t.column("block").to_pylist(), 2 * id_bits, "<u4")
+        k, v = summed(k, v.astype(np.int64))
+        put(f"{folder}/pair-{s:05d}", {**key_table(k, 2 * id_bits, bits), **small_counts(v)})
+        u, w = pairs_of(k, id_bits)
         one = lambda x: x.astype(np.int64)
         context = summed(u, v, one(v == 1), one(v == 2), one(v >= 3))
         ids, n = counted(w)
         zero = np.zeros(len(ids), np.int64)
         both = summed(np.concatenate([context[0], ids]), *(np.concatenate(x) for x in ((context[1], zero), (np.zeros(len(context[0]), np.int64), n), *((c, zero) for c in context[2:]))))
-        out = sent((both[0] >> np.uint64(shift)).astype(np.int64), both[0].astype("<u4"), both[1], *(x.astype("<u4") for x in both[2:]))
+        parts = list(runs((both[0] >> np.uint64(shift)).astype(np.int64)))
+        columns = both[0].astype("<u4"), both[1], *(x.astype("<u4") for x in both[2:])
+        out = pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in parts], pa.int64()), pa.array([pack(*(c[a:b] for c in columns)) for _, a, b in parts], pa.binary())], names=["shard", "block"])
         numbers = np.array(t.column("numbers").to_pylist(), np.int64).sum(0)
         numbers[8:12] += counts_of_counts(v)
         return numbered(out, numbers)
@@ -453,7 +564,7 @@ def count_grams(texts: DataFrame, words: Model, order: int = 2) -> Model:
 
     def every(k: int) -> DataFrame:
         """An empty block for every shard, so that each is written."""
-        empty = pack(np.empty(0, "<u8"), np.empty(0, "<u4")) if k == 2 else pack(*[np.empty(0, "<u4")] * (k + 1))
+        empty = pack(np.empty(0, "<u8"), *[np.empty(0, "<u4")] * (1 if k == 2 else 2 if k == 3 else k + 1))
         return texts.sparkSession.range(1 << bits).select(F.col("id").alias("shard"), F.lit(empty).alias("block"), F.array_repeat(F.lit(0).cast("long"), 4 * order + 4).alias("numbers"))
 
     found = texts.mapInArrow(gather, schema)
@@ -497,20 +608,20 @@ def score_texts(texts: list[str], model: Model) -> dict[str, np.ndarray]:
     flat, n = tokenised(texts)
     if not model.tokens:
         return {"n_tokens": n + 1, "n_known": n * 0, "base_score": n * 0.0, "score": n * 0.0}
-    ids, first = with_ends(shards.ids(flat), n, shards.end_id())
-    before = np.concatenate([[v], ids[:-1]])
-    before[first] = v
-    there, inverse = np.unique(np.concatenate([ids, before]), return_inverse=True)
-    facts = np.zeros((len(there), 6), np.int64)
-    facts[there >= 0] = shards.about(there[there >= 0])
-    w, u = facts[inverse[: len(ids)]], facts[inverse[len(ids) :]]
+    slot, id_bits = shards.slots(flat, facts=True), model.id_bits
+    marks = np.array([shards.end_id(), v])  # the end of a text and its start
+    all_ids, all_facts = np.concatenate([shards.ids_of, marks]), np.concatenate([shards.facts_of, shards.about(marks)])
+    slot, first = with_ends(slot, n, len(all_ids) - 2)
+    back = np.concatenate([[0], slot[:-1]])
+    back[first] = len(all_ids) - 1
+    ids, before, w, u = all_ids[slot], all_ids[back], all_facts[slot], all_facts[back]
     base = np.log10((w[:, 0] + 1) / (model.tokens + v + 1))
     of_words, of_pairs, *of_longer = model.discounts
     p = np.maximum(less(w[:, 2], of_words), 0) / max(1, model.continuations) + model.word_mass / (v + 1)
     c, known = np.zeros(len(ids), np.int64), (ids >= 0) & (before >= 0)
-    if known.any():
-        pairs, back = np.unique((before[known].astype(np.uint64) << np.uint64(32)) | ids[known].astype(np.uint64), return_inverse=True)
-        c[known] = shards.pair_counts(pairs)[back]
+    keys = np.zeros(len(ids), np.uint64)
+    keys[known] = pair_keys(before[known], ids[known], id_bits)
+    c[known] = shards.pair_counts(keys[known])
     total = np.maximum(1, u[:, 1])
     p = np.where(u[:, 1] > 0, np.maximum(less(c, of_pairs), 0) / total + (u[:, 3:] @ np.array(of_pairs)) / total * p, p)
     place = np.arange(len(ids)) - np.repeat(first, n + 1)
@@ -518,7 +629,8 @@ def score_texts(texts: list[str], model: Model) -> dict[str, np.ndarray]:
     for k, d in enumerate(of_longer, 3):
         context.insert(0, np.concatenate([[-1], context[0][:-1]]))
         whole = np.flatnonzero((place >= k - 2) & np.all([x >= 0 for x in context], axis=0))
-        g = shards.followers(k, context_keys([x[whole] for x in context]), ids[whole])
+        # A context of two words is the pair that ends one token before.
+        g = shards.followers(k, keys[whole - 1] if k == 3 else context_keys([x[whole] for x in context], id_bits), ids[whole])
         total = np.maximum(1, g[:, 1])
         p[whole] = np.where(g[:, 1] > 0, np.maximum(less(g[:, 0], d), 0) / total + (g[:, 2:] @ np.array(d)) / total * p[whole], p[whole])
     return {"n_tokens": n + 1, "n_known": np.add.reduceat(w[:, 0] > 0, first, dtype=np.int64), "base_score": np.add.reduceat(base, first), "score": np.add.reduceat(np.log10(p), first)}
@@ -530,9 +642,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = texts_of(batch.column(1))
-            for a, b in slices(texts):
-                got = score_texts(texts[a:b], model)
+            for a, b, texts in text_slices(batch.column(1)):
+                got = score_texts(texts, model)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *(pa.array(got[k]) for k in names)], names=["doc_id", *names])
 
     scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
