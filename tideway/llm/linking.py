@@ -108,7 +108,7 @@ def classes(
     stars = kept(keys.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), "stars", light=True)
     alike = lambda x, others: likeness(np.frombuffer(b"".join(others), dtype).reshape(len(others), -1), np.frombuffer(x, dtype)[None, :]) >= plausible
     likely = kept(held(stars, sigs, "sig", alike), "pairs", light=True, frees=[stars])
-    first = kept(held(likely, table, "bag", lambda x, others: similarity(x, others) >= least), "links", light=True, frees=[likely])
+    first = kept(held(likely, table, "bag", lambda x, others: similarity(x, others) >= least), "links", frees=[likely])
     roots = components(first)
     dealt, members = blocks(keys.where("members > 2"), roots, table)
     cells = dealt.join(sigs, "id").join(table, "id")
@@ -145,7 +145,7 @@ def classes(
                 at, size = at + size, min(64, 2 * size)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    more = kept(cells.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"), "links", light=True, frees=[keys, table, members])
+    more = kept(cells.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"), "links", frees=[keys, table, members])
     if more.isEmpty():
         freed(first, more)
         return roots
