@@ -350,7 +350,7 @@ def test_warc_query(spark, data, tmp_path):
 
 def test_grammar():
     m = toxicity.Model().matcher()
-    given = lambda t: {k for k, v in zip(toxicity.OUTPUTS, m.evidence(t), strict=True) if v}
+    given = lambda t: {k for k, v in zip(toxicity.OUTPUTS, m.evidence(t)[: len(toxicity.OUTPUTS)], strict=True) if v}
     assert given("you are an idiot") == {"D"} and given("what an idiot") == {"I"} and given("he is not an idiot") == {"n"}
     assert given('she said idiot') == {"r"} and given('the word "idiot" here') == {"r"} and given("we will kill") == {"X"} and given("we will not kill it") == {"x"}
     assert given("videos and trashy idioms") == set() and given("") == set() and given("not this. idiot") == {"I"}
@@ -358,6 +358,44 @@ def test_grammar():
     assert score("you idiot") > 0.9 > 0.5 > score('he said "idiot"') > score("hello")
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(toxicity.INPUTS, max_size=30))
+def test_grammar_against_its_parts(symbols):
+    """The composed table gives what the transducers give one after another."""
+    want = list(symbols)
+    for t in (toxicity.scope_of_negation(), toxicity.reported_speech(), toxicity.near_target(), toxicity.threat()):
+        state, out = t.start, []
+        for s in want:
+            state, given = t.step(state, s)
+            out.append(given)
+        want = out
+    state, got = 0, []
+    for s in symbols:
+        state, given = toxicity.GRAMMAR[state][s]
+        got.append(given)
+    assert got == want
+
+
+def test_toxicity_learns_context(spark):
+    """Of insults in clauses with a word that marks reports, and alone, only the latter are toxic; plain words cannot tell."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(200)]
+    rows = []
+    for i in range(1200):
+        t = [rng.choice(words) for _ in range(30)]
+        kind = i % 4
+        if kind < 2:
+            t[10:12] = ["quothe" if kind else rng.choice(words), "idiot"]
+        rows.append((" ".join(t), int(kind == 0)))
+    train = spark.createDataFrame(rows[:800], "text string, toxic int")
+    model = toxicity.fit(train)
+    assert model.context.get("quothe") == "R"
+    m = model.matcher()
+    assert all((m.score(m.evidence(t)[None, :])[0] >= 0.5) == bool(y) for t, y in rows[800:])
+    m.classes = {k: v for k, v in m.classes.items() if v not in "RQN"}  # without the grammar's context
+    assert sum((m.score(m.evidence(t)[None, :])[0] >= 0.5) != bool(y) for t, y in rows[800:]) == 100
+
+
 def test_toxicity_learns_and_holds_out(spark):
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
