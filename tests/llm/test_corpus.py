@@ -283,6 +283,47 @@ def test_recall_and_distances(spark, monkeypatch):
     assert 1 <= router.probes < 8
 
 
+def recall(spark, x, k=10):
+    """Share of the nearest neighbours found, and of the vectors that queries were compared with, in their parts."""
+    rows = list(enumerate(x.tolist()))
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = defaultdict(set)
+    for r in learned_partitions.search(table, F.col("vec_id") % 100 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    asked = np.arange(0, len(x), 100)
+    near = learned_partitions.nearest(x[asked], x, k + 1)
+    return sum(len({*n.tolist()} - {q} & got[q]) for q, n in zip(asked.tolist(), near, strict=True)) / (k * len(asked))
+
+
+def test_two_levels_of_parts(spark, monkeypatch):
+    """Few parts for each network, so that a small table needs two levels of them."""
+    monkeypatch.setattr(learned_partitions, "MOST_PARTS", 8)
+    monkeypatch.setattr(learned_partitions, "PART_ROWS", 60)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(30, 12)) * 4
+    x = centres[rng.integers(0, 30, 4000)] + rng.normal(size=(4000, 12))
+    tree = learned_partitions.grow(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, vector array<double>"), len(x), 10, 1000)
+    assert len(tree.below) == 8 and all(r.parts > 1 for r in tree.below.values())
+    leaf = tree.place(x)
+    sizes = np.bincount(leaf, minlength=tree.leaves)
+    assert len(np.unique(leaf)) > 16 and all(p in w for p, w in zip(leaf[:50], tree.ways(x[:50], sizes), strict=True))
+    seen = [sizes[w].sum() / len(x) for w in tree.ways(x[::100], sizes)]
+    assert np.mean(seen) < 0.5
+    assert recall(spark, x) >= 0.9
+
+
+def test_repeated_ids(spark):
+    rows = [(100, [1.0, 0.0]), (100, [1.0, 0.0]), (100, [0.0, 2.0]), (1, [1.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in learned_partitions.search(table, F.col("vec_id") % 100 == 0, k=2).collect())
+    want = Counter()
+    for i, (q, v) in enumerate(rows):
+        if q % 100 == 0:
+            others = sorted((math.dist(v, w), j) for n, (j, w) in enumerate(rows) if n != i)[:2]
+            want.update((q, r, j, d) for r, (d, j) in enumerate(others, 1))
+    assert got == want
+
+
 def test_small_and_odd_vectors(spark):
     rows = [(0, [1.0, 0.0], 1), (1, [0.0, 0.0], 1), (2, None, 1), (3, [1.0, None], 1), (4, [1.0, float("nan")], 1), (5, [1.0, float("inf")], 1), (6, [1.0], 1), (7, [1.0, 1.0], 1), (100, [3.0, 4.0], 1), (200, [0.0, 0.0], 1), (8, [1.0, 0.0], 1)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")

@@ -7,15 +7,22 @@ A small network learns from the vertices the parts that their neighbours are in.
 to its most probable part, and sends a query to as many of its most probable parts as the sample needs for
 TARGET recall. There the query meets all vectors of the part and keeps its nearest by exact distance.
 
-A part that holds many rows (copies of one vector all fall into one part) is searched in blocks by as many tasks.
+The number of parts grows with the vectors. One network tells MOST_PARTS apart; with more, each part is cut again by a
+network of its own, learned from a sample of that part by as many tasks as there are parts. A query goes from its most
+probable parts to the most probable ones in them.
+
+Of equal vectors only the k + 1 smallest ids can be among the k nearest of any query, as ties go to the smaller id; the
+others are left out of the parts, so copies do not make a part large. A part that is large all the same is searched in
+blocks by as many tasks.
 
 Vectors that are null, zero, or hold a null or non-finite component take no part, nor do those of another dimension
-than most, whose distance is not defined. Ties go to the smaller id. A repeated id stays a row of its own as a
-candidate, but is no neighbour of itself, and is one query. The empty table gives no rows; extra columns are left out.
+than most, whose distance is not defined. Rows that repeat an id are rows of their own: each is a candidate for the others
+and, where the id is asked for, a query. The empty table gives no rows; extra columns are left out.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -27,8 +34,8 @@ from pyspark.sql import functions as F
 from tideway.llm.common import kept
 
 SAMPLE_ROWS = 10_000
-#: Vectors that a part is meant to hold, and the most parts that the sample can tell apart.
-PART_ROWS, MOST_PARTS = 1_000, 256
+#: Vectors that a part is meant to hold, the most parts that one network tells apart, and vectors of a sample for each at least.
+PART_ROWS, MOST_PARTS, SAMPLED = 500, 256, 16
 #: Rows of a part that one task searches.
 BLOCK_ROWS = 4_000
 GRAPH_DEGREE = 10
@@ -143,10 +150,10 @@ def train(x: np.ndarray, goal: np.ndarray, hidden: int = 64, epochs: int = 40, s
     return Router([(params[0], params[1]), (params[2], params[3])], mean, scale, 1)
 
 
-def fit(x: np.ndarray, parts: int, k: int = 10) -> Router:
+def fit(x: np.ndarray, parts: int, k: int = 10, target: float = TARGET) -> Router:
     """A router for ``parts`` parts from a sample of vectors."""
     x = x.astype(np.float64)
-    parts = max(1, min(parts, len(x) // 16))
+    parts = max(1, min(parts, len(x) // SAMPLED))
     if parts == 1:
         d = x.shape[1]
         return Router([(np.zeros((d, 1)), np.zeros(1))], np.zeros(d), 1.0, 1)
@@ -162,10 +169,89 @@ def fit(x: np.ndarray, parts: int, k: int = 10) -> Router:
     order, placed = router.order(x), router.order(x)[:, 0]
     rank = np.argsort(order[asked], axis=1)[np.arange(len(asked))[:, None], placed[near]]
     found = [(rank < m).mean() for m in range(1, parts + 1)]
-    router.probes = next((m for m, share in enumerate(found, 1) if share >= TARGET), parts)
+    router.probes = next((m for m, share in enumerate(found, 1) if share >= target), parts)
     return router
 
 
+@dataclass
+class Tree:
+    """A network over the whole and, where one is not enough, a network for each of its parts; leaves are numbered by both."""
+
+    root: Router
+    below: dict[int, Router]
+    wide: int  # leaves that a part of the root may have
+
+    @property
+    def leaves(self) -> int:
+        return self.root.parts * self.wide
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        """The most probable leaf of each vector."""
+        if not len(x):
+            return np.empty(0, np.int64)
+        leaf = self.root.order(x)[:, 0] * self.wide
+        for p, router in self.below.items():
+            own = np.flatnonzero(leaf == p * self.wide)
+            if len(own):
+                leaf[own] += router.order(x[own])[:, 0]
+        return leaf
+
+    def ways(self, x: np.ndarray, sizes: np.ndarray) -> Iterator[list[int]]:
+        """The leaves that each vector goes to; more of them until they hold LEAST_CANDIDATES vectors."""
+        order = self.root.order(x) if len(x) else np.empty((0, 1), np.int64)
+        inside = {p: (r.order(x), r.probes) for p, r in self.below.items()} if len(x) else {}
+        for i, parts in enumerate(order):
+            out, spare, held = [], [], 0
+            for m, p in enumerate(parts.tolist()):
+                if m >= self.root.probes and held >= LEAST_CANDIDATES:
+                    break
+                subs, probes = (inside[p][0][i].tolist(), inside[p][1]) if p in inside else ([0], 1)
+                leaves = [p * self.wide + s for s in subs]
+                out += leaves[:probes]
+                spare += leaves[probes:]
+                held += int(sizes[leaves[:probes]].sum())
+            for leaf in spare:
+                if held >= LEAST_CANDIDATES:
+                    break
+                out.append(leaf)
+                held += int(sizes[leaf])
+            yield out
+
+
+def parts_for(n: int) -> int:
+    """How many parts n vectors are cut into by one network: PART_ROWS each, two at least where a sample can tell them apart."""
+    return max(2, min(MOST_PARTS, -(-n // PART_ROWS))) if n >= 2 * SAMPLED else 1
+
+
+def grow(rows: DataFrame, n: int, k: int, sample_rows: int) -> Tree:
+    """A tree for the n written rows (vec_id, vector); what comes to the driver is bounded by the sample and MOST_PARTS."""
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(sample_rows, n)).select("vector").toPandas()["vector"]
+    x = np.array(sample.tolist(), np.float64).reshape(len(sample), -1)
+    levels = 1 if n <= MOST_PARTS * PART_ROWS else 2
+    root = fit(x, parts_for(n), k, TARGET ** (1 / levels))
+    if levels == 1:
+        return Tree(root, {}, 1)
+
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = block_of(b.column(1))
+            part = root.order(v)[:, 0] if len(v) else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(part.astype(np.int32)), b.column(2)], names=["vector", "part", "drawn"])
+
+    # Each part's sample: by a hash of the id, so many as make the sample of a part of mean size.
+    drawn = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 40)) < int(min(1.0, sample_rows * root.parts / n) * (1 << 40))
+    parted = rows.select("vec_id", "vector", drawn.alias("drawn")).mapInArrow(place, "vector array<double>, part int, drawn boolean")
+    parts = {r["part"]: parts_for(r["count"]) for r in parted.groupBy("part").count().collect()}
+
+    def train_part(key: tuple, t: pa.Table) -> pa.Table:
+        p = key[0].as_py()
+        router = fit(block_of(t.column("vector").combine_chunks()), parts[p], k, TARGET ** (1 / levels))
+        return pa.table({"part": pa.array([p], pa.int32()), "router": pa.array([pickle.dumps(router)], pa.binary())})
+
+    got = parted.where("drawn").groupBy("part").applyInArrow(train_part, "part int, router binary").collect()
+    return Tree(root, {r["part"]: pickle.loads(r["router"]) for r in got}, MOST_PARTS)
+
+
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     """(vec_id, vector array<double>) of the rows that take part."""
     v = F.col(vector_column).cast("array<double>")
@@ -183,66 +269,65 @@ def block_of(column: pa.Array) -> np.ndarray:
 
 def search(vectors: DataFrame, is_query, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for every row for which the column ``is_query`` (over vec_id) is true."""
+    spark = vectors.sparkSession
     rows = kept(usable(vectors, id_column, vector_column), "vectors")
     n = rows.count()
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(sample_rows, n)).select("vector").toPandas()["vector"]
-    router = fit(np.array(sample.tolist(), np.float64).reshape(len(sample), -1), min(MOST_PARTS, n // PART_ROWS)) if n else None
-    if router is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    if not n:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    tree = spark.sparkContext.broadcast(grow(rows, n, k, sample_rows))
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = block_of(b.column(1))
-            part = router.order(x)[:, 0] if len(x) else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(part.astype(np.int32))], names=["vec_id", "vector", "part"])
-
-    placed = kept(rows.mapInArrow(place, "vec_id long, vector array<double>, part int"), "placed")
-    sizes = np.zeros(router.parts, np.int64)
-    for r in placed.groupBy("part").count().collect():  # a row a part
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tree.value.place(block_of(b.column(2))).astype(np.int32))], names=["row", "vec_id", "vector", "part"])
+
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "vector")
+    placed = kept(numbered.mapInArrow(place, "row long, vec_id long, vector array<double>, part int"), "placed", frees=[rows])
+    nth = F.row_number().over(Window.partitionBy("part", "vector").orderBy("vec_id", "row"))
+    base = kept(placed.withColumn("nth", nth).where(F.col("nth") <= k + 1).drop("nth"), "candidates")
+    sizes = np.zeros(tree.value.leaves, np.int64)
+    for r in base.groupBy("part").count().collect():  # a row a part
         sizes[r["part"]] = r["count"]
     blocks = np.maximum(1, -(-sizes // BLOCK_ROWS))
 
     def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, x = b.column(0).to_numpy(), block_of(b.column(1))
             where, part, block = [], [], []
-            for i, order in enumerate(router.order(x) if len(x) else ()):
-                need = int(np.searchsorted(np.cumsum(sizes[order]), LEAST_CANDIDATES)) + 1
-                for p in order[: max(router.probes, need)].tolist():
+            for i, leaves in enumerate(tree.value.ways(block_of(b.column(2)), sizes)):
+                for p in leaves:
                     where += [i] * int(blocks[p])
                     part += [p] * int(blocks[p])
                     block += range(int(blocks[p]))
             take = pa.array(where, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids).take(take), b.column(1).take(take), pa.array(part, pa.int32()), pa.array(block, pa.int32()), pa.array([True] * len(part), pa.bool_())], names=["vec_id", "vector", "part", "block", "asks"])
+            yield pa.RecordBatch.from_arrays([*(c.take(take) for c in b.columns), pa.array(part, pa.int32()), pa.array(block, pa.int32()), pa.array([True] * len(part), pa.bool_())], names=["row", "vec_id", "vector", "part", "block", "asks"])
 
-    schema = "vec_id long, vector array<double>, part int, block int, asks boolean"
-    asked = placed.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector")).mapInArrow(route, schema)
-    count = F.array(*[F.lit(int(x)) for x in blocks])
-    # A row's block goes by its id and vector, so that equal ids spread as well.
-    held = placed.withColumn("block", F.pmod(F.xxhash64("vec_id", "vector"), F.get(count, F.col("part"))).cast("int")).withColumn("asks", F.lit(False))
+    schema = "row long, vec_id long, vector array<double>, part int, block int, asks boolean"
+    asked = placed.where(is_query).select("row", "vec_id", "vector").mapInArrow(route, schema)
+    several = {int(p): int(blocks[p]) for p in np.flatnonzero(blocks > 1)}
+    count = F.coalesce(F.element_at(F.create_map(*(F.lit(x).cast("int") for pair in several.items() for x in pair)), F.col("part")), F.lit(1)) if several else F.lit(1)
+    held = base.withColumn("block", F.pmod(F.xxhash64("row"), count).cast("int")).withColumn("asks", F.lit(False))
 
     def meet(t: pa.Table) -> pa.Table:
         asks = t.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-        ids, x = t.column("vec_id").to_numpy(), block_of(t.column("vector").combine_chunks())
-        base, base_ids = x[~asks], ids[~asks]
-        out: list[list[np.ndarray]] = [[], [], []]
-        norms, q_ids, q = (base * base).sum(1), ids[asks], x[asks]
+        row, ids, x = t.column("row").to_numpy(), t.column("vec_id").to_numpy(), block_of(t.column("vector").combine_chunks())
+        base, base_ids, base_rows = x[~asks], ids[~asks], row[~asks]
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        norms, q = (base * base).sum(1), x[asks]
         for first in range(0, len(q) if len(base) else 0, 256):
             some = q[first : first + 256]
             own = (some * some).sum(1)
             rough = norms - 2 * some @ base.T + own[:, None]
             error = 1e-10 * (own + norms.max())
-            for v, i, d, e in zip(some, q_ids[first : first + 256], rough, error, strict=True):
-                ok = np.flatnonzero(base_ids != i)
+            for v, r, i, d, e in zip(some, row[asks][first : first + 256], ids[asks][first : first + 256], rough, error, strict=True):
+                ok = np.flatnonzero(base_rows != r)
                 if len(ok) > k and np.isfinite(d).all():  # else every distance is worked out
                     ok = ok[d[ok] <= np.partition(d[ok], k - 1)[k - 1] + 2 * e]
                 exact = np.sqrt(((base[ok] - v) ** 2).sum(1))
                 best = np.lexsort((base_ids[ok], exact))[:k]
-                for o, a in zip(out, (np.full(len(best), i), base_ids[ok][best], exact[best]), strict=True):
+                for o, a in zip(out, (np.full(len(best), r), np.full(len(best), i), base_ids[ok][best], exact[best]), strict=True):
                     o.append(a)
-        a, b, c = (np.concatenate([*o, np.empty(0, kind)]) for o, kind in zip(out, (np.int64, np.int64, np.float64), strict=True))
-        return pa.table({"query_id": a, "vec_id": b, "score": c})
+        a, b, c, d = (np.concatenate([*o, np.empty(0, kind)]) for o, kind in zip(out, (np.int64, np.int64, np.int64, np.float64), strict=True))
+        return pa.table({"row": a, "query_id": b, "vec_id": c, "score": d})
 
-    met = held.select("vec_id", "vector", "part", "block", "asks").unionByName(asked).groupBy("part", "block").applyInArrow(meet, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    met = held.select("row", "vec_id", "vector", "part", "block", "asks").unionByName(asked).groupBy("part", "block").applyInArrow(meet, "row long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy("score", "vec_id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
