@@ -233,6 +233,55 @@ def test_longer_models_against_brute_force(spark, order):
         assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-9)
 
 
+def test_keys_of_pairs():
+    rng = np.random.default_rng(2)
+    for b in (2, 9, 21, 23, 32):
+        u, w = (rng.integers(0, 1 << b, 3000, dtype=np.uint64) for _ in range(2))
+        key = ngram_lm.pair_keys(u, w, b)
+        assert all((x == y).all() for x, y in zip(ngram_lm.pairs_of(key, b), (u, w), strict=True))
+        for bits in (1, 6, 10):
+            shard = int(key[0] >> np.uint64(64 - bits))
+            own = key[(key >> np.uint64(64 - bits)) == shard]
+            assert (ngram_lm.outside(shard, ngram_lm.inside(own, 2 * b, bits), 2 * b, bits) == own).all()
+        for own in (key, (key >> np.uint64(40)) << np.uint64(40)):  # the latter share their first bits
+            order = ngram_lm.in_order(own, w, 2 * b, b)
+            assert (order == order).all() and (np.diff(own[order].astype(float)) >= 0).all()
+            same = own[order][1:] == own[order][:-1]
+            assert (w[order][1:][same] >= w[order][:-1][same]).all()
+    x, n = rng.integers(0, 50, 400, dtype=np.uint64), rng.integers(1, 30, 400)
+    want = Counter()
+    for a, c in zip(x.tolist(), n.tolist(), strict=True):
+        want[a] += c
+    k, c = ngram_lm.tally(x, n)
+    assert dict(zip(k.tolist(), c.tolist(), strict=True)) == want and (np.diff(k.astype(int)) > 0).all()
+
+
+def test_stored_keys_and_followers(tmp_path):
+    """Large shards: tables of keys and followers against dictionaries."""
+    rng = np.random.default_rng(4)
+    for b, many in ((8, 40_000), (23, 40_000), (31, 3_000)):
+        model = ngram_lm.Model(f"file://{tmp_path}/m{b}", 1, (0, 1 << (b - 1)), 1, ((0.5, 1.0, 1.5),) * 3, 1, 1.0)
+        assert model.id_bits == b
+        top = min(1 << (b - 1), 200)
+        ids = [rng.integers(0, top, many), rng.integers(0, top, many), rng.integers(0, 40, many)]
+        ids[0][: many // 3] = ids[1][: many // 3] = 7  # a context with many followers
+        ids[2][: many // 3] = np.arange(many // 3) % (1 << (b - 1))
+        seen = Counter(zip(*(x.tolist() for x in ids), strict=True))
+        u, v, w = (np.array(x, np.uint64) for x in zip(*seen, strict=True))
+        n, key = np.array(list(seen.values())), ngram_lm.pair_keys(u, v, b)
+        for s in (0, 1):
+            own = np.flatnonzero((key >> np.uint64(63)) == s)
+            own = own[ngram_lm.in_order(key[own], w[own], 2 * b, b)]
+            ngram_lm.put(f"{model.folder}/gram3-{s:05d}", ngram_lm.layout(key[own], w[own], n[own], 2 * b, 1))
+        by = defaultdict(list)
+        for (x, y, z), c in seen.items():
+            by[x, y].append(c)
+        asked = list(seen)[:: max(1, len(seen) // 3000)] + [(x, y, 45) for x, y, _ in list(seen)[:500]] + [(top, top, 1), (0, top, 2)]
+        got = ngram_lm.Shards(model).followers(3, ngram_lm.pair_keys(np.array([a[0] for a in asked]), np.array([a[1] for a in asked]), b), np.array([a[2] for a in asked]))
+        want = [[seen.get(a, 0), sum(f := by.get(a[:2], [])), f.count(1), f.count(2), sum(c > 2 for c in f)] for a in asked]
+        assert got.tolist() == want
+
+
 def test_model_edges(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_lm.held_out_scores(none).count() == 0

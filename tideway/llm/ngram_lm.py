@@ -28,6 +28,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 from urllib.parse import unquote, urlsplit
 
 import numpy as np
@@ -43,6 +44,8 @@ END = xxhash.xxh3_64_intdigest(b"\n")  # no word holds white space
 #: Entries that a task gathers before it sends them.
 GATHERED = 4_000_000
 KNOWN_WORDS = 400_000
+#: Keys that share a place in a table of offsets; followers of a context whose sums are not stored.
+PLACED, SUMMED = 16, 4
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -77,6 +80,21 @@ def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.diff(np.append(first, len(keys)))
 
 
+def tally(numbers: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers in order, and the sums of n: small n as repeated numbers, as plain numbers sort fastest."""
+    few = n <= 8
+    k, c = counted(np.repeat(numbers[few], n[few]))
+    if not few.all():
+        more, m = summed(numbers[~few], n[~few])
+        at = np.searchsorted(k, more)
+        same = np.zeros(len(more), bool)
+        inside = at < len(k)
+        same[inside] = k[at[inside]] == more[inside]
+        c[at[same]] += m[same]
+        k, c = np.insert(k, at[~same], more[~same]), np.insert(c, at[~same], m[~same])
+    return k, c
+
+
 def put(path: str, arrays: dict[str, np.ndarray]) -> None:
     """Writes each array as file ``path.name``, whole or not at all; a repeated task writes the same bytes."""
     for name, a in arrays.items():
@@ -98,7 +116,7 @@ def mapped(path: str, kind: str, columns: int = 1) -> np.ndarray:
     """An array written by put, mapped into memory (from a store without files: read)."""
     if urlsplit(path).scheme in ("", "file"):
         at = unquote(urlsplit(path).path)
-        a = np.memmap(at, kind, "r") if os.path.getsize(at) else np.empty(0, kind)
+        a = np.asarray(np.memmap(at, kind, "r")) if os.path.getsize(at) else np.empty(0, kind)
     else:
         fs, at = pafs.FileSystem.from_uri(path)
         with fs.open_input_file(at) as f:
@@ -163,21 +181,24 @@ class Shards:
 
     def slots(self, words: list[bytes], facts: bool = False) -> np.ndarray:
         """Slots of words; remembered up to a bound, and then from the start again."""
-        new = set(words).difference(self.known)
-        if len(self.known) + len(new) > KNOWN_WORDS:
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if not len(missing):
+            return at
+        if len(self.known) + len(missing) > KNOWN_WORDS:
             self.forget()
-            new = set(words)
-        if new:
-            some = list(new)
-            h = np.fromiter(map(xxhash.xxh3_64_intdigest, some), np.uint64, len(some))
-            order = np.argsort(h)
-            found = np.empty(len(some), np.int64)
-            found[order] = self.find_words(h[order])
-            self.known.update(zip(some, range(len(self.known), len(self.known) + len(some)), strict=True))
-            self.ids_of = np.concatenate([self.ids_of, found])
-            if facts:
-                self.facts_of = np.concatenate([self.facts_of, self.about(found)])
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            missing = np.arange(len(words))
+        some = list(dict.fromkeys(words[i] for i in missing.tolist()))
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, some), np.uint64, len(some))
+        order = np.argsort(h)
+        found = np.empty(len(some), np.int64)
+        found[order] = self.find_words(h[order])
+        self.known.update(zip(some, range(len(self.known), len(self.known) + len(some)), strict=True))
+        self.ids_of = np.concatenate([self.ids_of, found])
+        if facts:
+            self.facts_of = np.concatenate([self.facts_of, self.about(found)])
+        at[missing] = np.fromiter((self.known[words[i]] for i in missing.tolist()), np.int64, len(missing))
+        return at
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         """Ids of words, -1 where unknown."""
@@ -187,24 +208,27 @@ class Shards:
     def end_id(self) -> int:
         return int(self.find_words(np.array([END], np.uint64))[0])
 
-    def find(self, table: str, keys: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(shard, rows, places) for the keys that a table of keys has."""
+    def find(self, table: str, keys: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(shard, rows, where, place in the table of offsets) for the keys that a table of keys has."""
         bits = self.model.bits
-        wide, small = split_of(width, bits)
         shard = (keys >> np.uint64(64 - bits)).astype(np.uint32)
         order = np.argsort(shard.astype(np.uint16) if bits <= 16 else shard, kind="stable")
         for s, a, b in runs(shard[order]):
+            offsets = self.shard(f"{table}.offset", s, "<u4")
+            wide = (len(offsets) - 1).bit_length() - 1
+            small = width - bits - wide <= 32
             stored = self.shard(f"{table}.low", s, "<u4" if small else "<u8")
             if not len(stored):
                 continue
             rows = order[a:b]
-            place = (keys[rows] << np.uint64(bits)) >> np.uint64(64 - wide)
-            offsets = self.shard(f"{table}.offset", s, "<u4")
-            low, high = offsets[place].astype(np.int64), offsets[place + np.uint64(1)].astype(np.int64)
-            at = lower_bound(stored, rest_of(keys[rows], wide, bits, small), low, high)
-            hit = at < high
-            hit[hit] = stored[at[hit]] == rest_of(keys[rows[hit]], wide, bits, small)
-            yield s, rows[hit], at[hit]
+            own = keys[rows]
+            place = place_of(own, wide, bits).astype(np.int64)
+            low, high = offsets[place].astype(np.int64), offsets[place + 1].astype(np.int64)
+            rest = rest_of(own, wide, bits, small)
+            at = lower_bound(stored, rest, low, high)
+            hit = np.flatnonzero(at < high)
+            hit = hit[stored[at[hit]] == rest[hit]]
+            yield s, rows[hit], at[hit], place[hit]
 
     def counts(self, table: str, s: int, at: np.ndarray) -> np.ndarray:
         n = self.shard(f"{table}.count", s, "u1")[at].astype(np.int64)
@@ -217,27 +241,48 @@ class Shards:
     def pair_counts(self, keys: np.ndarray) -> np.ndarray:
         """Counts of pairs by their keys."""
         out = np.zeros(len(keys), np.int64)
-        for s, rows, at in self.find("pair", keys, 2 * self.model.id_bits):
+        for s, rows, at, _ in self.find("pair", keys, 2 * self.model.id_bits):
             out[rows] = self.counts("pair", s, at)
         return out
 
     def followers(self, k: int, keys: np.ndarray, words: np.ndarray) -> np.ndarray:
         """[words, 5] of n-grams of order k, by keys of their contexts: count, times a context, followers seen once, twice, more often."""
         out, table = np.zeros((len(keys), 5), np.int64), f"gram{k}"
-        for s, rows, at in self.find(table, keys, 2 * self.model.id_bits if k == 3 else 64):
-            start, word, many = self.shard(f"{table}.start", s, "<u4"), self.shard(f"{table}.word", s, "<u4"), self.shard(f"{table}.many", s, "<u4", 4)
-            first, end = start[at].astype(np.int64), start[at + 1].astype(np.int64)
+        for s, rows, at, place in self.find(table, keys, 2 * self.model.id_bits if k == 3 else 64):
+            word, many = self.shard(f"{table}.word", s, "<u4"), self.shard(f"{table}.many", s, "<u4", 4)
+            first, end = self.starts(table, s, at, place), self.starts(table, s, at + 1, place)
             w = words[rows].astype(np.uint32)
             there = lower_bound(word, w, first, end)
-            found = there < end
-            found[found] = word[there[found]] == w[found]
+            found = np.flatnonzero(there < end)
+            found = found[word[there[found]] == w[found]]
             out[rows[found], 0] = self.counts(table, s, there[found])
-            one = end - first == 1
-            n = self.counts(table, s, first[one])
-            out[rows[one], 1:] = np.column_stack([n, n == 1, n == 2, n >= 3])
-            several = many[np.searchsorted(many[:, 0], at[~one].astype(np.uint32))].astype(np.int64)
-            out[rows[~one], 1:4] = several[:, 1:]
-            out[rows[~one], 4] = (end - first)[~one] - several[:, 2] - several[:, 3]
+            size, sums = end - first, np.zeros((len(at), 4), np.int64)
+            few = np.flatnonzero(size <= SUMMED)
+            for i in range(SUMMED):  # of few followers the sums are worked out, of many they are stored
+                few = few[size[few] > i]
+                if not len(few):
+                    break
+                n = self.counts(table, s, first[few] + i)
+                sums[few, 0] += n
+                for c in (1, 2):
+                    sums[few, c] += n == c
+            more = np.flatnonzero(size > SUMMED)
+            sums[more, :3] = many[np.searchsorted(many[:, 0], at[more].astype(np.uint32)), 1:]
+            sums[:, 3] = size - sums[:, 1] - sums[:, 2]
+            out[rows, 1:] = sums
+        return out
+
+    def starts(self, table: str, s: int, at: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Where the followers of contexts start, which are of a place or the first behind it."""
+        offsets, begin, near, far = (self.shard(f"{table}.{name}", s, kind, columns) for name, kind, columns in (("offset", "<u4", 1), ("begin", "<u4", 1), ("near", "u1", 1), ("far", "<u4", 2)))
+        behind = at == offsets[place + 1]
+        out = begin[place + behind].astype(np.int64)
+        inside = np.flatnonzero(~behind)
+        n = near[at[inside]].astype(np.int64)
+        out[inside] += n
+        over = inside[n == 255]
+        if len(over):
+            out[over] = far[np.searchsorted(far[:, 0], at[over].astype(np.uint32)), 1]
         return out
 
     def about(self, ids: np.ndarray) -> np.ndarray:
@@ -255,10 +300,8 @@ class Shards:
         return out
 
 
-def split_of(width: int, bits: int) -> tuple[int, bool]:
-    """Bits of a key of ``width`` bits that place it in its shard's table of offsets, and whether 32 bits hold the rest."""
-    wide = min(16, max(8, width - bits - 32))
-    return wide, width - bits - wide <= 32
+def place_of(keys: np.ndarray, wide: int, bits: int) -> np.ndarray:
+    return (keys << np.uint64(bits)) >> np.uint64(64 - wide)
 
 
 def rest_of(keys: np.ndarray, wide: int, bits: int, small: bool) -> np.ndarray:
@@ -267,10 +310,15 @@ def rest_of(keys: np.ndarray, wide: int, bits: int, small: bool) -> np.ndarray:
 
 
 def key_table(keys: np.ndarray, width: int, bits: int) -> dict[str, np.ndarray]:
-    """Arrays of a shard's sorted keys: what is left of each behind its shard and place, and where each place starts."""
-    wide, small = split_of(width, bits)
-    place = (keys << np.uint64(bits)) >> np.uint64(64 - wide)
-    return {"low": rest_of(keys, wide, bits, small), "offset": np.searchsorted(place, np.arange((1 << wide) + 1, dtype=np.uint64)).astype("<u4")}
+    """Arrays of a shard's sorted keys: what is left of each behind its shard and place, and where each place starts.
+
+    There are so many places that about PLACED keys share one, and as 32 bits need, if 16 bits of places give them that.
+    """
+    wide = max(1, (len(keys) // PLACED).bit_length())
+    if width - bits - 32 <= 16:
+        wide = max(wide, width - bits - 32)
+    place = place_of(keys, wide, bits)
+    return {"low": rest_of(keys, wide, bits, width - bits - wide <= 32), "offset": np.searchsorted(place, np.arange((1 << wide) + 1, dtype=np.uint64)).astype("<u4")}
 
 
 def lower_bound(stored: np.ndarray, wanted: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -328,10 +376,29 @@ def context_keys(ids: list[np.ndarray], id_bits: int) -> np.ndarray:
 
 
 def in_order(key: np.ndarray, w: np.ndarray, width: int, id_bits: int) -> np.ndarray:
-    """Order of n-grams by key and last word; in one number where 64 bits hold both."""
-    if width + id_bits <= 64:
-        return np.argsort(key | (w.astype(np.uint64) << np.uint64(64 - width - id_bits)))
-    return np.lexsort((w, key))
+    """Order of n-grams by key and last word: by one number, whose few mix-ups are put right where 64 bits do not hold both."""
+    spare = 64 - width - id_bits
+    if spare >= 0:
+        return np.argsort(key | (w.astype(np.uint64) << np.uint64(spare)))
+    top = key >> np.uint64(id_bits)
+    order = np.argsort((top << np.uint64(id_bits)) | w.astype(np.uint64))
+    k, t = key[order], top[order]
+    mixed = np.flatnonzero((t[1:] == t[:-1]) & (k[1:] != k[:-1])) if len(k) else ()
+    if len(mixed):
+        rows = np.flatnonzero(np.isin(t, t[mixed]))
+        some = order[rows]
+        order[rows] = some[np.lexsort((w[some], key[some]))]
+    return order
+
+
+def inside(key: np.ndarray, width: int, bits: int) -> np.ndarray:
+    """A key without the bits of its shard, as a small number."""
+    return (key << np.uint64(bits)) >> np.uint64(64 - max(width - bits, 1))
+
+
+def outside(shard: int, rest: np.ndarray, width: int, bits: int) -> np.ndarray:
+    """The keys of a shard from ``inside``."""
+    return (np.uint64(shard) << np.uint64(64 - bits)) | (rest << np.uint64(64 - max(width - bits, 1)) >> np.uint64(bits))
 
 
 def first_of(key: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -351,14 +418,19 @@ def sent_grams(ids: list[np.ndarray], n: np.ndarray, model: Model) -> pa.RecordB
     """Blocks of n-grams for the shards of their order: pairs and triples by key, longer ones with their ids."""
     bits, b = model.bits, model.id_bits
     if len(ids) == 2:
-        key, n = summed(pair_keys(*ids, b), n)
+        key, n = tally(pair_keys(*ids, b), n)
         return sent(key, bits, 2 * b, n.astype("<u4"))
     width = 2 * b if len(ids) == 3 else 64
     key = context_keys(ids[:-1], b)
-    if len(ids) == 3 and width + b <= 64 and n.max(initial=1) == 1:  # no more than sorting numbers
-        whole, n = counted(key | (ids[2].astype(np.uint64) << np.uint64(64 - width - b)))
-        key, w = (whole >> np.uint64(64 - width)) << np.uint64(64 - width), (whole >> np.uint64(64 - width - b)) & np.uint64((1 << b) - 1)
-        return sent(key, bits, width, w.astype("<u4"), n.astype("<u4"))
+    if len(ids) == 3 and width - bits + b <= 64 and bits <= 16:
+        # Within a shard 64 bits hold the rest of the key and the word.
+        shard = (key >> np.uint64(64 - bits)).astype(np.uint16)
+        order = np.argsort(shard, kind="stable")
+        whole = (inside(key, width, bits) << np.uint64(b)) | ids[2]
+        parts = [(s, *tally(whole[order[x:y]], n[order[x:y]])) for s, x, y in runs(shard[order])]
+        last = np.uint64((1 << b) - 1)
+        blocks = [pack(gaps(outside(s, k >> np.uint64(b), width, bits), width), (k & last).astype("<u4"), c.astype("<u4")) for s, k, c in parts]
+        return pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in parts], pa.int64()), pa.array(blocks, pa.binary())], names=["shard", "block"])
     order = in_order(key, ids[-1], width, b)
     key, ids = key[order], [x[order] for x in ids]
     first = first_of(key, ids[-1])
@@ -431,12 +503,15 @@ def count_words(texts: DataFrame, folder: str, bits: int) -> tuple[tuple[int, ..
         for batch in batches:
             for _, _, texts_ in text_slices(batch.column(0)):
                 words, n = tokenised(texts_)
-                new = set(words).difference(hashes)
-                if len(hashes) + len(new) > KNOWN_WORDS:
-                    hashes.clear()
-                    new = set(words)
-                hashes.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
-                k, v = counted(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
+                h = np.fromiter(map(hashes.get, words, repeat(0)), np.uint64, len(words))
+                missing = np.flatnonzero(h == 0).tolist()
+                if missing:
+                    if len(hashes) + len(missing) > KNOWN_WORDS:
+                        hashes.clear()
+                    new = {w: xxhash.xxh3_64_intdigest(w) for w in {words[i] for i in missing}}
+                    hashes.update(new)
+                    h[missing] = np.fromiter((new[words[i]] for i in missing), np.uint64, len(missing))
+                k, v = counted(h)
                 keys += [k, np.array([END], np.uint64)]
                 values += [v, np.array([len(n)], np.int64)]
                 size += len(k)
@@ -465,14 +540,21 @@ def small_counts(n: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def layout(keys: np.ndarray, words: np.ndarray, n: np.ndarray, width: int, bits: int) -> dict[str, np.ndarray]:
-    """Arrays of a shard: contexts, where their followers start, followers with counts, sums for several followers."""
+    """Arrays of a shard: contexts, where their followers start (a byte behind their place's start), followers with counts, sums for many followers."""
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
     start = np.append(first, len(keys))
-    many = np.flatnonzero(np.diff(start) > 1)
+    many = np.flatnonzero(np.diff(start) > SUMMED)
     sums = [np.add.reduceat(x.astype(np.int64), first)[many] if len(first) else many for x in (n, n == 1, n == 2)]
-    if len(keys) >= 1 << 32 or max((int(x.max(initial=0)) for x in sums)) >= 1 << 32:
+    if len(keys) >= 1 << 32 or max(int(x.max(initial=0)) for x in sums) >= 1 << 32:
         raise ValueError("a shard holds more than 2 ** 32 n-grams: raise the number of shards")
-    return {**key_table(keys[first], width, bits), **small_counts(n), "start": start.astype("<u4"), "word": words.astype("<u4"), "many": np.column_stack([many, *sums]).astype("<u4")}
+    table = key_table(keys[first], width, bits)
+    begin = start[table["offset"]]
+    near = start[:-1] - np.repeat(begin[:-1], np.diff(table["offset"].astype(np.int64)))
+    far = np.flatnonzero(near >= 255)
+    return {
+        **table, **small_counts(n), "begin": begin.astype("<u4"), "near": np.minimum(near, 255).astype("u1"), "far": np.column_stack([far, start[far]]).astype("<u4"),
+        "word": words.astype("<u4"), "many": np.column_stack([many, *sums]).astype("<u4"),
+    }
 
 
 def count_grams(texts: DataFrame, words: Model, order: int = 2) -> Model:
@@ -513,11 +595,14 @@ def count_grams(texts: DataFrame, words: Model, order: int = 2) -> Model:
             s = key[0].as_py()
             width = 2 * id_bits if k == 3 else 64
             key, *columns, n = joined(t.column("block").to_pylist(), width, *["<u4"] * (2 if k == 3 else k + 1))
-            order_ = in_order(key, columns[-1], width, id_bits)
-            first = first_of(key[order_], columns[-1][order_])
-            n = np.add.reduceat(n[order_].astype(np.int64), first) if len(first) else n.astype(np.int64)
-            order_ = order_[first]
-            key, columns = key[order_], [c[order_] for c in columns]
+            if k == 3 and width - bits + id_bits <= 64:
+                whole, n = tally((inside(key, width, bits) << np.uint64(id_bits)) | columns[0], n.astype(np.int64))
+                key, columns = outside(s, whole >> np.uint64(id_bits), width, bits), [(whole & np.uint64((1 << id_bits) - 1)).astype("<u4")]
+            else:
+                by = in_order(key, columns[-1], width, id_bits)
+                first = first_of(key[by], columns[-1][by])
+                n = np.add.reduceat(n[by].astype(np.int64), first) if len(first) else n.astype(np.int64)
+                key, columns = key[by[first]], [c[by[first]] for c in columns]
             ids = [*pairs_of(key, id_bits), *columns] if k == 3 else columns
             real = ids[0] != fill
             put(f"{folder}/gram{k}-{s:05d}", layout(key[real], ids[-1][real], n[real], width, bits))
@@ -530,7 +615,7 @@ def count_grams(texts: DataFrame, words: Model, order: int = 2) -> Model:
     def merge(key: tuple, t: pa.Table) -> pa.Table:
         s = key[0].as_py()
         k, v = joined(t.column("block").to_pylist(), 2 * id_bits, "<u4")
-        k, v = summed(k, v.astype(np.int64))
+        k, v = tally(k, v.astype(np.int64))
         put(f"{folder}/pair-{s:05d}", {**key_table(k, 2 * id_bits, bits), **small_counts(v)})
         u, w = pairs_of(k, id_bits)
         one = lambda x: x.astype(np.int64)
