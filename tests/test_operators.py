@@ -194,11 +194,11 @@ def test_stream_to_view_and_again(spark, tmp_path):
     run = lambda: pipelines.start(pipelines.entries(spark, f"{tmp_path}/topics", "t", ["a"]).withColumn("view", F.col("ms")), handler, f"{tmp_path}/cp").awaitTermination()
     run()
     want = lambda t: {r.key: r.ms for r in t.where("type = 'a'").groupBy("key").agg(F.max("ms").alias("ms")).collect()}
-    assert {r.key: r.view for r in spark.read.parquet(f"{tmp_path}/view/0").collect()} == want(e)
+    assert {r.key: r.view for r in pipelines.view(spark, f"{tmp_path}/view").collect()} == want(e)
     more = e.withColumn("ms", F.col("ms") + 500).limit(9)
     store.append(more, f"{tmp_path}/topics", 1)
     run()
-    assert {r.key: r.view for r in spark.read.parquet(f"{tmp_path}/view/1").collect()} == want(e.unionByName(more))
+    assert {r.key: r.view for r in pipelines.view(spark, f"{tmp_path}/view").collect()} == want(e.unionByName(more))
 
 
 def test_stream_claims_equal_the_batch(spark, tmp_path):
@@ -237,3 +237,88 @@ def test_empty_tables(spark):
     assert topics.bounds(none).count() == reader.batches(none, 10).count() == positions.preview(none, pos, (1, 0)).count() == 0
     assert topics.tail(none, spark.createDataFrame([(0,)], "partition int")).first()[1:] == (0, 0)
     assert positions.totals(positions.preview(none, pos, (1, 0))).first()[:2] == (0, 0)
+
+
+def test_views_are_merged(spark, tmp_path):
+    write = pipelines.view_writer(f"{tmp_path}/v", merged_every=3)
+    assert pipelines.view(spark, f"{tmp_path}/v").count() == 0
+    want = {}
+    for batch in (0, 1, 2, 2, 4, 5, 6):  # a batch is written again, another one is passed over
+        rows = [(f"k{i % 4}", f"{batch}.{i}", batch * 10 + i, 0) for i in range(batch, batch + 3)]
+        write(spark.createDataFrame(rows, "key string, view string, ms long, seq long"), batch)
+        want.update({k: v for k, v, *_ in rows})
+        assert {r.key: r.view for r in pipelines.view(spark, f"{tmp_path}/v").collect()} == want
+    assert pipelines._numbers(spark, f"{tmp_path}/v/whole") == [5] and pipelines._numbers(spark, f"{tmp_path}/v/changes") == [6]
+
+
+def test_forwarded_by_spans(spark, monkeypatch):
+    import random
+
+    from tideway.operators import dedupe
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), at, rng.randrange(200)) for at in range(300)]
+    monkeypatch.setattr(dedupe, "span_width", lambda *_: 17)
+    got = {r.at: r.forwarded for r in dedupe.forwarded(spark.createDataFrame(rows, "source string, at long, position long")).collect()}
+    marks, want = {}, {}
+    for source, at, position in rows:
+        want[at] = source not in marks or position > marks[source]
+        marks[source] = max(position, marks.get(source, -1))
+    assert got == want
+
+
+def test_claims_jump(spark):
+    import random
+
+    from tideway.operators import dedupe
+
+    rng = random.Random(5)
+    rows = sorted((rng.choice("abc"), rng.randrange(2_000), i) for i in range(500))
+    got = {(r.key, r.ms, r.seq): r.won for r in dedupe.claims(spark.createDataFrame(rows, "key string, ms long, seq long"), "key", 90).collect()}
+    until = {}
+    for key, ms, seq in rows:
+        won = ms >= until.get(key, -1)
+        until[key] = ms + 90 if won else until[key]
+        assert got[key, ms, seq] == won
+    assert dedupe.claims(spark.createDataFrame([], "key string, ms long, seq long"), "key", 90).count() == 0
+
+
+def test_clamp_and_lags_against_loops(spark):
+    import random
+
+    from tideway.operators import health, topics
+
+    rng = random.Random(7)
+    ids = {(p, rng.randrange(50_000), s) for p in range(4) for s in range(3) for _ in range(40)}
+    entries_ = spark.createDataFrame(sorted(ids), "partition int, ms long, seq long")
+    held = [(c, p, rng.randrange(50_000), rng.randrange(3)) for c in ("a", "b", "c", "d") for p in range(4) if (c, p) not in {("c", 1), ("a", 2), ("d", 2)}]
+    at = spark.createDataFrame(held, "consumer string, partition int, ms long, seq long")
+    got = {r.partition: (r.clamp_ms, r.clamp_seq, r.holder) for r in topics.clamp(at, spark.range(5).selectExpr("cast(id as int) partition")).collect()}
+    by = {(c, p): (m, s) for c, p, m, s in held}
+    assert got == {p: min((*by.get((c, p), (0, 0)), c) for c in "abcd") for p in range(5)}
+    assert topics.clamp(at.where("false"), spark.range(5).selectExpr("cast(id as int) partition")).count() == 0
+    behind = health.entries_behind(entries_, at.withColumnsRenamed({"ms": "pm", "seq": "ps"}), span_ms=7_000)
+    assert {(r.consumer, r.partition): r.entries for r in behind.collect()} == {(c, p): sum(q == p and (m, s) > own for q, m, s in ids) for (c, p), own in by.items()}
+
+
+def test_stores_and_ids(spark):
+    from tideway.operators import aggregates, positions
+
+    rows = spark.createDataFrame([("t", "c", 0, 5, 1), ("t", "c", 1, 6, 0)], positions.POSITION)
+    none, memory = positions.NoStore(), positions.MemoryStore()
+    for store_ in (none, memory):
+        store_.save(rows)
+        store_.save(rows.where("partition = 0").selectExpr("topic", "consumer", "partition", "ms + 1 ms", "seq"))
+    assert none.load(spark).count() == 0 and sorted(map(tuple, memory.load(spark).collect())) == [("t", "c", 0, 6, 1), ("t", "c", 1, 6, 0)]
+    assert aggregates.bind_id(None, "x") == aggregates.bind_id("x", "x") == "x"
+    for bound, id_ in ((None, " "), (None, ""), ("x", "y")):
+        with pytest.raises(ValueError):
+            aggregates.bind_id(bound, id_)
+
+
+def test_groups_keep_what_they_have(spark):
+    from tideway.operators import workqueue
+
+    ddl = "topic string, partition int, member_group string, ms long, seq long"
+    there, wanted = spark.createDataFrame([("t", 0, "g", 9, 1)], ddl), spark.createDataFrame([("t", 0, "g", 0, 0), ("t", 1, "g", 0, 0)], ddl)
+    assert sorted(map(tuple, workqueue.created(there, wanted).collect())) == [("t", 0, "g", 9, 1, False), ("t", 1, "g", 0, 0, True)]

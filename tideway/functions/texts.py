@@ -99,3 +99,7 @@ def trace_id(trace_parent: Column) -> Column:
 
 def span_id(trace_parent: Column) -> Column:
     return F.when(trace_id(trace_parent).isNotNull(), F.lower(F.substring(trace_parent, 37, 16)))
+
+
+#: Keys of a consumer's positions (p) and ownership (o): kind, topic, consumer, and what follows in keys that are about something else.
+CONSUMER_KEY = r"^re:([po]):(\{[^{}]+\}|[^:{}]+):([^:]+)(:.*)?$"

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideway.functions import ids
-from tideway.operators.order import scanned
+from tideway.operators.order import numbered, scanned
 
 
 def known_types(events: DataFrame, known: list[str]) -> DataFrame:
@@ -68,14 +68,13 @@ def optimistic_appends(commands: DataFrame, name: str = "name", order: str = "at
     """(name, at, accepted, version): each command (name, at, expected, events) appends its events only if the stream is as long as
     it expects; a null expectation appends always. version is the length behind it."""
 
-    def step(length, row):
+    def step(length, expected, events):
         length = length or 0
-        ok = row["expected"] is None or row["expected"] == length
-        length += row["events"] if ok else 0
-        return length, {name: row[name], order: row[order], "accepted": ok, "version": length}
+        ok = expected is None or expected == length
+        length += events if ok else 0
+        return length, ok, length
 
-    kind = lambda c: commands.schema[c].dataType.simpleString()
-    return scanned(commands.select(name, order, "expected", "events"), [name], [order], step, f"{name} {kind(name)}, {order} {kind(order)}, accepted boolean, version long")
+    return scanned(commands, [name], [order], ["expected", "events"], step, "accepted boolean, version long", [name, order])
 
 
 class Refused(Exception):
@@ -140,14 +139,32 @@ def command_decisions(commands: DataFrame, name: str = "key", order: str = "at")
     deactivation. A refused command leaves no event.
     """
 
-    def step(state, row):
+    def step(state, what, n):
         there, active, count = state or (False, False, 0)
-        what, n = row["command"], row["count"] or 0
+        n = n or 0
         ok = {"create": not there, "check_in": there and n > 0, "remove": there and 0 < n <= count, "deactivate": there and active}.get(what, False)
         if ok:
             there, active = True, True if what == "create" else False if what == "deactivate" else active
             count += n if what == "check_in" else -n if what == "remove" else 0
-        return (there, active, count), {name: row[name], order: row[order], "outcome": "done" if ok else "refused", "count": count}
+        return (there, active, count), "done" if ok else "refused", count
 
-    kind = lambda c: commands.schema[c].dataType.simpleString()
-    return scanned(commands.select(name, order, "command", "count"), [name], [order], step, f"{name} {kind(name)}, {order} {kind(order)}, outcome string, count long")
+    return scanned(commands, [name], [order], ["command", "count"], step, "outcome string, count long", [name, order])
+
+
+def load_or_create(wanted: DataFrame, states: DataFrame, key: str = "key") -> DataFrame:
+    """wanted (key) with its folded state (``states``: key, version, ...); one without events has version 0, null for the rest."""
+    return wanted.join(states, key, "left").withColumn("version", F.coalesce("version", F.lit(0).cast("long"))).withColumn("created", F.col("version") == 0)
+
+
+def bind_id(bound: str | None, id: str) -> str:
+    """The id that an aggregate is bound to: the first one given; a blank one, or another one later, is an error."""
+    if not id or not id.strip():
+        raise ValueError("an aggregate needs an id")
+    if bound is not None and bound != id:
+        raise ValueError(f"an aggregate of {bound} cannot become that of {id}")
+    return id
+
+
+def history(events: DataFrame, key: str = "key") -> DataFrame:
+    """events with ``version``: the whole history of every stream in order, the first event being version 1."""
+    return numbered(events, [key]).withColumn("version", F.col("ordinal").cast("long")).drop("ordinal", "total")

@@ -44,15 +44,14 @@ def buffer_batches(messages: DataFrame, most: int, wait_ms: int, source: str = "
     """messages with the number of the buffered batch of their source: one closes at ``most`` messages, or when one arrives
     ``wait_ms`` or more behind the batch's first."""
 
-    def step(state, row):
+    def step(state, now):
         number, first, count = state or (0, None, 0)
-        if count and (count >= most or row[time] - first >= wait_ms):
+        if count and (count >= most or now - first >= wait_ms):
             number, first, count = number + 1, None, 0
-        first = row[time] if not count else first
-        return (number, first, count + 1), {source: row[source], order: row[order], time: row[time], "batch": number}
+        first = now if not count else first
+        return (number, first, count + 1), number
 
-    kind = lambda c: messages.schema[c].dataType.simpleString()
-    return scanned(messages.select(source, time, order), [source], [time, order], step, f"{source} {kind(source)}, {order} {kind(order)}, {time} {kind(time)}, batch long")
+    return scanned(messages, [source], [time, order], [time], step, "batch long", [source, order, time])
 
 
 def batch_traces(entries: DataFrame, size: int, most_links: int = 16) -> DataFrame:

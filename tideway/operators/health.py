@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideway.functions import ids
+from tideway.operators.order import SPAN_MS
 from tideway.operators.topics import bounds
 
 #: A tail sample of this age says nothing any more.
@@ -26,13 +27,30 @@ def estimated_behind(length: Column, first: tuple[Column, Column], last: tuple[C
     return F.when((length <= 0) | (d >= l), F.lit(0)).when((d < f) | (span <= 0), length).otherwise(F.greatest(F.lit(1), F.least(guess, length))).cast("long")
 
 
+def entries_behind(entries: DataFrame, at: DataFrame, span_ms: int = SPAN_MS) -> DataFrame:
+    """(consumer, partition, entries): the entries behind each position (consumer, partition, pm, ps).
+
+    Entries are counted by spans of time, whose running sums are a small table; an entry is compared only with the
+    positions that lie in its own span.
+    """
+    span = lambda c: F.expr(f"`{c}` div {span_ms}")
+    spans = entries.groupBy("partition", span("ms").alias("span")).agg(F.count("*").alias("n"))
+    own = at.select("consumer", "partition", "pm", "ps", span("pm").alias("span"))
+    every = spans.unionByName(own.select("partition", "span", F.lit(0).cast("long").alias("n")).distinct()).groupBy("partition", "span").agg(F.sum("n").alias("n"))
+    later = F.sum("n").over(Window.partitionBy("partition").orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1))
+    later = every.select("partition", "span", F.coalesce(later, F.lit(0)).alias("later"))
+    same = entries.select("partition", "ms", "seq", span("ms").alias("span")).join(own, ["partition", "span"])
+    same = same.where((F.col("ms") > F.col("pm")) | ((F.col("ms") == F.col("pm")) & (F.col("seq") > F.col("ps")))).groupBy("consumer", "partition").agg(F.count("*").alias("own"))
+    rows = own.join(later, ["partition", "span"]).join(same, ["consumer", "partition"], "left")
+    return rows.select("consumer", "partition", (F.col("later") + F.coalesce("own", F.lit(0))).alias("entries"))
+
+
 def lags(entries: DataFrame, positions: DataFrame, now_ms: int) -> DataFrame:
     """(consumer, partition, length, entries_est, entries, lag_ms) of every stored position."""
     edge = bounds(entries)
     at = positions.select("consumer", "partition", F.col("ms").alias("pm"), F.col("seq").alias("ps"))
     rows = at.join(edge, "partition")
-    # Positions are a row for each consumer and partition; each entry is counted for those that are behind it.
-    counts = entries.select("partition", "ms", "seq").join(at, "partition").groupBy("consumer", "partition").agg(F.count_if((F.col("ms") > F.col("pm")) | ((F.col("ms") == F.col("pm")) & (F.col("seq") > F.col("ps")))).alias("entries"))
+    counts = entries_behind(entries, at)
     est = estimated_behind(F.col("length"), (F.col("oldest_ms"), F.col("oldest_seq")), (F.col("newest_ms"), F.col("newest_seq")), (F.col("pm"), F.col("ps")))
     caught = ids.pair(F.col("pm"), F.col("ps")) >= ids.pair(F.col("newest_ms"), F.col("newest_seq"))
     return rows.join(counts, ["consumer", "partition"], "left").select("consumer", "partition", "length", est.alias("entries_est"), F.coalesce("entries", F.lit(0)).alias("entries"), lag_ms(now_ms, F.col("pm"), caught).alias("lag_ms"))
@@ -113,3 +131,48 @@ def consumed(entries: DataFrame, keep: Column, now_ms: int) -> DataFrame:
     return entries.groupBy("partition", "type").agg(
         F.count_if(keep).alias("consumed"), F.count_if(~keep).alias("filtered"), (F.lit(now_ms) - F.min("ms")).alias("oldest_lag_ms"), F.round(F.avg(F.octet_length("body")), 6).alias("mean_bytes")
     )
+
+
+def counters(consumed_: DataFrame, failures: DataFrame, flushes: DataFrame, releases: DataFrame, published: DataFrame) -> DataFrame:
+    """(topic, partition, published, consumed, filtered, errors, flush_failures, clamp_released): what a process has counted, from its logs.
+
+    consumed_ (topic, partition, kept), failures (topic, partition), flushes (topic, partition, ok), releases (topic, partition,
+    entries) and published (topic, partition) are a row for each event; a partition that any of them names has a row.
+    """
+    by = ["topic", "partition"]
+    parts = [
+        published.groupBy(*by).agg(F.count("*").alias("published")), consumed_.groupBy(*by).agg(F.count_if("kept").alias("consumed"), F.count_if(~F.col("kept")).alias("filtered")),
+        failures.groupBy(*by).agg(F.count("*").alias("errors")), flushes.groupBy(*by).agg(F.count_if(~F.col("ok")).alias("flush_failures")), releases.groupBy(*by).agg(F.sum("entries").alias("clamp_released")),
+    ]
+    names = ["published", "consumed", "filtered", "errors", "flush_failures", "clamp_released"]
+    rows = None
+    for p in parts:
+        p = p.select(*by, *((F.col(c) if c in p.columns else F.lit(0)).cast("long").alias(c) for c in names))
+        rows = p if rows is None else rows.unionByName(p)
+    return rows.groupBy(*by).agg(*(F.sum(c).alias(c) for c in names))
+
+
+def batch_sizes(batches: DataFrame) -> DataFrame:
+    """(partition, batches, least, median, p95, most) of the sizes of handled batches (partition, read)."""
+    q = lambda p: F.percentile("read", F.lit(p))
+    return batches.groupBy("partition").agg(F.count("*").alias("batches"), F.min("read").alias("least"), q(0.5).alias("median"), q(0.95).alias("p95"), F.max("read").alias("most"))
+
+
+def snapshot(partitions: DataFrame, edge: DataFrame, positions: DataFrame, owners: DataFrame, progress: DataFrame, now_ms: int) -> DataFrame:
+    """The status row of every consumer and partition: bounds, position, lag, owner, state, progress.
+
+    partitions (topic, consumer, partition); edge as ``bounds`` gives it; positions (consumer, partition, ms, seq); owners
+    (partition, owner); progress (consumer, partition, state, last_handled_ms, last_flush_ms, errors).
+    """
+    rows = partitions.join(edge, "partition", "left").join(positions.select("consumer", "partition", F.col("ms").alias("position_ms"), F.col("seq").alias("position_seq")), ["consumer", "partition"], "left")
+    rows = rows.join(owners, "partition", "left").join(progress, ["consumer", "partition"], "left")
+    done, last = ids.pair(F.col("position_ms"), F.col("position_seq")), ids.pair(F.col("newest_ms"), F.col("newest_seq"))
+    behind = F.col("newest_ms").isNotNull() & (F.col("position_ms").isNull() | (done < last))
+    length = F.coalesce("length", F.lit(0)).cast("long")
+    est = F.when(F.col("position_ms").isNull(), length).otherwise(F.coalesce(estimated_behind(length, (F.col("oldest_ms"), F.col("oldest_seq")), (F.col("newest_ms"), F.col("newest_seq")), (F.col("position_ms"), F.col("position_seq"))), F.lit(0)))
+    since = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(0), F.lit(now_ms) - F.col(c))).cast("long")
+    return rows.select(
+        "topic", "consumer", "partition", F.coalesce("state", F.lit("starting")).alias("state"), "owner", F.col("owner").isNull().alias("unowned"), length.alias("length"), "oldest_ms", "oldest_seq", "newest_ms", "newest_seq",
+        "position_ms", "position_seq", behind.alias("behind"), est.alias("lag_entries"), lag_ms(now_ms, F.col("position_ms"), ~behind).alias("lag_ms"), since("last_handled_ms").alias("idle_ms"), since("last_flush_ms").alias("unpersisted_ms"),
+        F.coalesce("errors", F.lit(0)).cast("long").alias("errors"),
+    )

@@ -28,28 +28,35 @@ def numbered(rows: DataFrame, by: list[str], ms: str = "ms", seq: str = "seq", s
     return spanned.join(sums, [*by, "__span"]).withColumn("ordinal", F.col("__before") + own).drop("__span", "__before")
 
 
-def scanned(rows: DataFrame, keys: list[str], order: list[str], step: Callable[[object, dict], tuple[object, dict | None]], schema: str) -> DataFrame:
-    """A fold that looks at the rows of a key one after another: step(state, row) -> (state, row out or None); state is None at first.
+def scanned(rows: DataFrame, keys: list[str], order: list[str], uses: list[str], step: Callable, added: str, keep: list[str]) -> DataFrame:
+    """A fold that looks at the rows of a key one after another: step(state, *values of ``uses``) -> (state, *values of ``added``);
+    state is None at first. The result has the columns ``keep``, as they are, and the added ones.
 
     Rows are sorted and streamed, so a key of any size needs the memory of its state only; use it where the next step
     depends on the last, which no window function can express.
     """
-    names = [x.strip().split()[0].strip("`") for x in schema.split(",")]
+    new = to_arrow_schema(StructType.fromDDL(added))
+    schema = StructType([rows.schema[c] for c in keep] + list(StructType.fromDDL(added)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, state = object(), None
         for b in batches:
-            out = []
-            for row in b.to_pylist():
-                key = tuple(row[k] for k in keys)
+            column = lambda c, b=b: b.column(b.schema.get_field_index(c))
+            of = [column(k).to_pylist() for k in keys]
+            made = []
+            for key, *values in zip(of[0] if len(of) == 1 else zip(*of, strict=True), *(column(c).to_pylist() for c in uses), strict=True):
                 if key != at:
                     at, state = key, None
-                state, made = step(state, row)
-                if made is not None:
-                    out.append(made)
-            yield pa.RecordBatch.from_pylist(out, arrow)
+                state, *out = step(state, *values)
+                made.append(out)
+            columns = zip(*made, strict=True) if made else [()] * len(new)
+            yield pa.RecordBatch.from_arrays([*(column(c) for c in keep), *(pa.array(c, f.type) for c, f in zip(columns, new, strict=True))], names=[*keep, *new.names])
 
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
-    assert arrow.names == names
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    wanted = list(dict.fromkeys([*keys, *order, *uses, *keep]))
+    return rows.select(*wanted).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
+
+def span_width(rows: DataFrame, column: str, most: int = 1_000_000) -> int:
+    """Width of spans of a whole-number column such that evenly spread rows have about ``most`` in each."""
+    low, high, n = rows.agg(F.min(column), F.max(column), F.count(column)).first()
+    return max(1, (high - low + 1) // max(1, -(-n // most))) if n else 1

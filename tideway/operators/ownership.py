@@ -7,6 +7,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideway.functions import texts
+from tideway.operators.order import scanned
+
 
 def owned(partitions: Column, count: Column, index: Column) -> tuple[Column, Column]:
     """First partition and number of partitions of the index-th of ``count`` instances; none for an index out of range."""
@@ -82,11 +85,16 @@ class Leases:
 
 def lease_cycles(calls: DataFrame) -> DataFrame:
     """(topic, at, me, held): calls (topic, at, me, partitions, ttl_ms) run one after another on the leases of their topic."""
-    from tideway.operators.order import scanned
+    def step(leases, me, at, partitions, ttl_ms):
+        leases = leases or Leases(partitions)
+        return leases, ",".join(map(str, leases.cycle(me, at, ttl_ms)))
+
+    return scanned(calls, ["topic"], ["at", "me"], ["me", "at", "partitions", "ttl_ms"], step, "held string", ["topic", "at", "me"])
 
-    def step(leases, row):
-        leases = leases or Leases(row["partitions"])
-        held = leases.cycle(row["me"], row["at"], row["ttl_ms"])
-        return leases, {"topic": row["topic"], "at": row["at"], "me": row["me"], "held": ",".join(map(str, held))}
 
-    return scanned(calls.select("topic", "at", "me", "partitions", "ttl_ms"), ["topic"], ["at", "me"], step, "topic string, at long, me string, held string")
+def discovered(keys: DataFrame, key: str = "key") -> DataFrame:
+    """(topic, consumer, positions, ownership) of the consumers that stored keys tell of: those with positions, and those that only own
+    partitions. Keys are ``re:p:{topic}:consumer`` and ``re:o:{topic}:consumer``, braces left out in a spread layout."""
+    m = lambda n: F.regexp_extract(key, texts.CONSUMER_KEY, n)
+    found = keys.select(m(1).alias("kind"), F.regexp_replace(m(2), r"[{}]", "").alias("topic"), m(3).alias("consumer"), m(4).alias("rest")).where("kind <> '' and rest = ''")
+    return found.groupBy("topic", "consumer").agg(F.bool_or(F.col("kind") == "p").alias("positions"), F.bool_or(F.col("kind") == "o").alias("ownership"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideway.functions import ids, texts
@@ -10,6 +10,7 @@ from tideway.operators.topics import bounds
 
 #: Entries that a count pages over, and the count at which it stops being exact.
 PAGE, COUNT_CAP = 1_000, 250_000
+POSITION = "topic string, consumer string, partition int, ms long, seq long"
 
 
 def latest(writes: DataFrame, written: str = "written") -> DataFrame:
@@ -18,6 +19,30 @@ def latest(writes: DataFrame, written: str = "written") -> DataFrame:
     return got.select("topic", "consumer", "partition", "x.ms", "x.seq")
 
 
+class NoStore:
+    """A position store that keeps nothing: every start is from what the settings say."""
+
+    def save(self, positions: DataFrame) -> None:
+        pass
+
+    def load(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([], POSITION)
+
+
+class MemoryStore:
+    """A position store for tests: what was written last for each topic, consumer and partition, in the driver's memory."""
+
+    def __init__(self) -> None:
+        self.kept: dict[tuple[str, str, int], tuple[int, int]] = {}
+
+    def save(self, positions: DataFrame) -> None:
+        for r in positions.select("topic", "consumer", "partition", "ms", "seq").collect():
+            self.kept[r[0], r[1], r[2]] = (r[3], r[4])
+
+    def load(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([(*k, *v) for k, v in sorted(self.kept.items())], POSITION)
+
+
 def flushes(processed: DataFrame, tick_ms: int, clock: str = "ms") -> DataFrame:
     """(partition, tick, ms, seq): what a flusher writes: for each tick the last id of every partition that moved in it."""
     got = processed.groupBy("partition", F.floor(F.col(clock) / tick_ms).alias("tick")).agg(F.max(ids.packed(F.col("ms"), F.col("seq"))).alias("last"))

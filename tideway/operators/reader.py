@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideway.functions import ids
@@ -34,6 +34,18 @@ def read_many(entries: DataFrame, positions: DataFrame, most: int) -> DataFrame:
     return numbered(behind(entries, positions), ["partition"]).where(F.col("ordinal") <= most).drop("ordinal", "total")
 
 
+def checked(reply: DataFrame, after: DataFrame) -> DataFrame:
+    """(partition, arrival, ms, seq, in_order): whether each entry of a reply (partition, arrival, ms, seq) is behind the one before it, the
+    first one behind the cursor (partition, ms, seq) that was sent. A reply that is not in order must not be handled.
+
+    A reply is bounded by the count that was asked for, so its partitions are sorted whole.
+    """
+    before = F.lag(F.struct("ms", "seq")).over(Window.partitionBy("partition").orderBy("arrival"))
+    rows = reply.withColumn("__before", before).join(after.select("partition", F.struct("ms", "seq").alias("__sent")), "partition", "left")
+    last = F.coalesce("__before", "__sent", ids.pair(0, 0))
+    return rows.select("partition", "arrival", "ms", "seq", (F.struct("ms", "seq") > last).alias("in_order"))
+
+
 def read_state(events: DataFrame, name: str, after: tuple[int, int], most: int) -> DataFrame:
     """Up to ``most`` entries of one state stream behind an id."""
     if most <= 0:

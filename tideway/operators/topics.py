@@ -37,6 +37,30 @@ def assign_ids(rows: DataFrame, arrival: list[str], tails: DataFrame | None = No
     return rows.withColumn("seq", own + behind).drop("__ms", "__seq")
 
 
+def publish_batches(rows: DataFrame, partitions: int, batch: str, ms: str, seq: str, key: str = "key") -> DataFrame:
+    """rows with ``partition``: one decision for each batch, by the hash of its first message's key (by ms, seq), or for an empty key
+    the next slot in order of the batches that need one. A batch is in one partition whole."""
+    first = rows.groupBy(batch).agg(F.min_by(F.coalesce(F.col(key), F.lit("")), F.struct(ms, seq)).alias("key"), F.min(F.struct(ms, seq)).alias("__at"))
+    first = first.select(batch, "key", F.col(f"__at.{ms}").alias("__ms"), F.col(f"__at.{seq}").alias("__seq"))
+    decided = route(first, partitions, "__ms", "__seq").select(batch, "partition")
+    return rows.join(decided, batch)
+
+
+def publish_trimmed(entries: DataFrame, added: DataFrame, most: int) -> DataFrame:
+    """entries with those added (partition, ms, seq, ...; ids behind the partition's tail), cut to the newest ``most`` of each partition
+    that something was added to; other partitions are left alone."""
+    into = added.select("partition").distinct()
+    grown = entries.join(into, "partition", "left_semi").unionByName(added)
+    return entries.join(into, "partition", "left_anti").unionByName(trim_maxlen(grown, most).select(*entries.columns))
+
+
+def layout(meta: DataFrame, topic: str, partitions: int = 1, max_len: int = 10_000) -> DataFrame:
+    """(topic, partitions, max_len, known) of one topic, the defaults where none is recorded."""
+    wanted = meta.sparkSession.createDataFrame([(topic,)], "topic string")
+    found = wanted.join(meta.where(F.col("topic") == topic), "topic", "left")
+    return found.select("topic", F.coalesce("partitions", F.lit(partitions)).alias("partitions"), F.coalesce("max_len", F.lit(max_len)).alias("max_len"), F.col("partitions").isNotNull().alias("known"))
+
+
 def bounds(entries: DataFrame) -> DataFrame:
     """(partition, oldest_ms, oldest_seq, newest_ms, newest_seq, length) in one hash aggregate."""
     id_ = ids.packed(F.col("ms"), F.col("seq"))
@@ -78,13 +102,19 @@ def trim_retention(entries: DataFrame, now_ms: int, retention_seconds: int) -> D
 def clamp(positions: DataFrame, partitions: DataFrame) -> DataFrame:
     """(partition, clamp_ms, clamp_seq, holder): the smallest position over all consumers; a consumer without one holds at 0-0.
     Of equal positions the first consumer by name holds. Consumers times partitions is metadata, a row for each pair."""
-    consumers = positions.select("consumer").distinct()
-    # Partitions are a handful of rows a topic: every consumer gets the list of them.
-    listed = partitions.agg(F.collect_set("partition").alias("__p"))
-    pairs = consumers.withColumn("__one", F.lit(1)).join(listed.withColumn("__one", F.lit(1)), "__one").select("consumer", F.explode("__p").alias("partition"))
-    held = pairs.join(positions.select("consumer", "partition", "ms", "seq"), ["consumer", "partition"], "left")
-    held = held.select("partition", F.struct(F.coalesce("ms", F.lit(0)).alias("ms"), F.coalesce("seq", F.lit(0)).alias("seq"), "consumer").alias("x"))
-    return held.groupBy("partition").agg(F.min("x").alias("x")).select("partition", F.col("x.ms").alias("clamp_ms"), F.col("x.seq").alias("clamp_seq"), F.col("x.consumer").alias("holder"))
+    # Consumers are numbered by name; the first one that a partition lacks is the first gap in its numbers, or behind its last.
+    ranks = positions.select("consumer").distinct().withColumn("__rank", F.row_number().over(Window.orderBy("consumer")))
+    held = positions.select("consumer", "partition", "ms", "seq").join(ranks, "consumer")
+    held = held.withColumn("__nth", F.row_number().over(Window.partitionBy("partition").orderBy("__rank")))
+    low = held.groupBy("partition").agg(
+        F.min(F.struct("ms", "seq", "consumer")).alias("x"), F.min(F.when(F.col("__rank") > F.col("__nth"), F.col("__nth"))).alias("__gap"), F.count("*").alias("__n")
+    )
+    rows = partitions.select("partition").distinct().join(low, "partition", "left").withColumn("__lacks", F.coalesce("__gap", F.col("__n") + 1, F.lit(1)))
+    rows = rows.join(ranks.select(F.col("consumer").alias("__who"), F.col("__rank").cast("long").alias("__lacks")), "__lacks", "left")
+    zero = F.lit(0).cast("long")
+    at = F.when(F.col("__who").isNotNull(), F.struct(zero.alias("ms"), zero.alias("seq"), F.col("__who").alias("consumer")))
+    x = F.least("x", at)
+    return rows.withColumn("x", x).where("x is not null").select("partition", F.col("x.ms").alias("clamp_ms"), F.col("x.seq").alias("clamp_seq"), F.col("x.consumer").alias("holder"))
 
 
 def release_at(max_len: int, threshold: float) -> int:

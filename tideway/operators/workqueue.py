@@ -35,3 +35,20 @@ def acknowledged(batches: DataFrame, through: DataFrame) -> DataFrame:
     rows = batches.join(at, "partition").join(top, "partition")
     last = F.struct(F.col("last_ms").alias("ms"), F.col("last_seq").alias("seq"))
     return rows.where((last <= F.col("__to")) & (F.col("__to") <= F.struct(F.col("__top.last_ms").alias("ms"), F.col("__top.last_seq").alias("seq")))).drop("__to", "__top")
+
+
+def created(groups: DataFrame, wanted: DataFrame) -> DataFrame:
+    """All groups (topic, partition, member_group, ms, seq) with those wanted that are missing, and whether each was made now: a group
+    that is there keeps its position."""
+    by = ["topic", "partition", "member_group"]
+    new = wanted.join(groups, by, "left_anti").select(*by, "ms", "seq", F.lit(True).alias("made"))
+    return groups.select(*by, "ms", "seq", F.lit(False).alias("made")).unionByName(new)
+
+
+def reset(groups: DataFrame, waiting: DataFrame, moved: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups set to new ids (moved: topic, partition, member_group, ms, seq, purge), and what then waits: entries that were delivered
+    from a purged group are dropped from its pending list, so that they are not claimed again."""
+    by = ["topic", "partition", "member_group"]
+    to = moved.select(*by, F.col("ms").alias("__ms"), F.col("seq").alias("__seq"))
+    after = groups.join(to, by, "left").withColumns({"ms": F.coalesce("__ms", "ms"), "seq": F.coalesce("__seq", "seq")}).drop("__ms", "__seq")
+    return after.select(*groups.columns), waiting.join(moved.where("purge").select(*by), by, "left_anti")

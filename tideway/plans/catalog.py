@@ -5,14 +5,16 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideway.functions import codec, ids, routing, texts
-from tideway.operators import aggregates, dedupe, delivery, health, ownership, positions, projections, reader, topics, workflow, workqueue
+from tideway.functions import bodies, codec, ids, routing, texts
+from tideway.operators import aggregates, config, dedupe, delivery, health, ownership, positions, projections, reader, topics, workflow, workqueue
 from tideway.operators.order import numbered
 from tideway.sources import fixtures as X
+from tideway.sources import store
 from tideway.sources.fixtures import NOW_MS, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -259,7 +261,11 @@ def route_explicit(e, spark, sf_dir):
     return topics.route(rows, 6, "ms", "event_id", "wanted").select("event_id", "partition")
 
 
-@query()
+#: Fixed values by rule: the partition of each user number, from the reference implementation of the hash.
+ROUTED = ", ".join(f"('{i}', {xxhash.xxh3_64_intdigest(str(i).encode()) % 6})" for i in range(2_000))
+
+
+@query(sql("entry", body=f"SELECT key, event_id, CAST(r.partition AS INTEGER) AS partition FROM entry JOIN (VALUES {ROUTED}) r(key, partition) USING (key)"))
 def route_key(e, spark, sf_dir):
     return routing.by_key(e.select("key", "event_id"), 6)
 
@@ -368,7 +374,11 @@ def optimistic_append(e, spark, sf_dir):
     return aggregates.optimistic_appends(_commands(e))
 
 
-@query()
+@query(sql("entry", recursive=True, body=""", c AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY ms, seq) AS at, ['create','check_in','remove','check_in','deactivate','remove','check_in'][event_id % 7 + 1] AS command, event_id % 6 AS n FROM entry),
+  r AS (SELECT key, at, command = 'create' AS done, command = 'create' AS there, command = 'create' AS active, CAST(0 AS BIGINT) AS count FROM c WHERE at = 1 UNION ALL
+    SELECT key, at, ok, there OR ok, CASE WHEN ok AND command = 'create' THEN true WHEN ok AND command = 'deactivate' THEN false ELSE active END, count + CASE WHEN NOT ok THEN 0 WHEN command = 'check_in' THEN n WHEN command = 'remove' THEN -n ELSE 0 END
+    FROM (SELECT c.key, c.at, command, n, there, active, count, CASE command WHEN 'create' THEN NOT there WHEN 'check_in' THEN there AND n > 0 WHEN 'remove' THEN there AND n > 0 AND n <= count ELSE there AND active END AS ok FROM r JOIN c ON c.key = r.key AND c.at = r.at + 1))
+  SELECT key, at, CASE WHEN done THEN 'done' ELSE 'refused' END AS outcome, count FROM r"""))
 def command_decisions(e, spark, sf_dir):
     kinds = F.element_at(F.array(F.lit("create"), F.lit("check_in"), F.lit("remove"), F.lit("check_in"), F.lit("deactivate"), F.lit("remove"), F.lit("check_in")), (C("event_id") % 7 + 1).cast("int"))
     rows = numbered(e.select("key", "ms", "seq", "event_id"), ["key"])
@@ -406,7 +416,11 @@ def forward(e, spark, sf_dir):
     return dedupe.forwarded(e.select(C("key").alias("source"), C("event_id").alias("at"), F.expr(FORWARD).alias("position")))
 
 
-@query()
+@query(sql("entry", recursive=True, body=""", o AS (SELECT key AS source, ms AS m_at, event_id AS position, event_id % 3 AS id, row_number() OVER (PARTITION BY key ORDER BY ms, event_id) AS n FROM entry),
+  r AS (SELECT source, m_at, position, id, n, true AS ok, position AS mark, CASE WHEN id = 0 THEN m_at + 21600000 ELSE 0 END AS u0, CASE WHEN id = 1 THEN m_at + 21600000 ELSE 0 END AS u1, CASE WHEN id = 2 THEN m_at + 21600000 ELSE 0 END AS u2 FROM o WHERE n = 1 UNION ALL
+    SELECT source, m_at, position, id, n, ok, CASE WHEN ok THEN position ELSE mark END, CASE WHEN ok AND id = 0 THEN m_at + 21600000 ELSE u0 END, CASE WHEN ok AND id = 1 THEN m_at + 21600000 ELSE u1 END, CASE WHEN ok AND id = 2 THEN m_at + 21600000 ELSE u2 END
+    FROM (SELECT o.*, mark, u0, u1, u2, o.position > mark AND CASE o.id WHEN 0 THEN u0 WHEN 1 THEN u1 ELSE u2 END <= o.m_at AS ok FROM r JOIN o ON o.source = r.source AND o.n = r.n + 1))
+  SELECT source, m_at AS at, position, CAST(id AS VARCHAR) AS dedupe_id, ok AS forwarded FROM r"""))
 def forward_once(e, spark, sf_dir):
     rows = e.select(C("key").alias("source"), C("ms").alias("at"), C("event_id").alias("position"), (C("event_id") % 3).cast("string").alias("dedupe_id"))
     return dedupe.forwarded_once(rows, 21_600_000)
@@ -695,3 +709,146 @@ def workflow_requests(e, spark, sf_dir):
 def workflow_outcomes(e, spark, sf_dir):
     status = F.element_at(F.array(*[F.lit(x).cast("int") for x in (None, 200, 202, 409, 408, 425, 429, 503, 400, 404)]), (C("event_id") % 10 + 1).cast("int"))
     return e.select("event_id", workflow.outcome(status, status == 409).alias("outcome"))
+
+
+# --- discovery, publishing in batches, histories, counters, status ----------------------------------------------------
+
+
+@query("""SELECT 'n' || n_nationkey % 7 AS topic, 'c' || n_regionkey AS consumer, true AS positions, bool_or(n_nationkey % 2 = 0) AS ownership FROM nation GROUP BY ALL
+  UNION ALL SELECT DISTINCT 'n' || n_nationkey % 7, 'o' || n_regionkey, false, true FROM nation WHERE n_nationkey % 3 = 0""")
+def consumer_discovery(e, spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("n"), (C("n_nationkey") % 7).cast("string")).alias("topic"), F.concat(F.lit("c"), C("n_regionkey").cast("string")).alias("c"), F.concat(F.lit("o"), C("n_regionkey").cast("string")).alias("o"), "n_nationkey")
+    keys = n.select(F.explode(F.array_compact(F.array(
+        texts.key("positions", C("topic"), C("c")), texts.key("positions_meta", C("topic"), C("c")), F.when(C("n_nationkey") % 2 == 0, texts.key("ownership", C("topic"), C("c"))),
+        F.when(C("n_nationkey") % 3 == 0, texts.key("ownership", C("topic"), C("o"))), texts.key("topic_meta", C("topic")), texts.key("stream", C("topic"), F.lit(0)),
+    ))).alias("key"))
+    return ownership.discovered(keys)
+
+
+@query(sql("entry", body=""", b AS (SELECT event_id // 10 AS batch, min((ms, event_id)) AS at FROM entry GROUP BY 1), s AS (SELECT batch, CAST(row_number() OVER (ORDER BY at) % 6 AS INTEGER) AS partition FROM b)
+  SELECT event_id, batch, s.partition FROM (SELECT event_id, event_id // 10 AS batch FROM entry) JOIN s USING (batch)"""))
+def publish_batch(e, spark, sf_dir):
+    rows = e.select("ms", "event_id", F.lit("").alias("key"), F.floor(C("event_id") / 10).alias("batch"))
+    return topics.publish_batches(rows, 6, "batch", "ms", "event_id").select("event_id", "batch", "partition")
+
+
+@query(sql("entry", body=f""", f AS (SELECT event_id // 10 AS batch, arg_min(key, (ms, event_id)) AS key FROM entry GROUP BY 1) SELECT event_id, batch, CAST(r.partition AS INTEGER) AS partition
+  FROM (SELECT event_id, event_id // 10 AS batch FROM entry) JOIN f USING (batch) JOIN (VALUES {ROUTED}) r(key, partition) USING (key)"""))
+def publish_batch_keyed(e, spark, sf_dir):
+    rows = e.select("ms", "event_id", "key", F.floor(C("event_id") / 10).alias("batch"))
+    return topics.publish_batches(rows, 6, "batch", "ms", "event_id").select("event_id", "batch", "partition")
+
+
+@query(sql("entry", body=f""", n AS (SELECT partition, ms, seq FROM entry UNION ALL SELECT CAST(p AS INTEGER), CAST({NOW_MS} AS BIGINT), range FROM range(40), (VALUES (0), (2)) v(p)),
+  o AS (SELECT *, row_number() OVER (PARTITION BY partition ORDER BY ms DESC, seq DESC) AS n FROM n) SELECT partition, ms, seq FROM o WHERE partition NOT IN (0, 2) OR n <= 300"""))
+def publish_trim(e, spark, sf_dir):
+    new = spark.range(80).select((C("id") % 2 * 2).cast("int").alias("partition"), F.lit(NOW_MS).cast("long").alias("ms"), F.floor(C("id") / 2).cast("long").alias("seq"))
+    return topics.publish_trimmed(e.select("partition", "ms", "seq"), new, 300)
+
+
+@query(sql("entry", body="SELECT key, ms, seq, type, row_number() OVER (PARTITION BY key ORDER BY ms, seq) AS version FROM entry"))
+def history_load(e, spark, sf_dir):
+    return aggregates.history(e.select("key", "ms", "seq", "type"))
+
+
+@query(sql("item", body=""", s AS (SELECT key, count(*) AS version, CAST(sum(CASE type WHEN 'item.checked-in' THEN count WHEN 'item.removed' THEN -count ELSE 0 END) AS BIGINT) AS count FROM item GROUP BY key)
+  SELECT key, coalesce(version, 0) AS version, count, version IS NULL AS created FROM (SELECT CAST(c_custkey AS VARCHAR) AS key FROM customer) LEFT JOIN s USING (key)"""))
+def load_or_create(e, spark, sf_dir):
+    wanted = spark.read.parquet(f"{sf_dir}/customer.parquet").select(C("c_custkey").cast("string").alias("key"))
+    return aggregates.load_or_create(wanted, aggregates.items(X.item_events(e))).select("key", "version", "count", "created")
+
+
+@query(sql("entry", body=f"""SELECT topic, partition, count(*) AS published, count(*) FILTER (WHERE type IN ('purchase', 'signup')) AS consumed, count(*) FILTER (WHERE type NOT IN ('purchase', 'signup')) AS filtered, count(*) FILTER (WHERE {FAILS}) AS errors,
+  count(*) FILTER (WHERE event_id % 100 = 50) AS flush_failures, CAST(coalesce(sum(event_id % 7) FILTER (WHERE event_id % 500 = 0), 0) AS BIGINT) AS clamp_released FROM entry GROUP BY ALL"""))
+def metrics_counters(e, spark, sf_dir):
+    e = e.select("topic", "partition", "type", "event_id")
+    return health.counters(
+        e.select("topic", "partition", reader.types(TYPES).alias("kept")), e.where(FAILS), e.where("event_id % 50 = 0").select("topic", "partition", (C("event_id") % 100 == 0).alias("ok")),
+        e.where("event_id % 500 = 0").select("topic", "partition", (C("event_id") % 7).alias("entries")), e,
+    )
+
+
+@query(sql("ord", body=""", b AS (SELECT partition, (ordinal - 1) // 100 AS batch, count(*) AS read FROM ord GROUP BY ALL)
+  SELECT partition, count(*) AS batches, min(read) AS least, quantile_cont(read, 0.5) AS median, quantile_cont(read, 0.95) AS p95, max(read) AS most FROM b GROUP BY partition"""))
+def metrics_batches(e, spark, sf_dir):
+    return health.batch_sizes(reader.batches(e.select("partition", "ms", "seq", "type"), 100))
+
+
+@query(sql("pos", "edge", "parts", body=f""", c AS (SELECT DISTINCT consumer FROM pos), l AS (SELECT c.consumer, g.*, p.ms AS position_ms, p.seq AS position_seq FROM c, edge g LEFT JOIN pos p ON p.consumer = c.consumer AND p.partition = g.partition)
+  SELECT 'events' AS topic, consumer, partition, CASE WHEN position_ms IS NULL THEN 'starting' ELSE 'running' END AS state, CASE WHEN partition <> 2 THEN 'i' || partition % 3 END AS owner, partition = 2 AS unowned, length, oldest_ms, oldest_seq, newest_ms, newest_seq,
+    position_ms, position_seq, position_ms IS NULL OR (position_ms, position_seq) < (newest_ms, newest_seq) AS behind,
+    CASE WHEN position_ms IS NULL THEN length WHEN (position_ms, position_seq) >= (newest_ms, newest_seq) THEN 0 WHEN (position_ms, position_seq) < (oldest_ms, oldest_seq) OR newest_ms <= oldest_ms THEN length
+      ELSE greatest(1, least(CAST(trunc(CAST(length AS DOUBLE) * (newest_ms - position_ms) / (newest_ms - oldest_ms)) AS BIGINT), length)) END AS lag_entries,
+    CASE WHEN position_ms IS NULL OR (position_ms, position_seq) >= (newest_ms, newest_seq) THEN 0.0::DOUBLE ELSE CAST({NOW_MS} - position_ms AS DOUBLE) END AS lag_ms,
+    {NOW_MS} - position_ms - 500 AS idle_ms, {NOW_MS} - position_ms AS unpersisted_ms, coalesce(position_seq, 0) AS errors FROM l"""))
+def status_row(e, spark, sf_dir):
+    at = X.positions(e)
+    every = at.select("consumer").distinct().select(F.lit("events").alias("topic"), "consumer", F.explode(F.sequence(F.lit(0), F.lit(X.PARTITIONS - 1))).alias("partition"))
+    owners = X.partitions(spark).where("partition <> 2").select("partition", F.concat(F.lit("i"), (C("partition") % 3).cast("string")).alias("owner"))
+    progress = at.select("consumer", "partition", F.lit("running").alias("state"), (C("ms") + 500).alias("last_handled_ms"), C("ms").alias("last_flush_ms"), C("seq").alias("errors"))
+    return health.snapshot(every, topics.bounds(e), at, owners, progress, NOW_MS)
+
+
+@query("SELECT 'n3' AS topic, 5 AS partitions, 500 AS max_len, true AS known UNION ALL SELECT 'none', 1, 10000, false")
+def layout_read(e, spark, sf_dir):
+    meta = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("n"), C("n_nationkey").cast("string")).alias("topic"), (4 + C("n_nationkey") % 2).cast("int").alias("partitions"), F.lit(500).alias("max_len"))
+    return topics.layout(meta, "n3").unionByName(topics.layout(meta, "none"))
+
+
+@query(sql("entry", body=f"""SELECT partition, event_id AS arrival, ms, seq, (ms, seq) > coalesce(lag((ms, seq)) OVER (PARTITION BY partition ORDER BY event_id), ({PIVOT[0]}, {PIVOT[1]})) AS in_order FROM entry WHERE event_id < 2000"""))
+def reply_check(e, spark, sf_dir):
+    sent = X.partitions(spark).select("partition", F.lit(PIVOT[0]).cast("long").alias("ms"), F.lit(PIVOT[1]).cast("long").alias("seq"))
+    return reader.checked(e.where("event_id < 2000").select("partition", C("event_id").alias("arrival"), "ms", "seq"), sent)
+
+
+REQUESTS = [({"from_": "2024-01-15T00:00:00"}, "events", False, True), ({"id": "17-3"}, "events", True, True), ({"to": "End"}, "events", False, False), ({"id": "x"}, "a/b", False, True), ({}, "", False, True), ({"id": "1-2", "to": "start"}, "n" * 129, False, True)]
+
+
+@query("""SELECT * FROM (VALUES (0, 'date', true, 200), (1, 'id', true, 409), (2, 'end', true, 404), (3, 'error', false, 400), (4, 'error', false, 400), (5, 'error', false, 400)) v(request, target, name_ok, status)""")
+def admin_validate(e, spark, sf_dir):
+    """Requests (target, topic, running, known) as the administration answers them."""
+    rows = []
+    for i, (target, topic, running, known) in enumerate(REQUESTS):
+        to = config.reset_target(target.get("from_"), target.get("id"), target.get("to"))
+        rows.append((i, to[0], config.name_error(topic, "topic") is None, config.reset_status(to, running, False, known)))
+    return spark.createDataFrame(rows, "request int, target string, name_ok boolean, status int")
+
+
+@query("""SELECT 'n' || n_nationkey AS topic, 0 AS partition, 'g' || n_regionkey AS member_group, CAST(CASE WHEN n_nationkey % 2 = 0 THEN 7 ELSE 0 END AS BIGINT) AS ms, CAST(CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS seq, n_nationkey % 2 <> 0 AS made FROM nation""")
+def group_create(e, spark, sf_dir):
+    n, zero = _groups(spark, sf_dir), F.lit(0).cast("long")
+    there = n.where("n % 2 = 0").select("topic", "partition", "member_group", F.lit(7).cast("long").alias("ms"), F.lit(1).cast("long").alias("seq"))
+    return workqueue.created(there, n.select("topic", "partition", "member_group", zero.alias("ms"), zero.alias("seq")))
+
+
+def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return n.select(F.concat(F.lit("n"), C("n_nationkey").cast("string")).alias("topic"), F.lit(0).alias("partition"), F.concat(F.lit("g"), C("n_regionkey").cast("string")).alias("member_group"), C("n_nationkey").alias("n"))
+
+
+@query(sql("entry", body=f"""SELECT g AS member_group, CAST(CASE WHEN g % 2 = 0 THEN {PIVOT[0]} ELSE 5 END AS BIGINT) AS ms, count(event_id) AS waiting FROM range(6) r(g) LEFT JOIN entry ON g = event_id % 6 AND event_id % 4 > 0 AND g % 3 > 0 GROUP BY ALL"""))
+def group_reset(e, spark, sf_dir):
+    """Every second group is set to a date, every third purged of what waits."""
+    groups = spark.range(6).select(F.lit("events").alias("topic"), F.lit(0).alias("partition"), C("id").alias("member_group"), F.lit(5).cast("long").alias("ms"), F.lit(0).cast("long").alias("seq"))
+    waiting = e.where("event_id % 4 > 0").select("topic", F.lit(0).alias("partition"), (C("event_id") % 6).alias("member_group"), "event_id")
+    moved = groups.where("member_group % 2 = 0 or member_group % 3 = 0").select("topic", "partition", "member_group", F.when(C("member_group") % 2 == 0, PIVOT[0]).otherwise(5).cast("long").alias("ms"), "seq", (C("member_group") % 3 == 0).alias("purge"))
+    after, left = workqueue.reset(groups, waiting, moved)
+    return after.join(left.groupBy("member_group").agg(F.count("*").alias("waiting")), "member_group", "left").select("member_group", "ms", F.coalesce("waiting", F.lit(0)).alias("waiting"))
+
+
+@query(sql("entry", body="""SELECT event_id, '{"user":' || user_id || ',"kind":"' || type || '","more":[1,2.5,null,true],"body":"' || repeat('ab', CAST(event_id % 60 AS INTEGER)) || '"}' AS body FROM entry"""))
+def body_msgpack(e, spark, sf_dir):
+    """Bodies packed, longer ones in compressed blocks, and read back."""
+    text = F.concat(F.lit('{"user":'), C("user_id").cast("string"), F.lit(',"kind":"'), C("type"), F.lit('","more":[1,2.5,null,true],"body":"'), F.expr("repeat('ab', cast(event_id % 60 as int))"), F.lit('"}'))
+    return e.select("event_id", bodies.unpacked(bodies.packed(text)).alias("body"))
+
+
+@query(sql("entry", body="SELECT partition, count(*) AS entries, max(event_id) AS newest FROM (SELECT partition, event_id FROM entry WHERE event_id % 3 < 2) GROUP BY partition"))
+def outbox(e, spark, sf_dir):
+    """State and entries written together: a batch that is repeated counts once, one whose condition fails not at all."""
+    at = X.folder(spark, "outbox")
+    for batch, part in ((0, 0), (1, 1), (1, 1), (2, 2)):
+        own = e.where(C("event_id") % 3 == part)
+        met = spark.createDataFrame([("s", 1, 1 if part < 2 else 9)], "name string, expected int, length int")
+        store.outbox(own.groupBy("key").agg(F.max("event_id").alias("value")), own.select("topic", "partition", "ms", "seq", "type", "key", C("event_id").cast("string").alias("correlation_id")), f"{at}/state", f"{at}/topic", batch, met)
+    return store.read(spark, f"{at}/topic", "events").groupBy("partition").agg(F.count("*").alias("entries"), F.max(C("correlation_id").cast("long")).alias("newest"))

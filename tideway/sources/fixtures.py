@@ -2,24 +2,59 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideway.operators.order import numbered
+from tideway.operators.order import SPAN_MS, numbered
+from tideway.operators.topics import assign_ids
 
 PARTITIONS, NOW_MS = 4, 1_706_745_600_000
 
 
+_folders: dict[str, str] = {}
+_topics: dict[tuple[str, str], str] = {}
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder that driver and executors share, below spark.checkpoint.dir; a local one, deleted in the end, only in local mode."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if "local" not in _folders:
+            _folders["local"] = tempfile.mkdtemp(prefix="tideway-")
+            atexit.register(shutil.rmtree, _folders["local"], ignore_errors=True)
+        root = f"file://{_folders['local']}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The topic ``events``: partition by user, id by time; value and event_id are carried along."""
+    """The topic ``events``: partition by user, id by time; value and event_id are carried along.
+
+    Entries are immutable, so the topic is appended to a store once for each session and read from there: by partition, and
+    within it in order of ids, so that reads behind a position skip what they need not see.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _topics:
+        path = folder(spark, "events")
+        published(spark, sf_dir).repartition("partition", F.expr(f"ms div {24 * SPAN_MS}")).sortWithinPartitions("partition", "ms", "seq").write.partitionBy("partition").parquet(path)
+        _topics[key] = path
+    return spark.read.schema("topic string, ms long, type string, key string, body binary, event_id long, user_id long, value double, seq long, partition int").parquet(_topics[key])
+
+
+def published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The driver's events as entries with their ids."""
     t = spark.read.parquet(f"{sf_dir}/events.parquet")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     rows = t.select(
         F.lit("events").alias("topic"), F.pmod("user_id", F.lit(PARTITIONS)).cast("int").alias("partition"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"),
-        F.col("event_type").alias("type"), F.col("user_id").cast("string").alias("key"), F.col("props").cast("binary").alias("body"), "event_id", "user_id", "value",
+        F.col("event_type").alias("type"), F.col("user_id").cast("string").alias("key"), F.col("props").cast("binary").alias("body"), F.col("event_id").cast("long").alias("event_id"), F.col("user_id").cast("long").alias("user_id"), F.col("value").cast("double").alias("value"),
     )
-    from tideway.operators.topics import assign_ids
-
     return assign_ids(rows, ["event_id"])
 
 

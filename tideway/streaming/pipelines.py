@@ -56,20 +56,58 @@ def start(rows: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def view_writer(path: str) -> Callable[[DataFrame, int], None]:
-    """Keeps a view (key, view, ms, seq) as Parquet generations: each batch merges the last one with what it projects."""
+#: Batches after which a view's changes are merged with it.
+MERGED_EVERY = 16
+
+
+def view_writer(path: str, merged_every: int = MERGED_EVERY) -> Callable[[DataFrame, int], None]:
+    """Keeps a view (key, view, ms, seq) as Parquet: each batch writes what it changes, and every so many batches the changes and the
+    last whole view are merged into a new one, after which they are deleted. A batch that is written again, or passed over,
+    does no harm: the newest entry of a key counts wherever it stands."""
 
     def write(rows: DataFrame, batch: int) -> None:
-        spark = rows.sparkSession
-        new = rows.select("key", "view", "ms", "seq")
-        old = [f"{path}/{batch - 1}"] if batch else []
-        for p in old:
-            new = new.unionByName(spark.read.parquet(p))
-        projections.projected(new, F.col("view")).write.mode("overwrite").parquet(f"{path}/{batch}")
+        projections.projected(rows.select("key", "view", "ms", "seq"), F.col("view")).write.mode("overwrite").parquet(f"{path}/changes/{batch}")
+        if (batch + 1) % merged_every == 0:
+            spark = rows.sparkSession
+            view(spark, path).write.mode("overwrite").parquet(f"{path}/whole/{batch}.new")
+            fs, at = _fs(spark, path)
+            fs.delete(at(f"{path}/whole/{batch}"), True)
+            fs.rename(at(f"{path}/whole/{batch}.new"), at(f"{path}/whole/{batch}"))
+            for kind in ("changes", "whole"):
+                for n in _numbers(spark, f"{path}/{kind}"):
+                    if n < batch or kind == "changes" and n == batch:
+                        fs.delete(at(f"{path}/{kind}/{n}"), True)
 
     return write
 
 
+VIEW = "key string, view string, ms long, seq long"
+
+
+def view(spark: SparkSession, path: str) -> DataFrame:
+    """The view that view_writer keeps: the last whole one with the changes since."""
+    whole = max(_numbers(spark, f"{path}/whole"), default=None)
+    parts = [f"{path}/whole/{whole}"] if whole is not None else []
+    parts += [f"{path}/changes/{n}" for n in _numbers(spark, f"{path}/changes") if whole is None or n >= whole]
+    if not parts:
+        return spark.createDataFrame([], VIEW)
+    return projections.projected(spark.read.parquet(*parts), F.col("view"))
+
+
+def _fs(spark: SparkSession, path: str):
+    """The file system of a path, and what makes paths of it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _numbers(spark: SparkSession, path: str) -> list[int]:
+    """The numbered folders of a folder."""
+    fs, at = _fs(spark, path)
+    if not fs.exists(at(path)):
+        return []
+    return sorted(int(n) for s in fs.listStatus(at(path)) if (n := s.getPath().getName()).isdigit())
+
+
 CLAIMED = "key string, ms long, seq long, won boolean"
 
 
