@@ -1,7 +1,7 @@
 """Operators on single texts against brute force, other libraries and held-out labels."""
 
 import hashlib
-import json
+import io
 import random
 import re
 import zlib
@@ -315,10 +315,45 @@ def test_warc_encodings():
             r = warc.parse(out)
             assert (r.get("WARC-Type"), r.get("WARC-Record-ID"), r.get("WARC-Refers-To"), r.get("WARC-IP-Address"), r.get("WARC-Payload-Digest")) == (kind, own, "<urn:uuid:1>", "1.2.3.4", "sha1:X")
             assert r.block == block and r.get("WARC-Block-Digest") == warc.sha1(block) and r.get("Content-Type") == content_type
-    assert list(warc.records(data + data)) == [data[: -len(b"\r\n\r\n")]] * 2
+    for whole in (data + data, gzip.compress(data) + gzip.compress(data)):
+        assert list(warc.records(io.BytesIO(whole))) == [data[: -len(b"\r\n\r\n")]] * 2
+    assert list(warc.records(io.BytesIO(b""))) == list(warc.records(io.BytesIO(b"junk"))) == []
     assert len(warc.derivatives(response(b"\x00\x01", b"Content-Type: image/png\r\n"))[1]) == 1
 
 
+def test_warc_bytes_by_hand():
+    """A response written by hand, and its derivatives written by hand."""
+    import base64
+    import uuid
+
+    sha = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    body = b"<html><head><title>T</title></head><body><p>One &amp; two</p><a href='/n'>next</a></body></html>"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + body
+    source = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:9>\r\nWARC-Target-URI: http://h/a\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Length: %d\r\n\r\n" % len(http) + http + b"\r\n\r\n"
+    fields = f"http-status: 200\r\nmedia-type: text/html\r\ncharset: utf-8\r\npayload-length: {len(body)}\r\npayload-digest: {sha(body)}\r\nsource-block-digest: {sha(http)}\r\ntitle: T\r\noutlink: http://h/n\r\n".encode()
+    text = b"One & two\nnext"
+
+    def record(kind, block, concurrent, media):
+        own = uuid.uuid5(uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8"), f"<urn:uuid:9> {kind}")
+        lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{own}>", "WARC-Target-URI: http://h/a", "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Payload-Digest: {sha(body)}", "WARC-Refers-To: <urn:uuid:9>", *concurrent, f"Content-Type: {media}", f"WARC-Block-Digest: {sha(block)}", f"Content-Length: {len(block)}"]
+        return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    meta, conv = warc.derivatives(source)[1]
+    assert meta[5] == record("metadata", fields, ["WARC-Concurrent-To: <urn:uuid:9>"], "application/warc-fields")
+    assert conv[5] == record("conversion", text, [], "text/plain; charset=utf-8")
+
+
+def test_warc_charset_is_found_anywhere():
+    late = b"<html><!--" + b"x" * 9_000 + b"--><meta charset=latin-1><p>Z\xfcrich"
+    assert warc.derivatives(response(late, b"Content-Type: text/html\r\n"))[1][1][4].decode() == "Z\u00fcrich"
+
+
+def test_warc_columns_to_keep(spark):
+    df = spark.createDataFrame([(b"", 1)], "record binary, kind int")
+    with pytest.raises(ValueError):
+        warc.derive(df, keep=("kind",))
+
+
 def test_warc_members_and_unsupported_encodings(spark):
     import gzip
 
@@ -343,6 +378,10 @@ def test_warc_query(spark, data, tmp_path):
     assert sorted((r.kind or "", bool(r.problem)) for r in warc.derive(odd).collect()) == [("", True)] * 4 + [("metadata", False)]
     (tmp_path / "a.warc").write_bytes(b"".join(made.values()))
     assert warc.derive(warc.read(spark, str(tmp_path / "a.warc"))).where("problem is null and kind = 'metadata'").count() == len(made)
+    import gzip
+
+    (tmp_path / "b c.warc.gz").write_bytes(b"".join(map(gzip.compress, made.values())))
+    assert sorted(bytes(r.record) for r in warc.read(spark, str(tmp_path / "b c.warc.gz")).collect()) == sorted(x[: -len(b"\r\n\r\n")] for x in made.values())
 
 
 # --- toxicity ---------------------------------------------------------------------------------------------------------
@@ -492,7 +531,6 @@ def test_packing_tokenizer(text):
 
 
 HF = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-HF.encode_special_tokens = True
 
 
 @settings(max_examples=100, deadline=None)

@@ -29,9 +29,11 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from urllib.parse import urljoin
+from typing import BinaryIO
+from urllib.parse import unquote, urljoin
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,22 +107,58 @@ def parse(data: bytes) -> Record:
     return r
 
 
-def records(data: bytes) -> Iterator[bytes]:
-    """The records of a whole WARC file, plain or gzipped record by record."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.GzipFile(fileobj=io.BytesIO(data)).read()
-    at = 0
-    while at < len(data):
-        at = data.find(b"WARC/", at)
-        if at < 0:
-            return
-        end = re.compile(rb"\r?\n\r?\n").search(data, at)
-        if not end:
-            return
-        length = Record(header_lines(data[at : end.start()]), b"").get("Content-Length")
-        stop = end.end() + int(length) if length and length.isdigit() else end.end()
-        yield data[at:stop]
-        at = stop
+HEAD_END = re.compile(rb"\r?\n\r?\n")
+#: Bytes that are read from a file at a time.
+CHUNK = 1 << 20
+
+
+def records(source: BinaryIO) -> Iterator[bytes]:
+    """The records of a WARC file, plain or gzipped record by record, read as they come: memory holds one record and a chunk."""
+    held, chunks = bytearray(), unzipped_chunks(source)
+    more = True
+
+    def fill() -> bool:
+        nonlocal more
+        chunk = next(chunks, None)
+        more = chunk is not None
+        held.extend(chunk or b"")
+        return more
+
+    while True:
+        while (at := held.find(b"WARC/")) < 0:
+            del held[: max(0, len(held) - 4)]
+            if not fill():
+                return
+        del held[:at]
+        while not (end := HEAD_END.search(held)):
+            if not fill():
+                return
+        length = Record(header_lines(bytes(held[: end.start()])), b"").get("Content-Length")
+        stop = end.end() + (int(length) if length and length.isascii() and length.isdigit() else 0)
+        while len(held) < stop and fill():
+            pass
+        yield bytes(held[:stop])
+        del held[:stop]
+
+
+def unzipped_chunks(source: BinaryIO) -> Iterator[bytes]:
+    """The bytes of a file, member after member where it is gzipped."""
+    chunk = source.read(CHUNK)
+    if chunk[:2] != b"\x1f\x8b":
+        while chunk:
+            yield chunk
+            chunk = source.read(CHUNK)
+        return
+    member = zlib.decompressobj(31)
+    while chunk:
+        data = member.decompress(chunk, CHUNK)
+        if data:
+            yield data
+        chunk = member.unused_data if member.eof else member.unconsumed_tail
+        if member.eof:
+            member = zlib.decompressobj(31)
+            chunk = chunk.lstrip(b"\0")
+        chunk = chunk or source.read(CHUNK)
 
 
 def build(kind: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -189,7 +227,7 @@ def decoded(body: bytes, encoding: str) -> bytes:
 def charset(content_type: str, body: bytes) -> str:
     """The charset that the header, a byte order mark or the page names; UTF-8 if none does or it is unknown."""
     m = re.search(r"charset\s*=\s*[\"']?([A-Za-z0-9_:.-]+)", content_type, re.I)
-    name = "utf-8-sig" if body[:3] == b"\xef\xbb\xbf" else m[1] if m else (x[1].decode("ascii") if (x := META_CHARSET.search(body[:4096])) else "utf-8")
+    name = "utf-8-sig" if body[:3] == b"\xef\xbb\xbf" else m[1] if m else (x[1].decode("ascii") if (x := META_CHARSET.search(body)) else "utf-8")
     try:
         "".encode(name)
         return name if name.lower().replace("-", "").replace("_", "") not in ("utf16", "utf32") or m else "utf-8"
@@ -294,20 +332,40 @@ def derive(responses: DataFrame, column: str = "record", keep: tuple[str, ...] =
             own = [b.column(k).take(pa.array(of, pa.int64())) for k in range(len(keep))]
             yield pa.RecordBatch.from_arrays(own + [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * len(kinds), kinds, strict=True)], names=[*keep, *names])
 
+    if clash := set(keep) & set(names):
+        raise ValueError(f"columns to keep are called like derived ones: {', '.join(sorted(clash))}")
     own = "".join(f"`{k}` {responses.schema[k].dataType.simpleString()}, " for k in keep)
     return responses.select(*keep, column).mapInArrow(run, own + SCHEMA)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(path, record binary) of every record of WARC files, a file being the unit of reading."""
+    """(path, record binary) of every record of WARC files. Files are listed by Spark and streamed by the workers, so that their size
+    does not matter; on a store that Arrow does not know they come as whole rows of Spark's reader."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for p, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for r in records(data):
-                    yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([r], pa.binary())], names=["path", "record"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, record binary")
+            for i, p in enumerate(b.column(0).to_pylist()):
+                source = io.BytesIO(b.column(1)[i].as_py()) if b.num_columns > 1 else opened(p)
+                with source:
+                    for r in records(source):
+                        yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([r], pa.binary())], names=["path", "record"])
+
+    files = spark.read.format("binaryFile").load(path)
+    first = files.select("path").first()
+    try:
+        if first:
+            opened(first["path"]).close()
+        files = files.select("path")
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        files = files.select("path", "content")
+    return files.mapInArrow(run, "path string, record binary")
+
+
+def opened(path: str) -> BinaryIO:
+    """A file by the path that Spark lists."""
+    path = re.sub(r"^file:/+", "file:///", path)
+    fs, at = pafs.FileSystem.from_uri(path)
+    return fs.open_input_file(unquote(at) if path.startswith("file:") else at)
 
 
 def responses_of(pages: DataFrame) -> DataFrame:
