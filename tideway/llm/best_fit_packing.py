@@ -280,12 +280,12 @@ def pack(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY) ->
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     spark = docs.sparkSession
     shards = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cut = kept(pieces(docs, path, pattern, capacity).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int")), "pieces")
+    cut = kept(pieces(docs, path, pattern, capacity).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int")), "pieces")
     counts = kept(cut.groupBy("length", "shard").agg(F.count("*").alias("n")), "lengths")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     slots = spark.sparkContext.broadcast(plan(histogram, capacity))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("shard")) - F.col("n")).drop("n")
-    own = F.row_number().over(Window.partitionBy("length", "shard").orderBy("doc_id", "piece")) - 1
+    own = F.row_number().over(Window.partitionBy("length", "shard").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = cut.withColumn("own", own).join(before, ["length", "shard"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("own") + F.col("before")).alias("rank"))
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
