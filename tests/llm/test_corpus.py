@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tideway.llm import bagminhash, common, learned_partitions, linking, ngram_lm, toxicity
+from tideway.llm import bagminhash, common, edit_embedding, learned_partitions, linking, ngram_lm, toxicity
 from tideway.llm import queries as Q
 
 
@@ -414,6 +414,41 @@ def test_pipeline_against_brute_force(spark, data):
     assert sorted({r.doc_id for r in got.select("doc_id").collect()}) == kept and got.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048
 
 
+def test_pipeline_edges(spark, tmp_path):
+    """Null texts and ids, repeated rows and empty tables pass through all stages."""
+    import corpus_pipeline
+
+    ddl = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, None, "en", "a", None), (2, "", "en", "a", 0), (3, "some words of text here", None, None, 23), (3, "some words of text here", None, None, 23), (None, "a row without an id of its own", "en", "b", 30), (None, None, None, None, None), (7, "mail me@here.org " + "x " * 5_000, "en", "a", 1)]
+    for name, docs, labels in (("some", rows, [(3, 1, 0), (None, 0, 1), (99, 0, 1)]), ("none", [], [])):
+        spark.createDataFrame(docs, ddl).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/some").collect()
+    # Null texts are empty ones, and so copies of each other: the row of the smallest id stays.
+    assert sorted({(r.doc_id is None, r.doc_id or 0) for r in got}) == [(False, 1), (False, 3), (False, 7), (True, 0)]
+    assert sum(r.length for r in got if r.doc_id == 1) == 1 and corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_fingerprint_links_against_all_pairs(spark):
+    rng = random.Random(9)
+    docs = []
+    for g in range(25):
+        base = "".join(rng.choice("abcdefghijklmnop ") for _ in range(rng.randrange(300, 900)))
+        docs.append(base)
+        for _ in range(g % 5):  # from very near to farther copies
+            own = list(base)
+            for _ in range(rng.randrange(1, 4)):
+                own[rng.randrange(len(own))] = "z"
+            docs.append("".join(own))
+    docs += [docs[0], docs[0], "", "", "kurz"]
+    prints = edit_embedding.fingerprints(docs)
+    pairs = [(a, b) for a in range(len(docs)) for b in range(a) if docs[a] and docs[b] and edit_embedding.likeness(prints[a : a + 1], prints[b : b + 1])[0] >= edit_embedding.LIKENESS]
+    want = roots(pairs, range(len(docs)))
+    table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.class_id for r in edit_embedding.near_links(table).collect()}
+    assert len(set(want.values())) < len(docs) - 20 and {i: c for i, c in got.items() if docs[i]} == {i: c for i, c in want.items() if docs[i]}
+
+
 def test_entry_without_this_subpackage(spark):
     import subprocess
     import sys

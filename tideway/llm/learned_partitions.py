@@ -40,7 +40,7 @@ PART_ROWS, MOST_PARTS, SAMPLED = 500, 256, 16
 BLOCK_ROWS = 4_000
 GRAPH_DEGREE = 10
 #: Share of the nearest neighbours that routed queries find among the sample.
-TARGET = 0.96
+TARGET = 0.97
 #: A query goes to more parts until they hold at least so many vectors.
 LEAST_CANDIDATES = 64
 
@@ -150,8 +150,8 @@ def train(x: np.ndarray, goal: np.ndarray, hidden: int = 64, epochs: int = 40, s
     return Router([(params[0], params[1]), (params[2], params[3])], mean, scale, 1)
 
 
-def fit(x: np.ndarray, parts: int, k: int = 10, target: float = TARGET) -> Router:
-    """A router for ``parts`` parts from a sample of vectors."""
+def fit(x: np.ndarray, parts: int, k: int = 10, target: float = TARGET, n: int | None = None) -> Router:
+    """A router for ``parts`` parts from a sample of ``n`` vectors (None: of itself)."""
     x = x.astype(np.float64)
     parts = max(1, min(parts, len(x) // SAMPLED))
     if parts == 1:
@@ -163,7 +163,9 @@ def fit(x: np.ndarray, parts: int, k: int = 10, target: float = TARGET) -> Route
     for c in range(graph.shape[1]):
         np.add.at(goal, (np.arange(len(x)), label[graph[:, c]]), 1 / graph.shape[1])
     router = train(x, goal)
-    # As many parts as the sample's own neighbours, placed as the index places them, need for the target.
+    # As many parts as the sample's own neighbours, placed as the index places them, need for the target. Of the k nearest
+    # of n vectors about k * len(x) / n are in the sample.
+    k = max(1, -(-k * len(x) // (n or len(x))))
     asked = np.arange(0, len(x), max(1, len(x) // 1000))
     near = nearest(x[asked], x, k + 1)
     order, placed = router.order(x), router.order(x)[:, 0]
@@ -228,7 +230,7 @@ def grow(rows: DataFrame, n: int, k: int, sample_rows: int) -> Tree:
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(sample_rows, n)).select("vector").toPandas()["vector"]
     x = np.array(sample.tolist(), np.float64).reshape(len(sample), -1)
     levels = 1 if n <= MOST_PARTS * PART_ROWS else 2
-    root = fit(x, parts_for(n), k, TARGET ** (1 / levels))
+    root = fit(x, parts_for(n), k, TARGET ** (1 / levels), n)
     if levels == 1:
         return Tree(root, {}, 1)
 
@@ -241,11 +243,12 @@ def grow(rows: DataFrame, n: int, k: int, sample_rows: int) -> Tree:
     # Each part's sample: by a hash of the id, so many as make the sample of a part of mean size.
     drawn = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 40)) < int(min(1.0, sample_rows * root.parts / n) * (1 << 40))
     parted = rows.select("vec_id", "vector", drawn.alias("drawn")).mapInArrow(place, "vector array<double>, part int, drawn boolean")
-    parts = {r["part"]: parts_for(r["count"]) for r in parted.groupBy("part").count().collect()}
+    sizes = {r["part"]: r["count"] for r in parted.groupBy("part").count().collect()}
+    parts = {p: parts_for(size) for p, size in sizes.items()}
 
     def train_part(key: tuple, t: pa.Table) -> pa.Table:
         p = key[0].as_py()
-        router = fit(block_of(t.column("vector").combine_chunks()), parts[p], k, TARGET ** (1 / levels))
+        router = fit(block_of(t.column("vector").combine_chunks()), parts[p], k, TARGET ** (1 / levels), sizes[p])
         return pa.table({"part": pa.array([p], pa.int32()), "router": pa.array([pickle.dumps(router)], pa.binary())})
 
     got = parted.where("drawn").groupBy("part").applyInArrow(train_part, "part int, router binary").collect()
