@@ -32,11 +32,11 @@ from functools import reduce
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideway.llm.bagminhash import deduplicate
-from tideway.llm.common import kept, texts_of
+from tideway.llm.bagminhash import texts_and_classes
+from tideway.llm.common import freed, kept, texts_of
 
 #: Labelled rows that fitting reads at most, and the number of folds, of which one is kept out.
 SAMPLE_ROWS = 40_000
@@ -230,8 +230,8 @@ def fold(id_column: str = "doc_id", folds: int = FOLDS):
 def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(text, toxic) of the sampled rows of the training folds, written once; the ids are at most ``sample_rows`` and so may be broadcast.
 
-    Of near copies with the same label one row stays: copies are not evidence of their own, and would make any word of a
-    much-copied toxic document look significant. A passage that distinct documents share costs none of them.
+    Of a class of near copies one row of each label stays: copies are not evidence of their own, and would make any word of
+    a much-copied toxic document look significant. A passage that distinct documents share costs none of them.
     """
     some = (
         labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold() != 0))
@@ -241,8 +241,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
     rows = kept(rows, "toxicity-labelled", light=True)
-    left = [deduplicate(rows.where(F.col("toxic") == t)) for t in (0, 1)]
-    return kept(left[0].unionByName(left[1]).select("text", "toxic"), "toxicity-sample")
+    ids, texts = texts_and_classes(rows)
+    freed(ids)
+    # The sample bounds the rows of a class, and so what one task orders.
+    digest = F.unhex(F.md5(F.col("text").cast("binary")))
+    nth = F.row_number().over(Window.partitionBy("class_id", "toxic").orderBy("doc_id", "digest"))
+    first = rows.withColumn("digest", digest).join(texts.select("digest", "class_id"), "digest").withColumn("nth", nth).where("nth = 1")
+    return kept(first.select("text", "toxic"), "toxicity-sample", frees=[rows, texts])
 
 
 def surprise(pos, neg, rate: float):
