@@ -322,3 +322,13 @@ def test_groups_keep_what_they_have(spark):
     ddl = "topic string, partition int, member_group string, ms long, seq long"
     there, wanted = spark.createDataFrame([("t", 0, "g", 9, 1)], ddl), spark.createDataFrame([("t", 0, "g", 0, 0), ("t", 1, "g", 0, 0)], ddl)
     assert sorted(map(tuple, workqueue.created(there, wanted).collect())) == [("t", 0, "g", 9, 1, False), ("t", 1, "g", 0, 0, True)]
+
+
+@pytest.mark.parametrize("span", [10, 700, 100_000])
+def test_newest_by_spans(spark, span):
+    rng = random.Random(span)
+    rows = sorted({(p, rng.randrange(3_000), s) for p in range(3) for s in range(2) for _ in range(60)})
+    df = spark.createDataFrame(rows, "partition int, ms long, seq long")
+    limits = spark.createDataFrame([(0, 17), (1, 1_000)], "partition int, most long")
+    want = [r for p, most in ((0, 17), (1, 1_000)) for r in [x for x in rows if x[0] == p][-most:]]
+    assert sorted(map(tuple, topics.newest(df, limits, span).collect())) == want

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tideway.functions import ids
 from tideway.functions.routing import by_key, round_robin
-from tideway.operators.order import numbered
+from tideway.operators.order import SPAN_MS, numbered
 
 TRIM_MODES = ("exact", "approx", "none")
 
@@ -80,9 +80,25 @@ def tail(entries: DataFrame, partitions: DataFrame, high_water: DataFrame | None
     return partitions.join(last, "partition", "left").select("partition", F.coalesce(ms, F.lit(0)).alias("ms"), F.coalesce(seq, F.lit(0)).alias("seq"))
 
 
+def newest(entries: DataFrame, limits: DataFrame, span_ms: int = SPAN_MS) -> DataFrame:
+    """The newest entries of each partition of ``limits`` (partition, most), so many as it says.
+
+    Spans of time are counted; those that lie whole among the newest pass as they are, and only the one span of a partition
+    that holds the border is sorted.
+    """
+    spanned = entries.withColumn("__span", F.expr(f"ms div {span_ms}"))
+    counts = spanned.groupBy("partition", "__span").agg(F.count("*").alias("__n"))
+    later = F.sum("__n").over(Window.partitionBy("partition").orderBy(F.desc("__span")).rowsBetween(Window.unboundedPreceding, -1))
+    room = counts.withColumn("__later", F.coalesce(later, F.lit(0))).join(limits.select("partition", F.col("most").alias("__most")), "partition").where("__later < __most")
+    rows = spanned.join(room, ["partition", "__span"])
+    nth = F.row_number().over(Window.partitionBy("partition", "__span").orderBy(F.desc("ms"), F.desc("seq")))
+    border = rows.where("__later + __n > __most").withColumn("__nth", nth).where("__later + __nth <= __most")
+    return rows.where("__later + __n <= __most").select(*entries.columns).unionByName(border.select(*entries.columns))
+
+
 def trim_maxlen(entries: DataFrame, most: int) -> DataFrame:
     """The newest ``most`` entries of each partition."""
-    return numbered(entries, ["partition"]).where(F.col("total") - F.col("ordinal") < most).drop("ordinal", "total")
+    return newest(entries, entries.select("partition").distinct().withColumn("most", F.lit(most)))
 
 
 def trim_minid(entries: DataFrame, least: tuple[int, int]) -> DataFrame:
@@ -142,12 +158,13 @@ def trim_report(entries: DataFrame, positions: DataFrame, now_ms: int, retention
     plan = plan.withColumn("from_seq", F.when(F.col("holder").isNotNull() & ~F.col("released"), F.col("clamp_seq")).otherwise(F.lit(0)))
     plan = plan.withColumn("keep", F.when(F.col("released"), release_target(max_len, at, F.col("length"))))
     stays = (F.col("ms") > F.col("from_ms")) | ((F.col("ms") == F.col("from_ms")) & (F.col("seq") >= F.col("from_seq")))
-    # A release trims twice: by id, then to a length, newest first.
-    rest = numbered(entries.select("partition", "ms", "seq"), ["partition"]).join(plan, "partition")
-    rest = rest.where(stays & (F.col("keep").isNull() | (F.col("total") - F.col("ordinal") < F.col("keep"))))
-    head = rest.groupBy("partition").agg(F.count("*").alias("kept"), F.min(ids.packed(F.col("ms"), F.col("seq"))).alias("head"))
+    # A release trims twice: by id, then to a length. Both leave the newest, so the shorter one is what is left of both.
+    id_ = ids.packed(F.col("ms"), F.col("seq"))
+    by_id = entries.select("partition", "ms", "seq").join(plan.select("partition", "from_ms", "from_seq"), "partition").where(stays).groupBy("partition").agg(F.count("*").alias("stays"), F.min(id_).alias("first"))
+    plan = plan.join(by_id, "partition", "left").withColumn("stays", F.coalesce("stays", F.lit(0)))
+    by_length = newest(entries.select("partition", "ms", "seq"), plan.where("keep < stays").select("partition", F.col("keep").alias("most"))).groupBy("partition").agg(F.min(id_).alias("cut"))
+    out = plan.join(by_length, "partition", "left").withColumns({"kept": F.least("stays", F.coalesce("keep", "stays")), "head": F.coalesce("cut", "first")})
     ms, seq = ids.unpacked(F.col("head"))
-    out = plan.join(head, "partition", "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
     return out.select("partition", "length", "cutoff_ms", "clamp_ms", "clamp_seq", "holder", "released", ms.alias("head_ms"), seq.alias("head_seq"), "kept", (F.col("length") - F.col("kept")).alias("removed"))
 
 
