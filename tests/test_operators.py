@@ -332,3 +332,16 @@ def test_newest_by_spans(spark, span):
     limits = spark.createDataFrame([(0, 17), (1, 1_000)], "partition int, most long")
     want = [r for p, most in ((0, 17), (1, 1_000)) for r in [x for x in rows if x[0] == p][-most:]]
     assert sorted(map(tuple, topics.newest(df, limits, span).collect())) == want
+
+
+def test_previous_by_spans(spark):
+    from tideway.operators import order
+
+    rng = random.Random(2)
+    rows = [(rng.randrange(3), at, rng.choice(["x", "y", None])) for at in range(200)]
+    df = spark.createDataFrame(rows, "partition int, at long, writer string")
+    last, want = {}, {}
+    for p, at, w in rows:
+        want[at], last[p] = last.get(p), w
+    for width in (9, 1_000):
+        assert {r.at: r.before for r in order.previous(df, ["partition"], "at", "writer", width).collect()} == want

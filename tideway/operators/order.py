@@ -60,3 +60,16 @@ def span_width(rows: DataFrame, column: str, most: int = 1_000_000) -> int:
     """Width of spans of a whole-number column such that evenly spread rows have about ``most`` in each."""
     low, high, n = rows.agg(F.min(column), F.max(column), F.count(column)).first()
     return max(1, (high - low + 1) // max(1, -(-n // most))) if n else 1
+
+
+def previous(rows: DataFrame, by: list[str], order: str, value: str, width: int | None = None) -> DataFrame:
+    """rows with ``before``: the value of the row before, by ``order`` within ``by``; null for the first.
+
+    The last values of spans, a small table, are handed on to the next span, so that only the rows of a span are sorted together.
+    """
+    width = width or span_width(rows, order)
+    spanned = rows.withColumn("__span", F.expr(f"`{order}` div {width}"))
+    ends = spanned.groupBy(*by, "__span").agg(F.max_by(F.struct(value), order).alias("__end"))
+    ends = ends.select(*by, "__span", F.lag("__end").over(Window.partitionBy(*by).orderBy("__span")).alias("__last"))
+    own = F.lag(F.struct(value)).over(Window.partitionBy(*by, "__span").orderBy(order))
+    return spanned.join(ends, [*by, "__span"]).withColumn("before", F.coalesce(own, "__last")[value]).select(*rows.columns, "before")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideway.functions import ids, texts
+from tideway.operators.order import previous
 from tideway.operators.topics import bounds
 
 #: Entries that a count pages over, and the count at which it stops being exact.
@@ -56,8 +57,7 @@ def contention(writes: DataFrame, presence: DataFrame, order: str = "at") -> Dat
     ignored: none, one's own, an empty or an administrative writer. stale: a rival that is not present. Else the lower
     instance id keeps writing (keeps) and the higher stands down.
     """
-    before = F.lag("writer").over(Window.partitionBy("partition").orderBy(order))
-    rows = writes.withColumn("before", before).join(presence.select(F.col("instance_id").alias("before"), F.lit(True).alias("present")), "before", "left")
+    rows = previous(writes, ["partition"], order, "writer").join(presence.select(F.col("instance_id").alias("before"), F.lit(True).alias("present")), "before", "left")
     ignored = F.col("before").isNull() | (F.col("before") == F.col("writer")) | F.col("before").isin(texts.NO_GUID, texts.ADMIN) | ~F.col("before").rlike(rf"\A{texts.GUID}\z")
     verdict = F.when(ignored, "ignored").when(F.col("present").isNull(), "stale").when(F.col("writer") < F.col("before"), "keeps").otherwise("stands_down")
     return rows.select("partition", order, "writer", "before", verdict.alias("verdict"))

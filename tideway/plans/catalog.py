@@ -178,7 +178,7 @@ def read_after(e, spark, sf_dir):
 @query(sql("pos", body=""", b AS (SELECT e.partition, e.ms, e.seq, e.event_id, row_number() OVER (PARTITION BY e.partition ORDER BY e.ms, e.seq) AS n FROM entry e JOIN pos p ON p.consumer = 'slow' AND p.partition = e.partition WHERE (e.ms, e.seq) > (p.ms, p.seq))
   SELECT partition, ms, seq, event_id FROM b WHERE n <= 50"""))
 def read_many(e, spark, sf_dir):
-    return reader.read_many(e.select("partition", "ms", "seq", "event_id"), X.positions(e).where("consumer = 'slow'"), 50)
+    return reader.read_many(e.select("partition", "ms", "seq", "event_id"), X.positions(spark, sf_dir).where("consumer = 'slow'"), 50)
 
 
 @query("SELECT turn AS seq, role FROM conversations WHERE conv_id = 1 AND turn > 0 ORDER BY turn LIMIT 10")
@@ -211,7 +211,7 @@ def entry_lookup(e, spark, sf_dir):
 def start_position(e, spark, sf_dir):
     p = X.partitions(spark)
     markers = spark.createDataFrame([(2, 1_704_067_200_000, 7)], "partition int, ms long, seq long")
-    return reader.start_positions(p, X.positions(e).where("consumer = 'partial'"), topics.tail(e, p), markers, "stored", "now")
+    return reader.start_positions(p, X.positions(spark, sf_dir).where("consumer = 'partial'"), topics.tail(e, p), markers, "stored", "now")
 
 
 @query(sql("parts", body=f"SELECT partition, CAST({PIVOT[0] - 1} AS BIGINT) AS ms, CAST({ids.MOST} AS BIGINT) AS seq, 'date' AS source FROM parts"))
@@ -308,7 +308,7 @@ def view_get(e, spark, sf_dir):
   SELECT key, arg_max(type || ':' || event_id, (ms, seq)) AS view, max(ms) AS ms, arg_max(seq, (ms, seq)) AS seq FROM b WHERE type IN ('purchase', 'signup') GROUP BY key"""))
 def project_map(e, spark, sf_dir):
     """The flagship: a topic read behind stored positions, filtered by type, its last event of each key as a view."""
-    rows = reader.behind(e, X.positions(e).where("consumer = 'partial'"))
+    rows = reader.behind(e, X.positions(spark, sf_dir).where("consumer = 'partial'"))
     return projections.projected(rows, F.concat(C("type"), F.lit(":"), C("event_id").cast("string")), reader.types(TYPES))
 
 
@@ -452,7 +452,7 @@ CLAMP = """, held AS (SELECT c.consumer, parts.partition, coalesce(p.ms, 0) AS m
 
 @query(sql("pos", "parts", body=CLAMP + " SELECT * FROM clamp"))
 def trim_clamp(e, spark, sf_dir):
-    return topics.clamp(X.positions(e), X.partitions(spark))
+    return topics.clamp(X.positions(spark, sf_dir), X.partitions(spark))
 
 
 def _trim_sql(max_len: int) -> str:
@@ -467,12 +467,12 @@ def _trim_sql(max_len: int) -> str:
 
 @query(_trim_sql(1_000_000))
 def trim_report(e, spark, sf_dir):
-    return topics.trim_report(e, X.positions(e), NOW_MS, DAYS, 1_000_000)
+    return topics.trim_report(e, X.positions(spark, sf_dir), NOW_MS, DAYS, 1_000_000)
 
 
 @query(_trim_sql(600))
 def trim_release(e, spark, sf_dir):
-    return topics.trim_report(e, X.positions(e), NOW_MS, DAYS, 600)
+    return topics.trim_report(e, X.positions(spark, sf_dir), NOW_MS, DAYS, 600)
 
 
 # --- resets -----------------------------------------------------------------------------------------------------------
@@ -492,17 +492,17 @@ def _preview_sql(target: str | None, consumer: str, missing_now: bool = False, t
 
 @query(_preview_sql(f"{PIVOT[0]},0", "partial"))
 def reset_preview_date(e, spark, sf_dir):
-    return positions.preview(e, X.positions(e).where("consumer = 'partial'"), PIVOT)
+    return positions.preview(e, X.positions(spark, sf_dir).where("consumer = 'partial'"), PIVOT)
 
 
 @query(_preview_sql("1704240000000,5", "slow", cap=1_000))
 def reset_preview_id(e, spark, sf_dir):
-    return positions.preview(e, X.positions(e).where("consumer = 'slow'"), (1_704_240_000_000, 5), cap=1_000)
+    return positions.preview(e, X.positions(spark, sf_dir).where("consumer = 'slow'"), (1_704_240_000_000, 5), cap=1_000)
 
 
 @query(_preview_sql(None, "partial", missing_now=True))
 def reset_preview_end(e, spark, sf_dir):
-    return positions.preview(e, X.positions(e).where("consumer = 'partial'"), None, "now")
+    return positions.preview(e, X.positions(spark, sf_dir).where("consumer = 'partial'"), None, "now")
 
 
 @query(_preview_sql(f"{PIVOT[0]},0", "partial", tail="SELECT CAST(coalesce(sum(entries) FILTER (WHERE direction = 'rewind'), 0) AS BIGINT) AS to_reprocess, CAST(coalesce(sum(entries) FILTER (WHERE direction = 'skip'), 0) AS BIGINT) AS to_skip, bool_or(trimmed_away) AS any_trimmed_away FROM out"))
@@ -518,7 +518,7 @@ def reset_describe(e, spark, sf_dir):
 
 @query(sql("pos", body=f"SELECT consumer, partition, CASE WHEN consumer = 'slow' THEN {PIVOT[0]} ELSE ms END AS ms, CASE WHEN consumer = 'slow' THEN 0 ELSE seq END AS seq, CASE WHEN consumer = 'slow' THEN '{texts.ADMIN}' ELSE '{GUIDS[0]}' END AS instance_id FROM pos"))
 def reset_apply(e, spark, sf_dir):
-    stored = X.positions(e).select(F.lit("events").alias("topic"), "consumer", "partition", "ms", "seq", F.lit(GUIDS[0]).alias("instance_id"))
+    stored = X.positions(spark, sf_dir).select(F.lit("events").alias("topic"), "consumer", "partition", "ms", "seq", F.lit(GUIDS[0]).alias("instance_id"))
     return positions.reset(stored, X.partitions(spark), PIVOT, "slow", "events").drop("topic")
 
 
@@ -590,17 +590,17 @@ LAGS = f""", l AS (SELECT p.consumer, p.partition, length, CASE WHEN (p.ms, p.se
 
 @query(sql("pos", "edge", body=LAGS + " SELECT consumer, partition, lag_ms FROM l"))
 def lag_ms(e, spark, sf_dir):
-    return health.lags(e, X.positions(e), NOW_MS).select("consumer", "partition", "lag_ms")
+    return health.lags(e, X.positions(spark, sf_dir), NOW_MS).select("consumer", "partition", "lag_ms")
 
 
 @query(sql("pos", "edge", body=LAGS + " SELECT consumer, partition, length, entries_est FROM l"))
 def lag_entries_est(e, spark, sf_dir):
-    return health.lags(e, X.positions(e), NOW_MS).select("consumer", "partition", "length", "entries_est")
+    return health.lags(e, X.positions(spark, sf_dir), NOW_MS).select("consumer", "partition", "length", "entries_est")
 
 
 @query(sql("pos", "edge", body=LAGS + " SELECT consumer, partition, entries FROM l"))
 def lag_entries_exact(e, spark, sf_dir):
-    return health.lags(e, X.positions(e), NOW_MS).select("consumer", "partition", "entries")
+    return health.lags(e, X.positions(spark, sf_dir), NOW_MS).select("consumer", "partition", "entries")
 
 
 @query(sql("entry", body=""", d AS (SELECT partition, ms // 86400000 AS at, max(event_id) AS tail FROM entry GROUP BY ALL), s AS (SELECT *, CASE WHEN at % 3 = 0 THEN tail ELSE NULL END AS moved FROM d),
@@ -696,7 +696,7 @@ def wq_claim(e, spark, sf_dir):
 @query(sql("pos", body=""", b AS (SELECT partition, (ordinal - 1) // 100 AS batch, arg_max(ms, ordinal) AS last_ms, arg_max(seq, ordinal) AS last_seq FROM ord GROUP BY ALL)
   SELECT b.partition, batch, last_ms, last_seq FROM b JOIN pos p ON p.consumer = 'slow' AND p.partition = b.partition WHERE (last_ms, last_seq) <= (p.ms, p.seq)"""))
 def wq_ack(e, spark, sf_dir):
-    return workqueue.acknowledged(reader.batches(e, 100).select("partition", "batch", "last_ms", "last_seq"), X.positions(e).where("consumer = 'slow'"))
+    return workqueue.acknowledged(reader.batches(e, 100).select("partition", "batch", "last_ms", "last_seq"), X.positions(spark, sf_dir).where("consumer = 'slow'"))
 
 
 @query(sql("entry", body="""SELECT partition, ms, seq, 'http://ingress/purchases/user%20' || key || '/run/send' AS url, '{"user":' || user_id || ',"event":' || event_id || '}' AS body FROM entry WHERE type = 'purchase'"""))
@@ -782,7 +782,7 @@ def metrics_batches(e, spark, sf_dir):
     CASE WHEN position_ms IS NULL OR (position_ms, position_seq) >= (newest_ms, newest_seq) THEN 0.0::DOUBLE ELSE CAST({NOW_MS} - position_ms AS DOUBLE) END AS lag_ms,
     {NOW_MS} - position_ms - 500 AS idle_ms, {NOW_MS} - position_ms AS unpersisted_ms, coalesce(position_seq, 0) AS errors FROM l"""))
 def status_row(e, spark, sf_dir):
-    at = X.positions(e)
+    at = X.positions(spark, sf_dir)
     every = at.select("consumer").distinct().select(F.lit("events").alias("topic"), "consumer", F.explode(F.sequence(F.lit(0), F.lit(X.PARTITIONS - 1))).alias("partition"))
     owners = X.partitions(spark).where("partition <> 2").select("partition", F.concat(F.lit("i"), (C("partition") % 3).cast("string")).alias("owner"))
     progress = at.select("consumer", "partition", F.lit("running").alias("state"), (C("ms") + 500).alias("last_handled_ms"), C("ms").alias("last_flush_ms"), C("seq").alias("errors"))

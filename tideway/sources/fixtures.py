@@ -37,14 +37,23 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The topic ``events``: partition by user, id by time; value and event_id are carried along.
 
     Entries are immutable, so the topic is appended to a store once for each session and read from there: by partition, and
-    within it in order of ids, so that reads behind a position skip what they need not see.
+    within it in order of ids, so that reads behind a position skip what they need not see. Positions are stored with it.
     """
+    return _read(spark, _topic(spark, sf_dir))
+
+
+def _topic(spark: SparkSession, sf_dir: str) -> str:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _topics:
         path = folder(spark, "events")
         published(spark, sf_dir).repartition("partition", F.expr(f"ms div {24 * SPAN_MS}")).sortWithinPartitions("partition", "ms", "seq").write.partitionBy("partition").parquet(path)
+        _places(_read(spark, path)).coalesce(1).write.parquet(f"{path}-positions")
         _topics[key] = path
-    return spark.read.schema("topic string, ms long, type string, key string, body binary, event_id long, user_id long, value double, seq long, partition int").parquet(_topics[key])
+    return _topics[key]
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("topic string, ms long, type string, key string, body binary, event_id long, user_id long, value double, seq long, partition int").parquet(path)
 
 
 def published(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,8 +67,12 @@ def published(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_ids(rows, ["event_id"])
 
 
-def positions(entries: DataFrame) -> DataFrame:
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(consumer, partition, ms, seq): fast is at the end of each partition, slow in its middle, partial at a quarter but nowhere in 3."""
+    return spark.read.schema("consumer string, partition int, ms long, seq long").parquet(f"{_topic(spark, sf_dir)}-positions")
+
+
+def _places(entries: DataFrame) -> DataFrame:
     rows = numbered(entries.select("partition", "ms", "seq"), ["partition"])
     at = lambda n: F.col("ordinal") == n
     who = F.array_compact(F.array(
