@@ -46,7 +46,7 @@ LEAST_RATIO, LEAST_DOCUMENTS, LEAST_SURPRISE = 6.0, 4, 28.0
 #: Letters of an opening, and words in toxic documents that share it at least.
 OPENINGS, KINDS = range(2, 9), 5
 #: Entries that a task gathers before it sends them.
-GATHERED = 1_000_000
+GATHERED = 300_000
 
 # Words of the grammar, in English, German, French and Spanish.
 INSULTS = """idiot idiots moron morons imbecile loser losers scum trash clown worthless pathetic disgusting stupid dumb
