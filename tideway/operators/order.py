@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Width in milliseconds of the spans that are numbered by one task.
-SPAN_MS = 3_600_000
+SPAN_MS = 600_000
 
 
 def numbered(rows: DataFrame, by: list[str], ms: str = "ms", seq: str = "seq", span_ms: int = SPAN_MS) -> DataFrame:

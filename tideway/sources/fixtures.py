@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideway.operators.order import SPAN_MS, numbered
+from tideway.operators.order import numbered
 from tideway.operators.topics import assign_ids
 
 PARTITIONS, NOW_MS = 4, 1_706_745_600_000
@@ -46,7 +46,7 @@ def _topic(spark: SparkSession, sf_dir: str) -> str:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _topics:
         path = folder(spark, "events")
-        published(spark, sf_dir).repartition("partition", F.expr(f"ms div {24 * SPAN_MS}")).sortWithinPartitions("partition", "ms", "seq").write.partitionBy("partition").parquet(path)
+        published(spark, sf_dir).repartition("partition", F.expr("ms div 86400000")).sortWithinPartitions("partition", "ms", "seq").write.partitionBy("partition").parquet(path)
         _places(_read(spark, path)).coalesce(1).write.parquet(f"{path}-positions")
         _topics[key] = path
     return _topics[key]
