@@ -98,7 +98,10 @@ def unpack_block(block: bytes | None) -> list[dict[str, str]]:
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])))
 def unpack_headers(blocks: pd.Series) -> pd.Series:
-    """Headers of packed blocks, null where a block is malformed: lengths are in bytes, which no built-in function walks."""
+    """Headers of packed blocks, null where a block is malformed: lengths are in bytes, which no built-in function walks.
+
+    Within a batch equal blocks are walked once, as entries of one kind have the same headers.
+    """
 
     def one(b):
         try:
@@ -106,7 +109,8 @@ def unpack_headers(blocks: pd.Series) -> pd.Series:
         except ValueError:
             return None
 
-    return blocks.map(one)
+    own = {b: one(b) for b in blocks.unique()}
+    return pd.Series([own[b] for b in blocks], dtype=object)
 
 
 def header(headers: Column, key: str) -> Column:
