@@ -48,5 +48,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir, each written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = kept(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        docs = kept(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}", frees=[docs])
     return STAGES[-1][1](spark, docs, sf_dir)
